@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import packing, sharding
+from . import minhash, packing, sharding
 from .oracles import ORACLE as ORACLE
 
 WORD_BPE = "word_bpe_49k.json"
@@ -29,7 +29,12 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op7_packing": op7_packing,
+    "op10_minhash": op10_minhash,
 }
