@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import minhash, packing, sharding
+from . import minhash, packing, sharding, warc
 from .oracles import ORACLE as ORACLE
 
 WORD_BPE = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2)
 
@@ -36,5 +40,6 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
 }
