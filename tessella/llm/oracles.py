@@ -35,3 +35,19 @@ WITH RECURSIVE lowered AS (
 )
 SELECT doc_id, n AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM sizes JOIN reach ON a = doc_id GROUP BY doc_id, n
 """
+
+ORACLE["op9_decontamination"] = """
+WITH rows_ AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), lowered AS (
+  SELECT side, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM rows_
+), items AS (
+  SELECT side, id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS x FROM lowered
+), sizes AS (
+  SELECT id, count(*) AS n FROM items WHERE side = 1 GROUP BY id
+), both_ AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM items d JOIN items i ON d.x = i.x AND d.side = 0 AND i.side = 1 GROUP BY ALL
+)
+SELECT doc_id, item_id, n AS item_shingles, shared, shared / n AS containment FROM both_ JOIN sizes ON item_id = sizes.id WHERE 100 * shared >= 80 * n
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import minhash, packing, sharding, warc
+from . import decontaminate, minhash, packing, quality, sharding, warc
 from .oracles import ORACLE as ORACLE
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), shards=40)
 
@@ -33,13 +37,19 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_sharding": op4_sharding,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
 }
