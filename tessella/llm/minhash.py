@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .linking import linked, met
 from .storage import stored
 
 BANDS, ROWS = 32, 4
@@ -100,24 +101,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("_a") + F.size("_b") - both) * percent).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node that links lead to) for all nodes of ``links`` (a, b).
-
-    Each node takes the least label among its neighbours and then the label
-    of that label, until none changes; chains shrink by half each time.
-    """
-    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("node"), F.least("a", "_least").alias("component")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_least"))
-        moved = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("_old"), F.least("component", "_least").alias("_new"))
-        above = labels.select(F.col("node").alias("_new"), F.col("component").alias("_above"))
-        after = stored(moved.join(above, "_new").select("node", "_old", F.least("_new", "_above").alias("component")), "labels")
-        labels = after.select("node", "component")
-        if after.where("_old <> component").isEmpty():
-            return labels
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """key, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -134,36 +117,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     classes = stored(signed.where("n > 0").groupBy("set_key").agg(F.min("key").alias("node")), "classes")
     own = classes.where("node is not null").select(F.col("set_key").alias("_set"), "node")
     nodes = signed.join(own, (signed.key == own.node) & (signed.set_key == own["_set"])).select("node", "n", "bands")
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("_last"), F.count("*").alias("_size")).where("lead <> _last").select("bucket", "lead")
-    shared = stored(banded.join(shared, "bucket"), "buckets")
+    shared = stored(met(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "buckets")
     involved = shared.select(F.col("node").alias("doc")).distinct()
     texts = docs.where("doc is not null").join(involved, "doc", "left_semi").select(F.col("doc").alias("node"), "text")
     sets = stored(shingle_sets(texts, shingle), "sets")
 
-    sizes = shared.select(F.col("node").alias("lead"), F.col("n").alias("_n")).distinct()
-    links = tried = labels = None
-    for turn in range(rounds + 1):
-        held = shared if labels is None else shared.drop("lead").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn == 0:
-            pairs = held.where("node <> lead").select("lead", "node", "n").distinct().join(sizes, "lead").where(_alike(F.col("n"), F.col("_n"), percent))
-            pairs = pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        else:
-            mixed = held.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("_lead")).where("_lo <> _hi")
-            if turn < rounds:
-                pairs = held.join(mixed, "bucket").where(F.col("component") != F.col("_lead.component")).where(_alike(F.col("n"), F.col("_lead.n"), percent)).select(F.least("node", "_lead.node").alias("a"), F.greatest("node", "_lead.node").alias("b"))
-            else:
-                open_ = held.join(mixed.select("bucket"), "bucket")
-                other = open_.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "component")])
-                pairs = open_.join(other, (open_.bucket == other.bucket) & (open_.node < other["_node"]) & (open_.component != other["_component"]) & _alike(open_.n, other["_n"], percent)).select(open_.node.alias("a"), F.col("_node").alias("b"))
-            pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(confirmed(pairs, sets, percent), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = not found.isEmpty()
-        links = found if links is None else links.union(found)
-        if new or labels is None:
-            labels = components(links)
+    labels = linked(shared, lambda pairs: confirmed(pairs, sets, percent), lambda n, m: _alike(n, m, percent), rounds)
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_component"))
     component = F.coalesce("_component", "key")
     return signed.join(named, "set_key", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import decontaminate, minhash, packing, quality, sharding, warc
+from . import decontaminate, minhash, packing, quality, sharding, simhash, warc
 from .oracles import ORACLE as ORACLE
 
 WORD_BPE = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), shards=40)
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.edited_and_near(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(WORD_BPE))
 
@@ -48,6 +52,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_sharding": op4_sharding,
+    "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
