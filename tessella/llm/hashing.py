@@ -63,7 +63,7 @@ def _cut(data: np.ndarray, start: int, end: int) -> int:
     return start + int(space[-1]) + 1 if len(space) else stop
 
 
-def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_words(data: np.ndarray, breaks: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of a block; ``breaks``: row starts, at which a word begins anew."""
     up, down = _tables()
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -78,7 +78,8 @@ def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), starts, ends
     low = data.astype(np.uint64)
     low += _U(1)
-    low[(data >= 65) & (data <= 90)] += _U(32)
+    if fold:
+        low[(data >= 65) & (data <= 90)] += _U(32)
     low *= up[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(low, out=sums[1:])
@@ -87,8 +88,8 @@ def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(hashed), starts, ends
 
 
-def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words of ``data``, whose rows start at ``rows``."""
+def word_spans(data: np.ndarray, rows: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words of ``data``, whose rows start at ``rows``; fold: A-Z as a-z."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)]
     start = 0
     while start < len(data):
@@ -98,10 +99,10 @@ def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if stop - start == _BLOCK and stop < len(data) and not _is_space(data[stop - 1]):
             # no white space in a whole block: its first word, however long, on its own
             stop = _word_end(data, start, rows)
-            hashed = np.array([_long_word(data[start:stop])], np.uint64)
+            hashed = np.array([_long_word(data[start:stop], fold)], np.uint64)
             parts.append((hashed, np.array([start]), np.array([stop])))
         else:
-            hashed, begin, end = _block_words(data[start:stop], breaks)
+            hashed, begin, end = _block_words(data[start:stop], breaks, fold)
             parts.append((hashed, begin + start, end + start))
         start = stop
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -130,11 +131,12 @@ def _word_end(data: np.ndarray, start: int, rows: np.ndarray) -> int:
     return stop
 
 
-def _long_word(data: np.ndarray) -> int:
+def _long_word(data: np.ndarray, fold: bool) -> int:
     import hashlib
 
     low = data.copy()
-    low[(data >= 65) & (data <= 90)] += 32
+    if fold:
+        low[(data >= 65) & (data <= 90)] += 32
     return int.from_bytes(hashlib.blake2b(low.tobytes(), digest_size=8).digest(), "little")
 
 

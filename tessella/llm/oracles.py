@@ -1,6 +1,8 @@
 """DuckDB statements for the operators that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from . import licenses
+
+ORACLE: dict[str, str] = {"op2_licenses": licenses.oracle()}
 
 ORACLE["op8_warc"] = """
 WITH p AS (

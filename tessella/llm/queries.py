@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import decontaminate, minhash, packing, quality, sharding, simhash, warc
+from . import decontaminate, licenses, minhash, packing, quality, sharding, simhash, token_counts, warc
 from .oracles import ORACLE as ORACLE
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +25,14 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path(PIECES))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), shards=40)
 
@@ -51,6 +59,8 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_licenses": op2_licenses,
+    "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
