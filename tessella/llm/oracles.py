@@ -1,8 +1,8 @@
 """DuckDB statements for the operators that SQL can express."""
 
-from . import licenses
+from . import chat, licenses
 
-ORACLE: dict[str, str] = {"op2_licenses": licenses.oracle()}
+ORACLE: dict[str, str] = {"op2_licenses": licenses.oracle(), "op5_chat": chat.ORACLE}
 
 ORACLE["op8_warc"] = """
 WITH p AS (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import decontaminate, licenses, minhash, packing, quality, sharding, simhash, token_counts, warc
+from . import chat, decontaminate, licenses, minhash, packing, quality, sharding, simhash, token_counts, warc
 from .oracles import ORACLE as ORACLE
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), shards=40)
 
 
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.conversations(table(spark, folder, "conversations"))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.edited_and_near(table(spark, folder, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
