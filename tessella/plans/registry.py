@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import operations, policies, texts
+from .pairs import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+FAMILIES = [policies.FAMILY, texts.FAMILY, operations.FAMILY]
+QUERIES: dict[str, Query] = {name: query for family in FAMILIES for name, query in family.queries.items()}
+ORACLE: dict[str, str] = {name: text for family in FAMILIES for name, text in family.oracle.items()}

@@ -10,4 +10,4 @@ from tessella.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    return local_session("tests", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
+    return local_session("tests", shuffle_partitions=4, spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
