@@ -3,8 +3,9 @@
 The question is how much of a test item, a short text, lies in a document,
 perhaps a long one: containment of the item's shingle set.  MinHash compares
 whole sets, and a long document hides a short item in it.  So both sides are
-partitioned by size.  Items fall into classes whose set sizes lie between
-``u / 2`` and ``u``; for each class a document is covered by windows of about
+partitioned by size.  Items of up to half a block of shingles are sought by
+each of their shingles, windows of one.  Others fall into classes whose set
+sizes lie between ``u / 2`` and ``u``; for each class a document is covered by windows of about
 ``2 u`` shingles, every one overlapping the next by half, so that a passage
 of an item lies whole in a window.  Within a class the containment threshold
 t becomes a Jaccard threshold of at least t q / (w + q - t q) for item size q
@@ -34,10 +35,14 @@ COORDINATES = 64
 BLOCK = 16
 # Rows of the item index (bands and shingles) up to which it is broadcast; 16 bytes each.
 BROADCAST_ROWS = 2_000_000
+_STEP = 1 << 21
+_LOW = np.uint64((1 << 24) - 1)
 
 
 def window_size(n: int) -> int:
-    """Shingles of the windows in which an item of ``n`` shingles is sought: twice the upper end of its class."""
+    """Shingles of the windows in which an item of ``n`` shingles is sought: twice the upper end of its class, or single shingles for the least class."""
+    if 2 * n <= BLOCK:
+        return 1
     u = BLOCK
     while u < n:
         u *= 2
@@ -54,27 +59,31 @@ def band_rows(least: int, window: int, percent: int, coordinates: int = COORDINA
     return rows
 
 
-def classes(largest: int, percent: int) -> dict[int, int]:
-    """Window size and band rows of every size class up to items of ``largest`` shingles."""
-    out, u = {}, BLOCK
-    while True:
-        out[2 * u] = band_rows(max(1, u // 2), 2 * u, percent)
-        if u >= largest:
-            return out
-        u *= 2
-
-
-def _window_signatures(hashed: np.ndarray, circulant: hashing.Circulant, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each window size the signatures of a document's windows, from those of its blocks."""
-    cuts = range(0, len(hashed), BLOCK)
-    level = circulant.signatures([hashed[k : k + BLOCK] for k in cuts])
+def _windows(hashed: np.ndarray, at: np.ndarray, circulant: hashing.Circulant, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each window size (in order, above 1) the rows and signatures of the windows of all rows, from those of their blocks."""
+    counts = np.diff(at)
+    blocks = -(-counts // BLOCK)
+    row = np.repeat(np.arange(len(counts)), blocks)
+    level = circulant.runs(hashed, np.append(hashing.ranges(at[:-1], blocks, BLOCK), at[-1]))
     width = 1
     for size in sizes:
         # blocks of half a window, then neighbours joined
         while width * BLOCK < size // 2:
-            level = np.minimum(level[::2], np.concatenate([level[1::2], level[-1:]])[: len(level[::2])])
+            level, row = _halved(level, row)
             width *= 2
-        yield size, np.minimum(level[:-1], level[1:]) if len(level) > 1 else level
+        next_ = np.flatnonzero(row[1:] == row[:-1])
+        alone = np.append(True, row[1:] != row[:-1]) & np.append(row[1:] != row[:-1], True)
+        yield size, np.concatenate([row[next_], row[alone]]), np.concatenate([np.minimum(level[next_], level[next_ + 1]), level[alone]])
+
+
+def _halved(level: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every second signature of a row joined with the one behind it."""
+    first = np.append(True, row[1:] != row[:-1])
+    within = np.arange(len(row)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    even = np.flatnonzero(within % 2 == 0)
+    behind = np.minimum(even + 1, len(row) - 1)
+    joined = np.where((row[behind] == row[even])[:, None], np.minimum(level[even], level[behind]), level[even])
+    return joined, row[even]
 
 
 def item_index(items: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -85,7 +94,7 @@ def item_index(items: DataFrame, key: str, text: str, shingle: int, percent: int
         circulant = hashing.Circulant(COORDINATES)
         for batch in batches:
             took, sizes, windows, bands, sets = [], [], [], [], []
-            for i, (hashed, _) in enumerate(hashing.shingle_rows(batch.column(1), shingle)):
+            for i, hashed in enumerate(hashing.shingle_rows(batch.column(1), shingle)):
                 own = np.unique(hashed)
                 if not len(own):
                     continue
@@ -93,7 +102,7 @@ def item_index(items: DataFrame, key: str, text: str, shingle: int, percent: int
                 took.append(i)
                 sizes.append(len(own))
                 windows.append(window)
-                bands.append(_signed(_salted(hashing.band_hashes(circulant.signatures([own]), classes(len(own), percent)[window])[0], window)))
+                bands.append(_signed(_salted(own if window == 1 else hashing.band_hashes(circulant.signatures([own]), band_rows(window // 4, window, percent))[0], window)))
                 sets.append(_signed(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(took, pa.int64())), pa.array(sizes, pa.int64()), pa.array(windows, pa.int64()), _lists(bands), _lists(sets)],
@@ -109,15 +118,27 @@ def _salted(bands: np.ndarray, window: int) -> np.ndarray:
 
 def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, broadcast: int) -> DataFrame:
     """doc, item and shared (exact count) of all pairs at the threshold."""
-    rows, largest = index.agg(F.sum(F.size("bands") + F.size("items")), F.max("n")).first()
+    rows, windows = index.agg(F.sum(F.size("bands") + F.size("items")), F.collect_set("window")).first()
     kind, item_kind = docs.schema["doc"].dataType.simpleString(), index.schema["item"].dataType.simpleString()
     if not rows:
         return docs.sparkSession.createDataFrame([], f"doc {kind}, item {item_kind}, shared long, n long")
-    by_size = classes(int(largest), percent)
+    by_size = {w: band_rows(w // 4, w, percent) for w in sorted(windows) if w > 1}
+    single = 1 in windows
     schema = f"doc {kind}, item {item_kind}, shared long, n long"
 
-    def bands_of(hashed: np.ndarray, circulant: hashing.Circulant) -> np.ndarray:
-        return np.concatenate([_salted(hashing.band_hashes(s, by_size[size]).ravel(), size) for size, s in _window_signatures(hashed, circulant, list(by_size))])
+    def bands_of(column: pa.Array, circulant: hashing.Circulant) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+        """Slices of a column: first row, shingles, their offsets, and (row, band) arrays."""
+        _, begin = hashing.text_bytes(column)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + _STEP, side="right")) - 1)
+            hashed, at = hashing.flat_shingles(column.slice(i, j - i), shingle)
+            parts = [(np.repeat(np.arange(j - i), np.diff(at)), _salted(hashed, 1))] if single else []
+            for size, row, signature in _windows(hashed, at, circulant, list(by_size)) if len(hashed) else ():
+                bands = _salted(hashing.band_hashes(signature, by_size[size]), size)
+                parts.append((np.repeat(row, bands.shape[1]), bands.ravel()))
+            yield i, hashed, at, parts
+            i = j
 
     if rows <= broadcast:
         held = index.select("item", "n", "bands", "items").collect()
@@ -127,29 +148,31 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
         keys, at = keys[order], at[order]
         sets = [np.array(r["items"], np.int64).view(np.uint64) for r in held]
         names, sizes = [r["item"] for r in held], [r["n"] for r in held]
-        shared_by = docs.sparkSession.sparkContext.broadcast((keys, at, sets, names, sizes))
+        seen = np.zeros(1 << 24, bool)
+        seen[keys & _LOW] = True
+        seen_bits = np.packbits(seen)
+        shared_by = docs.sparkSession.sparkContext.broadcast((keys, at, sets, names, sizes, seen_bits))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, at, sets, names, sizes = shared_by.value
+            keys, at, sets, names, sizes, seen_bits = shared_by.value
+            seen = np.unpackbits(seen_bits).view(bool)
             circulant = hashing.Circulant(COORDINATES)
             for batch in batches:
                 took, found, both = [], [], []
-                for i, (hashed, _) in enumerate(hashing.shingle_rows(batch.column(1), shingle)):
-                    if not len(hashed):
-                        continue
-                    own = np.unique(bands_of(hashed, circulant))
-                    lo = np.searchsorted(keys, own)
-                    hit = lo < len(keys)
-                    hit[hit] = keys[lo[hit]] == own[hit]
-                    if not hit.any():
-                        continue
-                    hi = np.searchsorted(keys, own[hit], side="right")
-                    candidates = np.unique(np.concatenate([at[a:b] for a, b in zip(lo[hit].tolist(), hi.tolist(), strict=True)]))
-                    whole = np.unique(hashed)
-                    for c in candidates.tolist():
+                for first, hashed, offsets, parts in bands_of(batch.column(1), circulant):
+                    candidates = []
+                    for row, bands in parts:
+                        near = np.flatnonzero(seen[bands & _LOW])
+                        lo, hi = (np.searchsorted(keys, bands[near], side=s) for s in ("left", "right"))
+                        candidates.append(np.repeat(row[near], hi - lo) * len(names) + at[hashing.ranges(lo, hi - lo)])
+                    last, whole = -1, None
+                    for pair in np.unique(np.concatenate(candidates)).tolist() if candidates else ():
+                        row, c = divmod(pair, len(names))
+                        if row != last:
+                            last, whole = row, np.unique(hashed[offsets[row] : offsets[row + 1]])
                         n = int(np.isin(sets[c], whole, assume_unique=True).sum())
                         if 100 * n >= percent * sizes[c]:
-                            took.append(i)
+                            took.append(first + row)
                             found.append(c)
                             both.append(n)
                 yield pa.RecordBatch.from_arrays(
@@ -163,12 +186,17 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = hashing.Circulant(COORDINATES)
         for batch in batches:
-            bands = [_signed(np.unique(bands_of(h, circulant))) if len(h) else np.zeros(0, np.int64) for h, _ in hashing.shingle_rows(batch.column(1), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bands)], names=["doc", "bands"])
+            for first, _, at, parts in bands_of(batch.column(1), circulant):
+                if not parts:
+                    continue
+                row, bands = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                order = np.argsort(row, kind="stable")
+                cuts = np.searchsorted(row[order], np.arange(len(at) - 1))[1:]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), _lists([_signed(np.unique(b)) for b in np.split(bands[order], cuts)])], names=["doc", "bands"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(np.unique(h)) for h, _ in hashing.shingle_rows(batch.column(1), shingle)])], names=["doc", "_whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(np.unique(h)) for h in hashing.shingle_rows(batch.column(1), shingle)])], names=["doc", "_whole"])
 
     known = index.select("item", F.explode("bands").alias("band"))
     pairs = stored(docs.mapInArrow(explode, f"doc {kind}, bands array<long>").select("doc", F.explode("bands").alias("band")).join(known, "band").select("doc", "item").distinct(), "candidates")

@@ -97,12 +97,13 @@ def word_spans(data: np.ndarray, rows: np.ndarray, fold: bool = True) -> tuple[n
         lo, hi = np.searchsorted(rows, [start, stop], side="left")
         breaks = np.unique(rows[lo:hi] - start)
         if stop - start == _BLOCK and stop < len(data) and not _is_space(data[stop - 1]):
-            # no white space in a whole block: its first word, however long, on its own
+            # no white space in a whole block: its first word on its own
             stop = _word_end(data, start, rows)
+        if stop - start > _BLOCK:
             hashed = np.array([_long_word(data[start:stop], fold)], np.uint64)
             parts.append((hashed, np.array([start]), np.array([stop])))
         else:
-            hashed, begin, end = _block_words(data[start:stop], breaks, fold)
+            hashed, begin, end = _block_words(data[start:stop], breaks[breaks < stop - start], fold)
             parts.append((hashed, begin + start, end + start))
         start = stop
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -140,22 +141,43 @@ def _long_word(data: np.ndarray, fold: bool) -> int:
     return int.from_bytes(hashlib.blake2b(low.tobytes(), digest_size=8).digest(), "little")
 
 
-def shingle_rows(column: pa.Array, size: int, short_whole: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row its shingle hashes in order and its word hashes.
+def ranges(starts: np.ndarray, counts: np.ndarray, step: int = 1) -> np.ndarray:
+    """The indices of all runs of ``counts`` from ``starts``, end to end."""
+    ends = np.cumsum(counts)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+    return np.repeat(starts, counts) + within * step
 
-    A row of fewer than ``size`` words has its whole sequence as one shingle
-    (none if ``short_whole`` is false); a row without words has none.
-    """
-    words, rows = word_hashes(column)
-    for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-        own = words[lo:hi]
-        yield shingles(own, size, short_whole), own
 
+def flat_shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all rows in order, and the offsets of the rows among them.
 
-def shingles(words: np.ndarray, size: int, short_whole: bool = True) -> np.ndarray:
-    """Hashes of the shingles of ``size`` consecutive words."""
+    A row of fewer than ``size`` words has its whole sequence as one shingle;
+    a row without words has none.
+    """
+    words, rows = word_hashes(column)
+    counts = np.diff(rows)
+    made = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
+    at = np.append(0, np.cumsum(made))
+    out = np.empty(at[-1], np.uint64)
+    every = shingles(words, size) if len(words) >= size else np.zeros(0, np.uint64)
+    long = counts >= size
+    out[ranges(at[:-1][long], made[long])] = every[ranges(rows[:-1][long], made[long])]
+    for i in np.flatnonzero((counts > 0) & ~long).tolist():
+        out[at[i]] = shingles(words[rows[i] : rows[i + 1]], size)[0]
+    return out, at
+
+
+def shingle_rows(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each row in order."""
+    out, at = flat_shingles(column, size)
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield out[lo:hi]
+
+
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles of ``size`` consecutive words; of all together if they are fewer."""
     n = len(words)
-    if not n or (n < size and not short_whole):
+    if not n:
         return np.zeros(0, np.uint64)
     width = min(n, size)
     out = np.full(n - width + 1, width, dtype=np.uint64)
@@ -197,26 +219,29 @@ class Circulant:
 
     def signatures(self, sets: list[np.ndarray], block: int = 1 << 15) -> np.ndarray:
         """One row of coordinates for each set, none of which may be empty."""
-        out = np.empty((len(sets), self.coordinates), np.uint32)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        ends = np.cumsum(sizes)
+        if not sets:
+            return np.empty((0, self.coordinates), np.uint32)
+        return self.runs(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets)]), block)
+
+    def runs(self, values: np.ndarray, at: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """One row of coordinates for each run of ``values`` between ``at``, block by block so that arrays stay in a cache."""
+        out = np.empty((len(at) - 1, self.coordinates), np.uint32)
         i = 0
-        while i < len(sets):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, side="right")))
-            if j == i + 1 and sizes[i] > block:
-                parts = [self._block([sets[i][k : k + block]])[0] for k in range(0, int(sizes[i]), block)]
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + block, side="right")) - 1)
+            if at[j] - at[i] > block:
+                cuts = np.append(np.arange(at[i], at[j], block), at[j])
+                parts = [self._block(values[a:b], np.zeros(1, np.int64))[0] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 out[i] = np.minimum.reduce(parts)
             else:
-                out[i:j] = self._block(sets[i:j])
+                out[i:j] = self._block(values[at[i] : at[j]], at[i:j] - at[i])
             i = j
         return out
 
-    def _block(self, sets: list[np.ndarray]) -> np.ndarray:
-        at = np.zeros(len(sets), np.int64)
-        np.cumsum([len(s) for s in sets[:-1]], out=at[1:])
-        where = self.positions(np.concatenate(sets))
+    def _block(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        where = self.positions(values)
         x, room = np.empty_like(where), np.empty_like(where)
-        out = np.empty((len(sets), self.coordinates), np.uint32)
+        out = np.empty((len(at), self.coordinates), np.uint32)
         for k in range(self.coordinates):
             np.subtract(where, np.uint32(k), out=x)
             out[:, k] = np.minimum.reduceat(self.second(x, room), at)

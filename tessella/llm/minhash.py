@@ -51,7 +51,7 @@ def signed_sets(docs: DataFrame, key: str, text: str, shingle: int, bands: int =
         circulant = hashing.Circulant(bands * rows)
         for batch in batches:
             sizes, keys, index, sets = [], [], {}, []
-            for hashed, _ in hashing.shingle_rows(batch.column(1), shingle):
+            for hashed in hashing.shingle_rows(batch.column(1), shingle):
                 own = np.unique(hashed)
                 sizes.append(len(own))
                 name = hashlib.blake2b(own, digest_size=16).digest() if len(own) else None
@@ -76,7 +76,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start, held, parts = 0, 0, []
-            for i, (hashed, _) in enumerate(hashing.shingle_rows(batch.column(1), shingle)):
+            for i, hashed in enumerate(hashing.shingle_rows(batch.column(1), shingle)):
                 parts.append(_signed(np.unique(hashed)))
                 held += len(parts[-1])
                 if held > 1_000_000:

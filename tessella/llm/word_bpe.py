@@ -127,13 +127,13 @@ class WordBpe:
                 width = -(-int(sizes[order[k]]) // 3) * 3
                 own = order[k : k + min(8_000, int(np.searchsorted(sizes[order[k:]], width, side="right")))]
                 width = max(2, int(sizes[own].max()))
-                found, counts[own] = self._merged(data[_ranges(begins[own], sizes[own])], sizes[own], width)
+                found, counts[own] = self._merged(data[hashing.ranges(begins[own], sizes[own])], sizes[own], width)
             parts.append(found)
             k += len(own)
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         at = np.empty(len(words), np.int64)
         at[order] = np.cumsum(counts[order]) - counts[order]
-        return flat[_ranges(at, counts)], counts
+        return flat[hashing.ranges(at, counts)], counts
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -161,7 +161,7 @@ class WordBpe:
         ends = np.cumsum(each)
         held = sums[ends] - sums[ends - each]
         starts = np.cumsum(held) - held + len(self.ids)
-        self.ids = np.concatenate([self.ids, flat[_ranges(at[which], counts[which])]])
+        self.ids = np.concatenate([self.ids, flat[hashing.ranges(at[which], counts[which])]])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes = every[order]
@@ -184,18 +184,12 @@ class WordBpe:
             self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(begins[pick].tolist(), ends[pick].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, distinct)
         starts, counts = self.starts[at][which], self.counts[at][which]
-        ids = self.ids[_ranges(starts, counts)].astype("<u4").tobytes()
+        ids = self.ids[hashing.ranges(starts, counts)].astype("<u4").tobytes()
         sums = np.append(0, np.cumsum(counts)) * 4
         cuts = sums[np.searchsorted(begins, rows, side="left")].tolist()
         return [ids[a:b] if ok else self.whole(text) for text, ok, a, b in zip(texts, plain, cuts[:-1], cuts[1:], strict=True)]
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The indices of all runs of ``counts`` from ``starts``, end to end."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
