@@ -42,7 +42,7 @@ def term_hashes(parts: Column, text: Column) -> Column:
 
 
 def _votes(h: Column, salt: int) -> list[Column]:
-    own = h if salt == 0 else F.xxhash64(h, F.lit(salt))
+    own = h if salt == 0 else F.when(h.isNotNull(), F.xxhash64(h, F.lit(salt)))
     return [F.sum(F.shiftrightunsigned(own, k).bitwiseAND(F.lit(_PAIR))).alias(f"v{salt}_{k}") for k in range(32)]
 
 
@@ -74,19 +74,19 @@ def shown(f0: Column, f1: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """Each row (doc, h, n_chars) with the next one by descending doc; the last is followed by the first.
+    """Each row (doc, id, h, n_chars) with id and h of the next one by descending doc; the last is followed by the first.
 
     Rows are dealt out by ranges of doc, numbered within a range, and ranges
     are joined at their ends, so no task holds more than a range.
     """
     dealt = stored(ids.repartitionByRange(F.col("doc").desc_nulls_last()).withColumn("_range", F.spark_partition_id()), "ranges")
-    order = [F.col("doc").desc_nulls_last(), F.col("h")]
-    inside = Window.partitionBy("_range").orderBy(*order)
-    numbered = dealt.withColumn("_next", F.lead(F.struct("doc", "h")).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    inside = Window.partitionBy("_range").orderBy(F.col("doc").desc_nulls_last(), F.col("h"))
+    numbered = dealt.withColumn("_next", F.lead(F.struct("id", "h")).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     ends = Window.orderBy("_range")
-    starts = numbered.where("_first").select("_range", F.struct("doc", "h").alias("_start"))
+    starts = numbered.where("_first").select("_range", F.struct("id", "h").alias("_start"))
     after = starts.select("_range", F.coalesce(F.lead("_start").over(ends), F.first("_start").over(ends)).alias("_after"))
-    return numbered.join(after, "_range").select("doc", "h", "n_chars", F.coalesce("_next", "_after").alias("_to")).select("doc", "h", "n_chars", F.col("_to.doc").alias("next_doc"), F.col("_to.h").alias("next_h"))
+    to = F.coalesce("_next", "_after")
+    return numbered.join(after, "_range").select("doc", "id", "h", "n_chars", to.getField("id").alias("next_id"), to.getField("h").alias("next_h"))
 
 
 def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -121,25 +121,23 @@ def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     are left alone.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.col(key).alias("doc"), body.alias("text")).withColumn("h", F.xxhash64("text")).groupBy("doc", "h").agg(F.first("text").alias("text"))
-    ids = docs.select(F.col(key).alias("doc"), F.xxhash64(body).alias("h"), F.char_length(body).cast("long").alias("n_chars")).distinct()
+    # A row's name, never null so that joins need no more than its hash partitioning.
+    named = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), body.alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = named.groupBy("id", "h").agg(F.first("text").alias("text"))
+    ids = named.select("doc", "id", "h", F.char_length("text").cast("long").alias("n_chars")).distinct()
     order = stored(neighbours(ids), "neighbours")
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    nexts = texts.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("text").alias("_text"))
-    heads = order.join(nexts, order.next_doc.eqNullSafe(F.col("_doc")) & (order.next_h == F.col("_h"))).select(
-        F.col("doc").alias("_doc"), F.col("h").alias("_h"), "n_chars", "next_doc", "next_h", F.substring("_text", F.lit(1), third).alias("head")
-    )
-    both = texts.join(heads, texts.doc.eqNullSafe(F.col("_doc")) & (texts.h == F.col("_h"))).select(
-        "doc", "h", "n_chars", "next_doc", "next_h", "text", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "head").alias("edited")
-    )
-    keys = ["doc", "h", "n_chars", "next_doc", "next_h", "sha"]
+    heads = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("_text")).join(order, ["next_id", "next_h"])
+    heads = heads.select("doc", "id", "h", "n_chars", "next_id", "next_h", F.substring("_text", F.lit(1), third).alias("head"))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "head")
+    both = texts.join(heads, ["id", "h"]).withColumn("edited", edited)
+    keys = ["doc", "id", "h", "n_chars", "next_id", "next_h", "sha"]
     sides = both.withColumn("sha", F.unhex(F.sha2("edited", 256))).select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("_s"))
     prints = stored(fingerprints(sides.select(*keys, "_s.side", "_s.text"), [*keys, "side"], "text"), "fingerprints")
     plain = prints.where("side = 0")
-    edited = prints.where("side = 1").select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("f0").alias("e0"), F.col("f1").alias("e1"))
-    following = plain.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
-    out = plain.join(edited, plain.doc.eqNullSafe(edited["_doc"]) & (plain.h == edited["_h"])).drop("_doc", "_h")
-    out = out.join(following, out.next_doc.eqNullSafe(following["_doc"]) & (out.next_h == following["_h"])).drop("_doc", "_h")
+    changed = prints.where("side = 1").select("id", "h", F.col("f0").alias("e0"), F.col("f1").alias("e1"))
+    following = plain.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
+    out = plain.join(changed, ["id", "h"]).join(following, ["next_id", "next_h"])
     out = out.join(near_classes(plain.select("doc", "f0", "f1"), radius), ["f0", "f1"], "left")
     f, e, n = (tuple(F.col(f"{c}{i}") for i in (0, 1)) for c in "fen")
     return out.select(
