@@ -41,11 +41,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 
-def linked(shared: DataFrame, confirm: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 2) -> DataFrame:
+def linked(
+    shared: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    alike: Callable[[Column, Column], Column],
+    detail: DataFrame,
+    close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    rounds: int = 2,
+) -> DataFrame:
     """node, component for the nodes of ``shared`` (node, n, bucket, lead) that have links.
 
     confirm: keeps those of the pairs (a, b) that are links; alike: whether
-    nodes with these n can be linked at all.
+    nodes with these n can be linked at all; detail: node and what ``close``
+    needs of it to tell links, within the join of the last round, so that
+    this join has no rows but links (and what ``confirm`` then refutes).
     """
     sizes = shared.select(F.col("node").alias("lead"), F.col("n").alias("_n")).distinct()
     first = shared.where("node <> lead").select("lead", "node", "n").distinct().join(sizes, "lead").where(alike(F.col("n"), F.col("_n")))
@@ -60,9 +69,10 @@ def linked(shared: DataFrame, confirm: Callable[[DataFrame], DataFrame], alike:
             pairs = held.join(mixed, "bucket").where(F.col("component") != F.col("_lead.component")).where(alike(F.col("n"), F.col("_lead.n")))
             pairs = pairs.select(F.least("node", "_lead.node").alias("a"), F.greatest("node", "_lead.node").alias("b"))
         else:
-            left = held.join(mixed.select("bucket"), "bucket")
-            right = left.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "component")])
-            pairs = left.join(right, "bucket").where((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & alike(F.col("n"), F.col("_n")))
+            left = held.join(mixed.select("bucket"), "bucket").join(detail, "node")
+            right = left.select("bucket", *[F.col(c).alias(f"_{c}") for c in left.columns if c != "bucket"])
+            apart = (F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & alike(F.col("n"), F.col("_n"))
+            pairs = left.join(right, "bucket").where(apart & close(F.col, lambda c: F.col(f"_{c}")))
             pairs = pairs.select(F.col("node").alias("a"), F.col("_node").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirm(pairs), "links")

@@ -9,8 +9,9 @@
    components.
 4. Buckets that still hold several components are gone over with other
    leaders, and at the end every pair of nodes of different components there
-   is confirmed or refuted, so no link that a bucket shows is lost.  Pairs
-   within a component are left out: they can't change it.
+   is tested within the join, so that it gives links and not pairs, and no
+   link that a bucket shows is lost.  Pairs within a component are left out:
+   they can't change it.  The test first bounds the overlap by bit maps.
 
 With 32 bands of 4 coordinates a pair at similarity 0.8 meets in no bucket
 once in 2e7; above, more rarely.
@@ -19,7 +20,8 @@ once in 2e7; above, more rarely.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,22 +72,27 @@ def signed_sets(docs: DataFrame, key: str, text: str, shingle: int, bands: int =
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The distinct shingle hashes of each row of ``docs`` (node, text)."""
+    """The distinct shingle hashes of each row of ``docs`` (node, text), and a map of 1024 bits of them."""
     kind = docs.schema["node"].dataType.simpleString()
+    maps = [f"b{k}" for k in range(16)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, held, parts = 0, 0, []
-            for i, hashed in enumerate(hashing.shingle_rows(batch.column(1), shingle)):
-                parts.append(_signed(np.unique(hashed)))
-                held += len(parts[-1])
-                if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), _lists(parts)], names=["node", "items"])
-                    start, held, parts = i + 1, 0, []
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), _lists(parts)], names=["node", "items"])
+            start, held, parts, bits = 0, 0, [], []
+            rows = hashing.shingle_rows(batch.column(1), shingle)
+            for i, hashed in enumerate(rows):
+                own = np.unique(hashed)
+                parts.append(_signed(own))
+                map_ = np.zeros(1024, bool)
+                map_[(own & np.uint64(1023)).astype(np.int64)] = True
+                bits.append(np.packbits(map_).view(np.int64))
+                held += len(own)
+                if held > 1_000_000 or i == batch.num_rows - 1:
+                    columns = np.stack(bits)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), _lists(parts), *(pa.array(columns[:, k]) for k in range(16))], names=["node", "items", *maps])
+                    start, held, parts, bits = i + 1, 0, [], []
 
-    return docs.select("node", "text").mapInArrow(of, f"node {kind}, items array<long>")
+    return docs.select("node", "text").mapInArrow(of, f"node {kind}, items array<long>, " + ", ".join(f"{m} long" for m in maps))
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -93,6 +100,20 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _shortened(sets: DataFrame) -> DataFrame:
+    """Sets by the upper halves of their hashes; spare: how many of these are equal to others of the set."""
+    short = F.transform("items", lambda x: F.shiftright(x, 32).cast("int"))
+    return sets.select("node", F.array_distinct(short).alias("items"), (F.size("items") - F.size(F.array_distinct(short))).alias("spare"), *[f"b{k}" for k in range(16)])
+
+
+def _reached(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
+    """Whether shortened sets can be links: first by bits that only one map has, each of which an own item set, then by the overlap."""
+    only = lambda x, y: reduce(lambda s, t: s + t, [F.bit_count(x(f"b{k}").bitwiseAND(F.bitwise_not(y(f"b{k}")))) for k in range(16)])
+    need = (a("n") + b("n")) * percent
+    maps = F.least(a("n") - only(a, b), b("n") - only(b, a)) * (100 + percent) >= need
+    return maps & ((F.size(F.array_intersect(a("items"), b("items"))) + F.greatest(a("spare"), b("spare"))) * (100 + percent) >= need)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * |A and B| >= percent * |A or B|."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("_a"))
@@ -122,7 +143,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     texts = docs.where("doc is not null").join(involved, "doc", "left_semi").select(F.col("doc").alias("node"), "text")
     sets = stored(shingle_sets(texts, shingle), "sets")
 
-    labels = linked(shared, lambda pairs: confirmed(pairs, sets, percent), lambda n, m: _alike(n, m, percent), rounds)
+    labels = linked(shared, lambda pairs: confirmed(pairs, sets, percent), lambda n, m: _alike(n, m, percent), _shortened(sets), lambda a, b: _reached(a, b, percent), rounds)
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_component"))
     component = F.coalesce("_component", "key")
     return signed.join(named, "set_key", "left").select(

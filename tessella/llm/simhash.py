@@ -102,7 +102,8 @@ def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
         apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
         return pairs.join(left, "a").join(right, "b").where(apart <= radius).select("a", "b")
 
-    labels = linked(shared, confirm, lambda n, m: F.lit(True))
+    apart = lambda a, b: F.bit_count(a("f0").bitwiseXOR(b("f0"))) + F.bit_count(a("f1").bitwiseXOR(b("f1"))) <= radius
+    labels = linked(shared, confirm, lambda n, m: F.lit(True), nodes, apart)
     return nodes.join(labels, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("near_class"))
 
 
