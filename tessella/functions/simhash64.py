@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 _TOKEN = re.compile(r"\w{2,}")
 
@@ -30,7 +31,7 @@ def fingerprint(text: str) -> tuple[int, int]:
     return out - (1 << 64) if out >> 63 else out, len(tokens)
 
 
-@F.pandas_udf("fp long, words int")
+@F.pandas_udf(StructType().add("fp", LongType()).add("words", IntegerType()))
 def simhash64(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in texts:
         yield pd.DataFrame([fingerprint(t) for t in part], columns=["fp", "words"])

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsp
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MOST, MOST_QUERY = 2048, 40
 # Query keys that only track visitors.
@@ -41,6 +42,6 @@ def normalize(url: str | None) -> str:
     return urlunsplit((scheme, where, path, urlencode(query), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(urls: pd.Series) -> pd.Series:
     return urls.map(normalize)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.simhash64 import hamming, simhash64
+from tessella.sources.checkpoints import checkpointed
 
 
 def near_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 6, least_words: int = 120) -> DataFrame:
@@ -39,7 +40,8 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     found = seeds.select("url", F.lit(0).alias("depth")).distinct()
     front = found
     for level in range(1, depth + 1):
-        front = edges.join(front, edges.parent == front.url, "left_semi").select(F.col("child").alias("url")).distinct().join(found, "url", "left_anti").select("url", F.lit(level).alias("depth")).checkpoint()
+        front = edges.join(front, edges.parent == front.url, "left_semi").select(F.col("child").alias("url")).distinct().join(found, "url", "left_anti").select("url", F.lit(level).alias("depth"))
+        front = checkpointed(front)
         found = found.union(front)
     return found
 
@@ -52,7 +54,7 @@ def rate_windows(requests: DataFrame, user: str, time: str, limit: int = 30, win
     is held whole.
     """
     kind = requests.schema[user].dataType.simpleString()
-    ordered = requests.select(F.col(user).alias("user"), F.col("event_id"), F.unix_micros(time).alias("at")).repartition("user").sortWithinPartitions("user", "at", "event_id")
+    ordered = requests.select(F.col(user).alias("user"), F.col("event_id"), F.unix_micros(F.col(time).cast("timestamp")).alias("at")).repartition("user").sortWithinPartitions("user", "at", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, start, used = None, 0, 0

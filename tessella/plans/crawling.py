@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import chunking, html, url_policy
 from tessella.operators import crawl
+from tessella.sources.checkpoints import shared_folder
 from tessella.sources.tables import table
 from tessella.streaming import stateful
 
@@ -22,9 +22,9 @@ def _rates(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.rate_windows(table(spark, folder, "events"), "user_id", "ts", limit=2, window_s=7200.0)
 
 
-_rates_sql = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-f AS (SELECT user_id, event_id, k, at AS start, 1 AS used, true AS allowed FROM e WHERE k = 1
- UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN f.start < e.at - 7200000000 THEN e.at ELSE f.start END, CASE WHEN f.start < e.at - 7200000000 THEN 1 WHEN f.used + 1 <= 2 THEN f.used + 1 ELSE f.used END, f.start < e.at - 7200000000 OR f.used + 1 <= 2 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+_rates_sql = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, us AS start, 1 AS used, true AS allowed FROM e WHERE k = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN f.start < e.us - 7200000000 THEN e.us ELSE f.start END, CASE WHEN f.start < e.us - 7200000000 THEN 1 WHEN f.used + 1 <= 2 THEN f.used + 1 ELSE f.used END, f.start < e.us - 7200000000 OR f.used + 1 <= 2 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
 SELECT user_id, event_id, allowed FROM f"""
 FAMILY.add("rate_windows", _rates, _rates_sql)
 FAMILY.add("near_pages", lambda s, f: crawl.near_pages(table(s, f, "documents")))
@@ -42,7 +42,7 @@ FAMILY.add("frontier_levels", _bfs, f"WITH RECURSIVE e AS ({_edges}), r AS (SELE
 def _streamed(spark: SparkSession, folder: str, build, mode: str = "append") -> DataFrame:
     events = table(spark, folder, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/event[s].parquet")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + f"/streams/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     stateful.run_available(build(stream), f"{base}/out", f"{base}/state", mode)
     return spark.read.parquet(f"{base}/out")
 

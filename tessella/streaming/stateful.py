@@ -26,13 +26,13 @@ def rate_limited(events: DataFrame, limit: int = 30, window_s: float = 60.0) ->
         state.update((start, used))
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "allowed": allowed})
 
-    timed = events.select("event_id", "user_id", F.unix_micros("ts").alias("at"))
+    timed = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return timed.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, allowed boolean", "start long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
 def idempotent(events: DataFrame, key: str = "event_id", time: str = "ts", keep: str = "30 days") -> DataFrame:
     """The first of events with equal keys; keys are forgotten after ``keep``."""
-    return events.withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
 
 
 def dead_letters(failures: DataFrame, most: int = 2) -> DataFrame:
@@ -48,7 +48,7 @@ def dead_letters(failures: DataFrame, most: int = 2) -> DataFrame:
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of each type in tumbling windows; rows later than ``late`` are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
