@@ -76,16 +76,23 @@ def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     turns = said.select("conv", "turn").distinct().withColumn("mark", F.col("turn"))
     placed = _before(turns, ["conv"], "mark", "_last").join(links, ["conv", "turn"], "left")
-    placed = stored(placed.select("conv", "turn", F.coalesce("_to", "_last").alias("reply_to"), F.col("_to").isNotNull().alias("quoted")), "replies")
+    placed = stored(placed.select("conv", "turn", F.coalesce("_to", "_last").alias("reply_to"), F.col("_to").isNotNull().alias("quoted"), "_last"), "replies")
     first = placed.where("reply_to IS NOT NULL").groupBy("conv", "reply_to").agg(F.min("turn").alias("_first"))
-    up = stored(placed.join(first, ["conv", "reply_to"], "left").select("conv", "turn", F.when(F.col("turn") == F.col("_first"), F.col("reply_to")).otherwise(F.col("turn")).alias("branch")), "branches")
+    carried = placed.join(first, ["conv", "reply_to"], "left").withColumn("_carries", F.coalesce(F.col("turn") == F.col("_first"), F.lit(False)))
+    # Turns that carry on from the turn just before are one run with it; only heads of runs are followed upwards.
+    mark = F.when(~(F.col("_carries") & (F.col("reply_to") == F.col("_last"))), F.col("turn"))
+    chained = stored(_before(carried.withColumn("mark", mark), ["conv"], "mark", "_earlier").select("conv", "turn", "reply_to", "quoted", "_carries", F.coalesce("mark", "_earlier").alias("head")), "runs")
+    to = chained.select("conv", F.col("turn").alias("reply_to"), F.col("head").alias("up"))
+    up = stored(chained.where("turn = head AND _carries").select("conv", "head", "reply_to").join(to, ["conv", "reply_to"]).select("conv", "head", "up"), "branches")
+    # A head that isn't in ``up`` starts its branch.
     while True:
-        above = up.select("conv", F.col("turn").alias("branch"), F.col("branch").alias("_above"))
-        after = stored(up.join(above, ["conv", "branch"]).select("conv", "turn", F.col("branch").alias("_old"), F.col("_above").alias("branch")), "branches")
-        up = after.select("conv", "turn", "branch")
-        if after.where("_old <> branch").isEmpty():
+        above = up.select("conv", F.col("head").alias("up"), F.col("up").alias("_above"))
+        after = stored(up.join(above, ["conv", "up"], "left").select("conv", "head", F.coalesce("_above", "up").alias("up"), F.col("_above").isNotNull().alias("_moved")), "branches")
+        up = after.select("conv", "head", "up")
+        if after.where("_moved").isEmpty():
             break
-    out = cut.join(placed.join(up, ["conv", "turn"]), ["conv", "turn"], "left")
+    placed = chained.join(up, ["conv", "head"], "left").select("conv", "turn", "reply_to", "quoted", F.coalesce("up", "head").alias("branch"))
+    out = cut.join(placed, ["conv", "turn"], "left")
     return out.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("own").alias(text), "reply_to", F.coalesce("quoted", F.lit(False)).alias("quoted"), "branch")
 
 
