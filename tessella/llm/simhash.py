@@ -1,7 +1,8 @@
 """SimHash fingerprints of whole texts, and classes of near fingerprints, in built-in functions only.
 
 Terms are pairs of neighbouring words; the number of times that a term
-occurs is its weight.  A term's hash votes for or against each of 128 bits,
+occurs is its weight; texts of all lengths have the same kind of terms, so
+near copies have them in common whatever their lengths.  A term's hash votes for or against each of 128 bits,
 and a bit is set when most votes are for it.  Votes are counted two to a
 64-bit sum, 32 bits each, so a text may have billions of terms, and counts
 of a text are combined before they are shuffled.
@@ -22,7 +23,8 @@ from .linking import linked, met
 from .storage import stored
 
 BITS = 128
-SHORT = 256
+# Texts of fewer characters also have their four-character runs as terms: none, as any such step sets near copies on its two sides apart.
+SHORT = 0
 _SPACE = r"[\x20\x09-\x0D]+"
 _PAIR = 0x0000000100000001
 
@@ -32,13 +34,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPACE), lambda w: w != "")
 
 
-def term_hashes(parts: Column, text: Column) -> Column:
-    """64-bit hashes of the terms: neighbouring words, or the word of a single one; short texts also have their four-character runs."""
+def term_hashes(parts: Column) -> Column:
+    """64-bit hashes of the terms: neighbouring words, or the word of a single one."""
     n = F.size(parts)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.element_at(parts, i), F.element_at(parts, i + 1)))).otherwise(F.transform(parts, lambda w: F.xxhash64(w)))
-    size = F.char_length(text)
-    runs = F.when((size >= 4) & (size < SHORT), F.transform(F.sequence(F.lit(1), F.greatest(size - 3, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(4)), F.lit(4)))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(pairs, runs)
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.element_at(parts, i), F.element_at(parts, i + 1)))).otherwise(F.transform(parts, lambda w: F.xxhash64(w)))
 
 
 def _votes(h: Column, salt: int) -> list[Column]:
@@ -58,8 +57,8 @@ def _bits(salt: int) -> Column:
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """f0 and f1, the halves of the fingerprint, for each distinct ``keys`` of ``rows``."""
-    parts = rows.select(*keys, F.col(text).alias("_text"), words(F.col(text)).alias("_words"))
-    hashed = parts.select(*keys, F.explode_outer(term_hashes(F.col("_words"), F.col("_text"))).alias("_h"))
+    parts = rows.select(*keys, words(F.col(text)).alias("_words"))
+    hashed = parts.select(*keys, F.explode_outer(term_hashes(F.col("_words"))).alias("_h"))
     counted = hashed.groupBy(*keys).agg(F.count("_h").alias("terms"), *_votes(F.col("_h"), 0), *_votes(F.col("_h"), 1))
     return counted.select(*keys, _bits(0).alias("f0"), _bits(1).alias("f1"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import xxhash
@@ -54,6 +55,16 @@ def test_fingerprints_as_by_counting(spark):
     assert got == expected(rows)
 
 
+def test_near_copies_around_256_characters(spark):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=draw.randint(3, 7))) for _ in range(80)) for _ in range(20)]
+    rows = [(i, n, text[:n]) for i, text in enumerate(texts) for n in (253, 255, 257)]
+    found = simhash.fingerprints(spark.createDataFrame(rows, "i int, n int, text string"), ["i", "n"], "text").collect()
+    by = {(r.i, r.n): f"{r.f0 & MASK:016x}{r.f1 & MASK:016x}" for r in found}
+    for a, b in ((253, 255), (255, 257)):
+        assert sum(like(by[i, a], by[i, b]) for i in range(20)) / 20 > 0.9
+
+
 def test_awkward_rows(spark):
     found = simhash.edited_and_near(cases.table(spark)).collect()
     assert len(found) == len(cases.rows()) - 1  # one row is repeated whole
