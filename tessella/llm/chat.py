@@ -4,7 +4,8 @@ The quote level of a line is the number of ``>`` before its text.  Lines of
 one level in a row are a passage.  A passage, with case, punctuation and line
 breaks normalised, is hashed and joined to the earlier messages of the same
 conversation that have it as their whole own text, a paragraph or a line; of
-several the latest counts.  A message replies to what its least quoted
+several the latest counts.  Of a trimmed passage its paragraphs are looked for
+in the same way, and then its lines.  A message replies to what its least quoted
 passage comes from, or else to the message before it.  Its text is what is
 left without quotes and the line that announces them.
 
@@ -60,19 +61,24 @@ def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     cut = cut.withColumn("own", F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""))
     said = cut.where("conv IS NOT NULL AND turn IS NOT NULL")
 
-    quoting = said.where(F.exists("levels", lambda n: n > 0)).select("conv", "turn", F.xxhash64("lines").alias("_row"), F.posexplode(F.arrays_zip("lines", "levels")).alias("at", "x"))
+    # Equal rows would give a passage each line several times.
+    quoting = said.where(F.exists("levels", lambda n: n > 0)).select("conv", "turn", "lines", "levels").distinct()
+    quoting = quoting.select("conv", "turn", F.xxhash64("lines").alias("_row"), F.posexplode(F.arrays_zip("lines", "levels")).alias("at", "x"))
     by_line = Window.partitionBy("conv", "turn", "_row").orderBy("at")
     runs = quoting.select("*", F.col("x.levels").alias("level")).withColumn("_new", (F.coalesce(F.lag("level").over(by_line), F.lit(-1)) != F.col("level")).cast("int")).withColumn("run", F.sum("_new").over(by_line))
     bare = F.regexp_replace(F.col("x.lines"), _LEAD, "")
     passages = runs.where("level > 0").groupBy("conv", "turn", "_row", "run", "level").agg(F.array_sort(F.collect_list(F.struct("at", bare.alias("line")))).alias("part"))
-    passages = passages.select("conv", "turn", "level", normal(F.array_join(F.col("part.line"), " ")).alias("norm")).where("norm <> ''")
-    passages = stored(passages.select("conv", "turn", "level", F.xxhash64("norm").alias("hash")).distinct(), "passages")
+    body = F.array_join(F.col("part.line"), "\n")
+    # What a passage is found by: 0 the whole of it, 1 one of its paragraphs, 2 one of its lines.
+    wanted = [F.transform(x, lambda p, n=n: F.struct(F.lit(n).alias("grade"), normal(p).alias("norm"))) for n, x in enumerate((F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n")))]
+    passages = passages.select("conv", "turn", "level", F.explode(F.concat(*wanted)).alias("_w")).where("_w.norm <> ''")
+    passages = stored(passages.groupBy("conv", "turn", "level", F.xxhash64("_w.norm").alias("hash")).agg(F.min("_w.grade").alias("grade")), "passages")
     split_up = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", "\n")))
     pieces = said.join(passages.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", F.explode(F.transform(split_up, lambda x: normal(x))).alias("norm")).where("norm <> ''")
-    known = pieces.select("conv", "turn", F.lit(None).cast("int").alias("level"), F.xxhash64("norm").alias("hash")).distinct().join(passages.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    known = pieces.select("conv", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("grade"), F.xxhash64("norm").alias("hash")).distinct().join(passages.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
     events = known.withColumn("mark", F.col("turn")).unionByName(passages.withColumn("mark", F.lit(None).cast("long")))
     found = _before(events, ["conv", "hash"], "mark", "_from").where("level IS NOT NULL AND _from IS NOT NULL")
-    links = found.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("nearness"), F.col("_from").alias("to"))).alias("_link")).select("conv", "turn", F.col("_link.to").alias("_to"))
+    links = found.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("nearness"), (-F.col("grade")).alias("wholeness"), F.col("_from").alias("to"))).alias("_link")).select("conv", "turn", F.col("_link.to").alias("_to"))
 
     turns = said.select("conv", "turn").distinct().withColumn("mark", F.col("turn"))
     placed = _before(turns, ["conv"], "mark", "_last").join(links, ["conv", "turn"], "left")

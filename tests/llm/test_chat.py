@@ -29,6 +29,21 @@ def test_quotes_lead_to_replies_and_branches(spark):
     assert run(spark, ROWS).count() == len(ROWS) and run(spark, []).count() == 0
 
 
+def test_repeated_rows_and_trimmed_quotes(spark):
+    rows = [
+        (1, 0, "user", "First matter.\n\nSecond matter\nin two lines.\n\nThird matter.", ""),
+        (1, 1, "user", "Another thing.", ""),
+        *[(1, 2, "user", "> First matter.\nI agree.", "")] * 3,
+        (1, 3, "user", "> First matter.\n>\n> Third matter.\nAgain.", ""),
+        (1, 4, "user", "> [...]\n> in two lines.\n> [...]\nOnce more.", ""),
+        (1, 5, "user", "in two lines.", ""),
+        (1, 6, "user", "> Second matter\n> in two lines.\nThe whole counts first.", ""),
+        (1, 7, "user", ">> First matter.\n> Another thing.\n> [...]\nThe least quoted counts.", ""),
+    ]
+    found = run(spark, rows).collect()
+    assert len(found) == len(rows) and {(r.turn, r.reply_to, r.quoted) for r in found} == {(0, None, False), (1, 0, False), (2, 0, True), (3, 0, True), (4, 0, True), (5, 4, False), (6, 0, True), (7, 1, True)}
+
+
 def test_replies_follow_what_they_reply_to(spark):
     rows = [(7, t, "user", f"message number {t}" + (f"\n> message number {t // 2}" if t % 3 == 0 else ""), "") for t in range(60)]
     order = sorted((r.branch, r.turn, r.reply_to) for r in run(spark, rows).collect())
