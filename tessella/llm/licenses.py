@@ -1,16 +1,19 @@
 """Licences by known sentences and ordered rules of them, in built-in functions only.
 
-A text is cut into sentences twice: at line ends and sentence ends (one-line
-notices), and at sentence ends and blank lines only (licence texts whose
-lines are wrapped).  A sentence is lower-cased and all but a-z and 0-9
-becomes single spaces; known ones have an identifier.  A rule is a sequence
-of identifiers, and a text meets it when they occur in this order, other
-sentences between them or not.  All of it happens within the row of a text,
-so nothing is shuffled.
+A text is cut into sentences three times: at line ends and sentence ends
+(one-line notices), and at sentence ends and blank lines only (licence texts
+whose lines are wrapped), once with any full stop as an end and once with those
+within numbers and URLs as none.  "v." before a number is no end.  A sentence
+is lower-cased and all but a-z and 0-9 becomes single spaces; known ones have
+an identifier.  A rule is a sequence of identifiers, and a text meets it when
+they occur in this order, other sentences between them or not.  All of it
+happens within the row of a text, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +69,21 @@ RULES = [
 INSTEAD = [("bsd3_text", "bsd2_text")]
 # Every known sentence has one of these within a word, so a text without any needs no more.
 ANCHORS = ("licens", "permission", "software", "redistribut", "mpl")
+WAYS = ("lines", "wrapped", "dotted")
 
 
-def _sentences(text: Column, wrapped: bool) -> Column:
-    """Normalised sentences in order; wrapped: lines go on unless a blank one follows."""
-    low = F.lower(text)
-    if wrapped:
+def _sentences(text: Column, way: str) -> Column:
+    """Normalised sentences in order; but for "lines", lines go on unless a blank one follows."""
+    low = F.regexp_replace(F.lower(text), r"\bv\.(?=\s{0,3}[0-9])", "v")
+    if way == "lines":
+        low = F.regexp_replace(low, r"[.!?;:]+\s", "\n")
+    elif way == "wrapped":
         low = F.regexp_replace(F.regexp_replace(low, r"\n[ \t\r]*\n", "."), "[\r\n]", " ")
         low = F.regexp_replace(low, r"[.!?;:]+(\s|$)|\.", "\n")
     else:
-        low = F.regexp_replace(low, r"[.!?;:]+\s", "\n")
+        low = F.regexp_replace(F.regexp_replace(low, "\r\n?", "\n"), r"\n[ \t]*\n\s*", "\n\n")
+        low = F.regexp_replace(low, r"(?<!\n)\n(?!\n)", " ")
+        low = F.regexp_replace(low, r"[.!?;:]+(?![a-z0-9/])", "\n")
     return F.transform(F.split(F.regexp_replace(low, r"[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s))
 
 
@@ -99,8 +107,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(spdx).alias("license"), F.array(*map(F.lit, ids)).alias("ids")) for r, spdx, ids in RULES])
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(" OR ".join(f"contains(lower(_text), '{a}')" for a in ANCHORS))
-    named = rows.select("_key", *[F.filter(F.transform(_sentences(F.col("_text"), w), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()).alias(c) for w, c in ((False, "_lines"), (True, "_wrapped"))])
-    found = named.where("size(_lines) > 0 OR size(_wrapped) > 0").select("_key", F.array_union(_met(F.col("_lines"), rules), _met(F.col("_wrapped"), rules)).alias("_met"))
+    named = rows.select("_key", *[F.filter(F.transform(_sentences(F.col("_text"), w), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()).alias(f"_{w}") for w in WAYS])
+    found = named.where(" OR ".join(f"size(_{w}) > 0" for w in WAYS)).select("_key", reduce(F.array_union, [_met(F.col(f"_{w}"), rules) for w in WAYS]).alias("_met"))
     dropped = F.filter("_met", lambda r: ~F.array_contains(F.flatten(F.array(*[F.when(F.exists("_met", lambda m: m.rule == win), F.array(F.lit(lose))).otherwise(F.array().cast("array<string>")) for win, lose in INSTEAD])), r.rule))
     return found.select("_key", F.explode(dropped).alias("_r")).select(F.col("_key").alias(key), F.col("_r.rule").alias("rule"), F.col("_r.license").alias("license"), F.size("_r.ids").alias("sentences"))
 

@@ -1,3 +1,5 @@
+import textwrap
+
 from tessella.llm import licenses
 
 from . import cases
@@ -39,6 +41,22 @@ def test_notices_and_wrapped_texts(spark):
     assert found(spark, texts) == [(0, "mit_notice"), (1, "apache_notice"), (2, "mit_text"), (3, "bsd2_text"), (4, "bsd3_text"), (7, "by_nc_notice")]
 
 
+def test_dotted_versions_and_urls_in_wrapped_texts(spark):
+    notices = {
+        "mpl_header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "apache_header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law',
+        "apache_notice": "Licensed under the Apache License, Version 2.0.",
+        "by_notice": "Licensed under CC BY 4.0.",
+        "by_nc_notice": "Licensed under CC BY-NC 4.0.",
+        "by_sa_notice": "Licensed under CC BY-SA 4.0.",
+        "by_long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    }
+    wrap = lambda text, width: "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n\n"))
+    cases = [(rule, f"Copyright of some one.\n\n{wrap(text, width)}\n\nMore words.") for rule, text in notices.items() for width in (17, 34, 40, 72, 300)]
+    assert found(spark, [text for _, text in cases]) == [(i, rule) for i, (rule, _) in enumerate(cases)]
+    assert found(spark, [f"words\n{notices['mpl_header']}\nwords", wrap(notices["apache_notice"], 34).replace("\n", "\r\n")]) == [(0, "mpl_header"), (1, "apache_notice")]
+
+
 def test_anchors_are_in_all_sentences():
     assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
     assert all(i in licenses.SENTENCES for _, _, ids in licenses.RULES for i in ids)
