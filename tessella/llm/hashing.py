@@ -1,8 +1,10 @@
 """Word, shingle and MinHash values of whole text columns, as numpy arrays.
 
 A word is a run of bytes outside space and 0x09-0x0D, with A-Z lower-cased.
-Its hash is a polynomial over its bytes modulo 2**64, taken from prefix sums
-so that a block of text costs a few array passes, and then mixed.  Work goes
+Its hash is a pair of polynomials over its bytes, modulo two primes of 31
+bits and at bases without structure, taken from prefix sums so that a block of
+text costs a few array passes, and then mixed.  (Modulo a power of two any
+base would give some words of regular structure equal values.)  Work goes
 block by block, so memory follows the number of words and not of bytes.
 """
 
@@ -12,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BLOCK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
+# (prime, base): sums of 2**19 bytes times a residue stay below 2**59.
+_FIELDS = ((2147483647, 1403580417), (2147483629, 1828906513))
 _U = np.uint64
 
 
@@ -25,15 +29,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_powers: list[np.ndarray] = []
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _tables() -> list[np.ndarray]:
+def _tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field the powers of its base and of the inverse of it."""
     if not _powers:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(_BLOCK + 1, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers.append(np.cumprod(steps, dtype=np.uint64))
+        for prime, base in _FIELDS:
+            both = []
+            for step in (base, pow(base, -1, prime)):
+                powers = np.ones(_BLOCK + 1, np.uint64)
+                filled = 1
+                while filled < len(powers):
+                    part = min(filled, len(powers) - filled)
+                    powers[filled : filled + part] = powers[:part] * _U(pow(step, filled, prime)) % _U(prime)
+                    filled += part
+                both.append(powers)
+            _powers.append((both[0], both[1]))
     return _powers
 
 
@@ -65,7 +77,6 @@ def _cut(data: np.ndarray, start: int, end: int) -> int:
 
 def _block_words(data: np.ndarray, breaks: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of a block; ``breaks``: row starts, at which a word begins anew."""
-    up, down = _tables()
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -80,10 +91,12 @@ def _block_words(data: np.ndarray, breaks: np.ndarray, fold: bool) -> tuple[np.n
     low += _U(1)
     if fold:
         low[(data >= 65) & (data <= 90)] += _U(32)
-    low *= up[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(low, out=sums[1:])
-    hashed = (sums[ends] - sums[starts]) * down[starts]
+    values = []
+    for (prime, _), (up, down) in zip(_FIELDS, _tables(), strict=True):
+        np.cumsum(low * up[: len(data)], out=sums[1:])
+        values.append((sums[ends] - sums[starts]) % _U(prime) * down[starts] % _U(prime))
+    hashed = values[0] << _U(32) | values[1]
     hashed += (ends - starts).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
     return mix64(hashed), starts, ends
 
@@ -116,6 +129,32 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(starts, rows, side="left")
 
 
+def distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of a string column as they are written, the number of each word in order, and the offsets of its rows.
+
+    Words are told apart by their characters and not by a hash.  Null counts as empty.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lists = pc.ascii_split_whitespace(column.fill_null("") if column.null_count else column)
+    flat = lists.flatten()
+    solid = pc.greater(pc.binary_length(flat), 0)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    rows = np.append(0, np.cumsum(solid.to_numpy(zero_copy_only=False)))[ends - ends[0]]
+    coded = flat.filter(solid).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows
+
+
+def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """A string column in slices of about so many bytes, of a row at least."""
+    _, begin = text_bytes(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + most, side="right")) - 1)
+        yield column.slice(i, j - i)
+        i = j
+
+
 def _is_space(byte: int) -> bool:
     return byte == 32 or 9 <= byte <= 13
 

@@ -5,8 +5,8 @@ Its tokens are those of the best-scoring split into pieces.  The best score
 of a prefix does not depend on what follows, so the distinct pre-tokens of a
 batch are walked as a trie, depth first (in sorted order, each starting where
 it leaves the one before): scores are computed once for each prefix, and the
-number of tokens is kept at each terminal.  Counts of pre-tokens met before
-are kept by hash.
+number of tokens is kept at each terminal, as are those of pre-tokens that
+earlier batches had.
 
 The vocabulary files here hold merge ranks and no probabilities, so a piece
 of rank r has the Zipf probability 1 / ((r + 1) H).  A character without a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import hashing
 
 MARK = "▁"
-_KNOWN = 3_000_000
+_KNOWN = 500_000
 
 
 def unigram_scores(path: str) -> tuple[dict[str, float], float]:
@@ -49,7 +49,7 @@ class Unigram:
             by_end.setdefault(piece[-1], set()).add(len(piece))
         # The lengths that pieces with a given last character have.
         self.lengths = {c: sorted(n) for c, n in by_end.items()}
-        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
 
     def terminals(self, words: list[str]) -> dict[str, int]:
         """Tokens of each distinct word (its mark included)."""
@@ -83,38 +83,19 @@ class Unigram:
 
     def count(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pre-tokens and tokens of each row."""
-        data, rows = hashing.text_bytes(column)
-        words, tokens, i = [], [], 0
-        while i < len(rows) - 1:
-            j = max(i + 1, int(np.searchsorted(rows, rows[i] + (1 << 22), side="right")) - 1)
-            w, t = self._count(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
-            words.append(w)
-            tokens.append(t)
-            i = j
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(words or none), np.concatenate(tokens or none)
-
-    def _count(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashed, starts, ends = hashing.word_spans(data, rows, fold=False)
-        distinct, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.hashes) > _KNOWN:
-            self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != distinct[inside]
-        if new.any():
-            raw, pick = data.tobytes(), first[new]
-            names = [MARK + raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            found = self.terminals(names)
-            every = np.concatenate([self.hashes, distinct[new]])
-            order = np.argsort(every, kind="stable")
-            self.hashes = every[order]
-            self.counts = np.concatenate([self.counts, np.fromiter(map(found.__getitem__, names), np.int64, len(names))])[order]
-            at = np.searchsorted(self.hashes, distinct)
-        sums = np.append(0, np.cumsum(self.counts[at][which]))
-        cuts = np.searchsorted(starts, rows, side="left")
-        return np.diff(cuts), np.diff(sums[cuts])
+        words, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in hashing.slices(column):
+            names, which, rows = hashing.distinct_words(part)
+            if len(self.known) > _KNOWN:
+                self.known = {}
+            known = self.known
+            for name, n in self.terminals([MARK + w for w in names if w not in known]).items():
+                known[name[1:]] = n
+            each = np.fromiter((known[w] for w in names), np.int64, len(names))
+            sums = np.append(0, np.cumsum(each[which]))
+            words.append(np.diff(rows))
+            tokens.append(np.diff(sums[rows]))
+        return np.concatenate(words), np.concatenate(tokens)
 
 
 @lru_cache(maxsize=2)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -41,3 +42,25 @@ def test_signature_of_a_set_does_not_depend_on_blocks():
     values = np.arange(1, 100_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     c = hashing.Circulant(16)
     assert (c.signatures([values], block=1000) == c.signatures([values], block=1 << 20)).all()
+
+
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_words_of_regular_structure_have_hashes_of_their_own():
+    for n in (64, 1024, 4096):
+        hashed, _ = hashing.word_hashes(pa.array([thue_morse(n, "a", "b"), thue_morse(n, "b", "a"), thue_morse(n, "a", "c")]))
+        assert len(set(hashed.tolist())) == 3
+
+
+def test_distinct_words_of_all_rows():
+    texts = [r[1] for r in cases.rows()]
+    for column in (pa.array(texts), pa.array(["before", *texts, "behind"]).slice(1, len(texts))):
+        names, which, rows = hashing.distinct_words(column)
+        assert len(set(names)) == len(names)
+        assert [[names[k] for k in which[a:b]] for a, b in zip(rows[:-1], rows[1:], strict=True)] == [[w for w in re.split(r"[\x20\x09-\x0d]+", t or "") if w] for t in texts]
+    assert hashing.distinct_words(pa.array([], pa.string()))[0] == []

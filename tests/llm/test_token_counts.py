@@ -5,6 +5,7 @@ import pyarrow as pa
 from tessella.llm import queries, token_counts
 
 from . import cases
+from .test_hashing import thue_morse
 
 PATH = queries.tokenizer_path(queries.PIECES)
 
@@ -24,7 +25,7 @@ def brute(model, word):
 def test_counts_as_word_by_word():
     random.seed(2)
     model = token_counts.Unigram(PATH)
-    words = ["the", "The", "thethe", "café", "日本語🎉", "x" * 40, "internationalisation"] + ["".join(random.choice("aethinsor") for _ in range(random.randint(1, 14))) for _ in range(400)]
+    words = ["the", "The", "thethe", "café", "日本語🎉", "x" * 40, "internationalisation", thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")] + ["".join(random.choice("aethinsor") for _ in range(random.randint(1, 14))) for _ in range(400)]
     assert model.terminals([token_counts.MARK + w for w in set(words)]) == {token_counts.MARK + w: brute(model, token_counts.MARK + w) for w in set(words)}
     for _ in range(2):  # the second time from what is known
         counts = model.count(pa.array([" ".join(words), None, "", " \n", "the"]))
