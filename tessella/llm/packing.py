@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             took, cols = [], ([], [], [], [], [])
-            for i, coded in enumerate(word_bpe.load(tokenizer).encode(["" if t is None else t for t in batch.column(1).to_pylist()])):
+            for i, coded in enumerate(word_bpe.load(tokenizer).encode(batch.column(1))):
                 coded += last
                 for k, at in enumerate(range(0, len(coded), step)):
                     part = coded[at : at + step]

@@ -1,18 +1,15 @@
 """Ids of a word-end BPE vocabulary file for batches of texts.
 
-The tokenizers library needs about ten microseconds for a word that it has
-not met, and a corpus has millions of them.  Here the distinct pre-tokens of
-a batch are merged together, one numpy step for all of them at a time, by the
-merges of the same file; the ids are those of the library.  Texts with
-characters on which its normaliser or white space differ from Python's, and
-pre-tokens too long for the arrays, go to the library itself.
+The file's split pattern never joins characters across white space, and its
+normaliser changes none across it, so a text's ids are those of its words end
+to end.  The library is asked once for each distinct word, as it is written;
+words are told apart by their characters.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import unicodedata
+import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,174 +17,35 @@ import pyarrow as pa
 
 from . import hashing
 
-_SAFE = [*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
-_LONGEST = 96
-_KNOWN = 3_000_000
-_NONE = np.int32(1 << 30)
-
-
-def _set(chars: list[int]) -> str:
-    return "".join(re.escape(chr(c)) for c in chars)
-
-
-_LETTERS = _set([c for c in _SAFE if unicodedata.category(chr(c))[0] == "L"])
-_NUMBERS = _set([c for c in _SAFE if unicodedata.category(chr(c))[0] == "N"])
-_PLAIN = re.compile(f"[\t\n\r {_set(_SAFE)}]*")
-# The file's own split pattern, with the classes written out for the safe characters.
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-
-
-def _byte_chars() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+_KNOWN = 500_000
 
 
 class WordBpe:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        chars = _byte_chars()
-        self.inner = np.array([vocab[c] for c in chars], np.int32)
-        self.final = np.array([vocab[c + end] for c in chars], np.int32)
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
-        made = np.array([vocab[a + b] for a, b in merges], np.int32)
-        keys = left << 16 | right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order]
-        self.forget()
-
-    def forget(self) -> None:
-        """The chunks met so far: their hashes in order, and where their ids are."""
-        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of the merge of each pair (_NONE if there is none) and the id that it makes."""
-        key = (a.astype(np.int64) << 16) | b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        hit = (self.keys[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.ranks[at], _NONE), self.made[at]
-
-    def _merged(self, flat: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, end to end, and how many, of words of at most ``width`` bytes."""
-        n, columns = len(sizes), np.arange(width)
-        ids = np.full((n, width), -1, np.int32)
-        ids[columns < sizes[:, None]] = self.inner[flat]
-        ids[np.arange(n), sizes - 1] = self.final[flat[np.cumsum(sizes) - 1]]
-        ranks, made = self._pairs(ids[:, :-1], ids[:, 1:])
-        out, rows = ids.copy(), np.arange(n)
-        while len(rows):
-            every, j = np.arange(len(rows)), ranks.argmin(1)
-            more = ranks[every, j] < _NONE
-            if not more.all():
-                out[rows[~more]] = ids[~more]
-                rows, ids, ranks, made, j = rows[more], ids[more], ranks[more], made[more], j[more]
-                every = every[: len(rows)]
-            if not len(rows):
-                break
-            new = made[every, j]
-            shift = np.minimum(columns + (columns > j[:, None]), width - 1)
-            ids = np.take_along_axis(ids, shift, 1)
-            ids[:, -1] = -1
-            ids[every, j] = new
-            pair_shift = np.minimum(shift[:, : width - 1], width - 2)
-            ranks, made = np.take_along_axis(ranks, pair_shift, 1), np.take_along_axis(made, pair_shift, 1)
-            ranks[:, -1] = _NONE
-            follow = ids[every, np.minimum(j + 1, width - 1)]
-            for at, a, b in ((j - 1, ids[every, np.maximum(j - 1, 0)], new), (j, new, follow)):
-                ok = np.flatnonzero((at >= 0) & (at < width - 1))
-                ranks[ok, at[ok]], made[ok, at[ok]] = self._pairs(a[ok], b[ok])
-        return out[out >= 0], (out >= 0).sum(1)
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pre-tokens, end to end, and how many each has."""
-        raw = "\n".join(words).encode() if words else b""
-        data = np.frombuffer(raw, np.uint8)
-        stops = np.append(np.flatnonzero(data == 10), len(data)) if words else np.zeros(0, np.int64)
-        begins = np.append(0, stops[:-1] + 1) if words else stops
-        sizes = stops - begins
-        order = np.argsort(sizes, kind="stable")
-        counts = np.zeros(len(words), np.int64)
-        parts, k = [], 0
-        while k < len(order):
-            if sizes[order[k]] > _LONGEST:
-                own = order[k : k + 1]
-                found = np.frombuffer(self.whole(words[own[0]]), "<u4").astype(np.int32)
-                counts[own] = len(found)
-            else:
-                width = -(-int(sizes[order[k]]) // 3) * 3
-                own = order[k : k + min(8_000, int(np.searchsorted(sizes[order[k:]], width, side="right")))]
-                width = max(2, int(sizes[own].max()))
-                found, counts[own] = self._merged(data[hashing.ranges(begins[own], sizes[own])], sizes[own], width)
-            parts.append(found)
-            k += len(own)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        at = np.empty(len(words), np.int64)
-        at[order] = np.cumsum(counts[order]) - counts[order]
-        return flat[hashing.ranges(at, counts)], counts
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, in steps of a few megabytes."""
-        out: list[bytes] = []
-        step, held = [], 0
-        for text in texts:
-            step.append(text)
-            held += len(text)
-            if held > 4_000_000:
-                out += self._step(step)
-                step, held = [], 0
-        return out + self._step(step)
-
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        parts = list(map(_SPLIT.findall, chunks))
-        index: dict[str, int] = {}
-        which = np.fromiter((index.setdefault(p, len(index)) for own in parts for p in own), np.int64)
-        flat, counts = self.words(list(index))
-        at = np.cumsum(counts) - counts
-        each = np.fromiter(map(len, parts), np.int64, len(parts))
-        sums = np.append(0, np.cumsum(counts[which]))
-        ends = np.cumsum(each)
-        held = sums[ends] - sums[ends - each]
-        starts = np.cumsum(held) - held + len(self.ids)
-        self.ids = np.concatenate([self.ids, flat[hashing.ranges(at[which], counts[which])]])
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
-        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, held])[order]
-
-    def _step(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(_PLAIN.fullmatch(text)) for text in texts]
-        low = pa.array([text.lower() if ok else "" for text, ok in zip(texts, plain, strict=True)], pa.large_string())
-        data, rows = hashing.text_bytes(low)
-        hashes, begins, ends = hashing.word_spans(data, rows)
-        if len(self.hashes) > _KNOWN:
-            self.forget()
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != distinct[inside]
-        if new.any():
-            raw, pick = data.tobytes(), first[new]
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(begins[pick].tolist(), ends[pick].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, distinct)
-        starts, counts = self.starts[at][which], self.counts[at][which]
-        ids = self.ids[hashing.ranges(starts, counts)].astype("<u4").tobytes()
-        sums = np.append(0, np.cumsum(counts)) * 4
-        cuts = sums[np.searchsorted(begins, rows, side="left")].tolist()
-        return [ids[a:b] if ok else self.whole(text) for text, ok, a, b in zip(texts, plain, cuts[:-1], cuts[1:], strict=True)]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        for word, coded in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(coded.ids, "<u4").tobytes()
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; none of a null or empty one."""
+        for part in hashing.slices(column):
+            names, which, rows = hashing.distinct_words(part)
+            if len(self.known) > _KNOWN:
+                self.known = {}
+            self._learn([w for w in names if w not in self.known])
+            own = [self.known[w] for w in names]
+            counts = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(counts) - counts
+            ids = flat[hashing.ranges(starts[which], counts[which])].tobytes()
+            cuts = (np.append(0, np.cumsum(counts[which])) * 4)[rows].tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield ids[a:b]
 
 
 @lru_cache(maxsize=2)

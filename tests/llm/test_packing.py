@@ -1,12 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessella.llm import packing, queries, word_bpe
+from tessella.sources.tables import table
 
 from . import cases
 
@@ -32,6 +34,14 @@ def test_plan_places_every_piece_once_without_overlap(lengths):
     assert len(placed) <= 1.25 * -(-sum(lengths) // 50) + 1
 
 
+def test_corpora_are_packed_near_the_least_number_of_sequences():
+    draw = np.random.default_rng(4)
+    for lengths in (draw.integers(1, 4097, 40_000), np.clip(draw.lognormal(6, 1.2, 60_000).astype(int), 1, 4096)):
+        table = packing.plan(np.bincount(lengths, minlength=4097))
+        least = max(-(-int(lengths.sum()) // 4096), int((lengths > 2048).sum()))
+        assert int((table.sequence + table.bins).max()) <= 1.01 * least
+
+
 def test_exact_complements_leave_no_waste():
     counts = np.zeros(101, int)
     counts[[60, 40, 70, 20, 10, 55, 25, 15, 5]] = [5, 5, 3, 3, 3, 2, 2, 2, 2]
@@ -42,14 +52,21 @@ def test_exact_complements_leave_no_waste():
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_the_library_ones(library):
     texts = ["", "   ", "don't 'S we'LL it''s 'sun x'restore 12 ½ ²", "<|endoftext|> x", "İstanbul Σας ß ÀÉ", "a\x1cb c\x85d e\xa0f", "!!!***$$$ |", "z" * 300, "日本 x", "“quoted” – dash… €5"]
-    coded = word_bpe.WordBpe(PATH).encode(texts * 2)
-    assert coded == [np.array(library(t), "<u4").tobytes() for t in texts * 2]
+    texts += ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|endoftext", "e\u0301 e \u0301", "one\x0btwo\x0cthree\u2003four", " lead", None]
+    coded = list(word_bpe.WordBpe(PATH).encode(pa.array(texts * 2)))
+    assert coded == [np.array(library(t or ""), "<u4").tobytes() for t in texts * 2]
+    assert np.frombuffer(coded[10], "<u4").tolist() == [320, 49407, 321]
+
+
+def test_ids_of_all_documents_are_the_library_ones(spark, library):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    coded = list(word_bpe.WordBpe(PATH).encode(pa.array(texts)))
+    assert coded == [np.array(library(t or ""), "<u4").tobytes() for t in texts]
 
 
 def test_documents_are_packed_whole(spark, library):
