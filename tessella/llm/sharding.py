@@ -15,6 +15,7 @@ any task finds the row of its partition from the partition sizes alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 ROWS_A_BUCKET = 100_000
+_HALF_LOG_2_PI = 0.5 * math.log(2 * math.pi)
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -48,17 +50,54 @@ def _draw(rng: np.random.Generator, colors: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log probability of x successes among n, by Loader's expansion about the mode, which large counts don't make inexact."""
+    if x in (0, n):
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+
+    def rest(k: int) -> float:
+        """log k! less its Stirling formula."""
+        return math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - _HALF_LOG_2_PI if k < 16 else (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * k * k)) / (k * k)) / (k * k)) / k
+
+    def deviance(k: int, mean: float) -> float:
+        """k log(k / mean) + mean - k."""
+        u = (k - mean) / mean
+        if abs(u) > 0.1:
+            return k * math.log(k / mean) + mean - k
+        # (1 + u) log(1 + u) - u as its series
+        term, total, j = u * u, 0.0, 2
+        while abs(term) > 1e-20 * abs(total) and j < 60:
+            total += term / (j * (j - 1)) * (1 if j % 2 == 0 else -1)
+            term *= u
+            j += 1
+        return mean * total
+
+    away = n - x
+    root = 0.5 * (math.log(n) - math.log(x) - math.log(away)) - _HALF_LOG_2_PI
+    return rest(n) - rest(x) - rest(away) - deviance(x, n * p) - deviance(away, n * (1 - p)) + root
+
+
 def _one(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n drawn without replacement are good.
+
+    Beyond numpy's range: the hypergeometric law is that of one of two
+    binomials with equal chances, given that both sum to n.  So the count of
+    the rarer kind is drawn as a binomial and taken with the probability that
+    the other kind makes up the rest, relative to its most likely count; seven
+    draws of ten are taken at the worst.
+    """
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    # Beyond numpy's range: in slices, each drawn from what the slices before have left.
-    got = 0
-    while n:
-        part = min(n, 500_000_000)
-        take = int(rng.binomial(part, good / (good + bad)))
-        take = min(max(take, part - bad), good)
-        got, good, bad, n = got + take, good - take, bad - (part - take), n - part
-    return got
+    if n in (0, good + bad):
+        return good if n else 0
+    if good > bad:
+        return n - _one(rng, bad, good, n)
+    p = n / (good + bad)
+    top = _log_binomial(min(bad, int((bad + 1) * p)), bad, p)
+    while True:
+        took = int(rng.binomial(good, p))
+        if 0 <= n - took <= bad and math.log(1 - rng.random()) <= _log_binomial(n - took, bad, p) - top:
+            return took
 
 
 def matrix_row(sums: np.ndarray, shards: np.ndarray, part: int, seed: int) -> np.ndarray:
@@ -79,7 +118,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, text: str =
     ('rows'), shard, slot, grown_shard (null: another shard count deals all
     rows anew), and the columns named in ``carry``.
 
-    Shard sizes differ by one at most.  Null texts count as empty, null keys
+    Shard sizes differ by one at most.  Rows with equal texts are rows like
+    any other and may go to different shards: a uniform shuffle knows no
+    groups; text_crc32 names the group of a row.  Null texts count as empty, null keys
     and repeated rows are rows like any other, ties in the random order are
     broken by key and checksum, an empty table gives no rows, and columns
     other than those named are left alone.  The driver holds one count for

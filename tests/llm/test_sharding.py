@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -22,6 +23,22 @@ def test_counts_follow_the_hypergeometric_mean():
     assert np.abs(drawn - 100).max() < 2
 
 
+def test_draws_beyond_a_thousand_million_follow_the_hypergeometric_law():
+    rng = np.random.default_rng(11)
+    for good, bad, n in ((10**9, 10**9, 10**9), (3 * 10**8, 10**9, 4 * 10**8), (5 * 10**10, 2 * 10**9, 3 * 10**10), (40, 10**12, 10**11)):
+        drawn = np.array([sharding._one(rng, good, bad, n) for _ in range(3000)], float)
+        total = good + bad
+        mean, variance = n * good / total, n * (good / total) * (bad / total) * (total - n) / (total - 1)
+        assert abs(drawn.mean() - mean) < 4 * (variance / 3000) ** 0.5 and 0.9 < drawn.var() / variance < 1.1
+    assert sharding._one(rng, 10**9, 10**9, 0) == 0 and sharding._one(rng, 10**9, 1, 10**9 + 1) == 10**9
+
+
+def test_large_counts_have_the_binomial_law():
+    n, p = 50, 0.3
+    whole = [math.comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(n + 1)]
+    assert np.allclose([math.exp(sharding._log_binomial(x, n, p)) for x in range(n + 1)], whole, rtol=1e-7)
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     docs = spark.range(1003).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text", "id AS shard", "id AS _rank").repartition(5)
     rows = sharding.assign_shards(docs, 40).collect()
