@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_path, stored
@@ -37,7 +37,7 @@ _MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
 _STEP = 1 << 16
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, begin long, end long"
-GAP = "file string, begin long, end long, reason string"
+LOG = RECORD + ", reason string"
 
 
 def _base32(digest: bytes) -> str:
@@ -165,12 +165,17 @@ def salvage(data: bytes) -> Salvage:
     return out
 
 
-def revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = MIN_REVISIT) -> DataFrame:
-    """_key and refers_to of the pages that repeat the payload of a page with a larger key."""
+def _slim(pages: DataFrame, key: str, html: str, *others: Column) -> DataFrame:
+    """_key, _digest and _bytes of each page's payload, and other columns."""
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    slim = pages.select(F.col(key).alias("_key"), F.sha1(body).alias("_digest"), F.octet_length(body).alias("_bytes")).where(F.col("_bytes") >= least)
+    return pages.select(F.col(key).cast("long").alias("_key"), F.sha1(body).alias("_digest"), F.octet_length(body).alias("_bytes"), *others)
+
+
+def revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = MIN_REVISIT) -> DataFrame:
+    """_key, _digest, _bytes and refers_to of the pages that repeat the payload of a page with a larger key."""
+    slim = _slim(pages, key, html).where(F.col("_bytes") >= least)
     groups = slim.groupBy("_digest", "_bytes").agg(F.max("_key").alias("refers_to"), F.min("_key").alias("_first")).where("_first < refers_to")
-    return slim.join(groups, ["_digest", "_bytes"]).where("_key < refers_to").select("_key", "refers_to").distinct()
+    return slim.join(groups, ["_digest", "_bytes"]).where("_key < refers_to").select("_key", "_digest", "_bytes", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = MIN_REVISIT, roll: int = ROLL) -> list[str]:
@@ -178,11 +183,14 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     Of pages with equal payloads of at least ``least`` bytes that with the
     largest key is a response and the others revisit it; smaller payloads and
-    pages with a null key are responses.  The path must be one that pyarrow
-    can write.
+    pages with a null key are responses, and so is every page with another
+    payload, whatever others there are of its key.  A task without pages
+    writes no file.  The path must be one that pyarrow can write.
     """
-    keyed = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))
-    rows = keyed.join(revisits(pages, key, html, least), "_key", "left")
+    keyed = _slim(pages, key, html, F.col(url).cast("string").alias("_url"), F.col(html).alias("_html"))
+    rows = keyed.join(revisits(pages, key, html, least), ["_key", "_digest", "_bytes"], "left")
+    # Keys as text, so that a null among them doesn't make pandas round the others.
+    rows = rows.select(F.col("_key").cast("string").alias("_key"), "_url", "_html", F.col("refers_to").cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -205,48 +213,58 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
         for pdf in batches:
             for k, u, h, r in zip(pdf["_key"], pdf["_url"], pdf["_html"], pdf["refers_to"], strict=True):
-                raw = record(None if pd.isna(k) else int(k), u, (h or "").encode(), None if pd.isna(r) else int(r))
+                raw = record(k, u, (h or "").encode(), r)
                 held.append(member(raw))
                 size += len(held[-1])
                 if size >= roll:
                     finish()
         if held:
             finish()
-        yield pd.DataFrame({"name": names})
+        if names:
+            yield pd.DataFrame({"name": names})
 
     return sorted(r["name"] for r in stored(rows.mapInPandas(write, "name string"), "manifest").collect())
 
 
-def _files(spark, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.warc.gz").load(path).select("path", "content")
 
 
-def read_archives(spark, path: str, names: list[str] | None = None) -> DataFrame:
-    """A row for each record of the archives below ``path``; names: the files to read (all if None)."""
-    return _salvaged(spark, path, names, False)
-
+def salvaged(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """A row for each record and for each quarantined byte gap of the archives below ``path``, told apart by ``reason``, which records have not.
 
-def read_gaps(spark, path: str, names: list[str] | None = None) -> DataFrame:
-    """The quarantined byte gaps of the archives below ``path``."""
-    return _salvaged(spark, path, names, True)
-
-
-def _salvaged(spark, path: str, names: list[str] | None, gaps: bool) -> DataFrame:
+    names: the files to read (all if None).
+    """
     wanted = None if names is None else set(names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 name = file.rpartition("/")[2]
-                if wanted is not None and name not in wanted:
-                    continue
-                found = salvage(content)
-                if gaps:
-                    yield pd.DataFrame([(name, *g) for g in found.gaps], columns=["file", "begin", "end", "reason"])
-                else:
-                    yield _rows(name, found.records)
+                if wanted is None or name in wanted:
+                    found = salvage(content)
+                    if found.records or found.gaps:
+                        yield _rows(name, found)
+
+    return _files(spark, path).mapInPandas(read, LOG)
+
+
+def read_archives(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """A row for each record of the archives below ``path``."""
+    return records_of(salvaged(spark, path, names))
+
+
+def read_gaps(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """The quarantined byte gaps of the archives below ``path``."""
+    return gaps_of(salvaged(spark, path, names))
+
+
+def records_of(log: DataFrame) -> DataFrame:
+    return log.where("reason IS NULL").drop("reason")
+
 
-    return _files(spark, path).mapInPandas(read, GAP if gaps else RECORD)
+def gaps_of(log: DataFrame) -> DataFrame:
+    return log.where("reason IS NOT NULL").select("file", "begin", "end", "reason")
 
 
 def _id(value: str | None) -> int | None:
@@ -254,28 +272,30 @@ def _id(value: str | None) -> int | None:
     return int(inner[1]) if inner else None
 
 
-def _rows(name: str, records: list[Record]) -> pd.DataFrame:
+def _rows(name: str, found: Salvage) -> pd.DataFrame:
     rows = []
-    for r in records:
+    for r in found.records:
         h, revisit = r.headers, r.headers.get("warc-type") == "revisit"
         stated = h.get("warc-payload-digest", "").removeprefix("sha1:")
         digest = base64.b32decode(stated).hex() if revisit else hashlib.sha1(r.payload).hexdigest()
         size = int(h["x-payload-length"]) if revisit else len(r.payload)
-        rows.append((_id(h.get("warc-record-id")), size, digest, h.get("warc-type"), _id(h.get("warc-refers-to")), name, r.begin, r.end))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        rows.append((_id(h.get("warc-record-id")), size, digest, h.get("warc-type"), _id(h.get("warc-refers-to")), name, r.begin, r.end, None))
+    rows += [(None, None, None, None, None, name, *gap) for gap in found.gaps]
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")], dtype=object)
+    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "begin": "int64", "end": "int64"})
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back: a row for each page.
 
-    Null html is an empty payload; null urls leave out the target; repeated
-    rows are records of their own; other columns are left alone; an empty
-    table gives no rows.
+    The archives are read once, into a table of records and quarantined gaps
+    in the shared folder, of which the records are returned.  Null html is an
+    empty payload; null urls leave out the target; repeated rows are records
+    of their own; other columns are left alone; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     names = write_archives(pages, path, key, url, html)
     if not names:
-        return spark.createDataFrame([], RECORD)
-    return read_archives(spark, path, names)
+        return records_of(spark.createDataFrame([], LOG))
+    return records_of(stored(salvaged(spark, path, names), "warc-log"))

@@ -30,6 +30,29 @@ def test_records_come_back_with_revisits(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_tasks_without_pages(spark):
+    rows = [(1, "u", BODIES[0], "f", 1), (2, "u", BODIES[0], "f", 1), (3, "u", None, "f", 1)]
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows).repartition(50)).collect()}
+    assert found == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+
+
+def test_rows_that_share_a_key_keep_their_payloads(spark):
+    big = (1 << 60) + 1
+    rows = [(1, "u", BODIES[0], "f", 1), (1, "u", BODIES[4], "f", 1), (2, "u", BODIES[0], "f", 1), (big, "u", BODIES[4], "f", 1), (None, "u", "x", "f", 1)]
+    found = sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows)).collect())
+    a, b, x = (hashlib.sha1(t.encode()).hexdigest() for t in (BODIES[0], BODIES[4], "x"))
+    assert found == sorted([(1, a, "revisit", 2), (1, b, "revisit", big), (2, a, "response", None), (big, b, "response", None), (0, x, "response", None)], key=lambda r: r[:3])
+
+
+def test_gaps_are_logged_with_the_records(spark):
+    path = new_path(spark, "warc-log-test")
+    names = warc.write_archives(pages(spark, [(i, "u", f"page {i}", "f", 1) for i in range(9)]).coalesce(1), path)
+    with open(f"{path.removeprefix('file://')}/{names[0]}", "r+b") as f:
+        f.write(b"?" * 20)
+    log = warc.salvaged(spark, path, names)
+    assert warc.records_of(log).count() == 8 and [(r.begin, r.reason) for r in warc.gaps_of(log).collect()] == [(0, "no version line")]
+
+
 def test_damage_costs_only_the_records_that_it_hits():
     random.seed(1)
     raws = [warc.record(i, f"http://x/{i}", bytes(random.randrange(32, 127) for _ in range(2000))) for i in range(30)]
