@@ -128,10 +128,10 @@ def held_out(key: Column) -> Column:
 
 @dataclass
 class Discriminant:
-    """Two classes, each with its mean, Cholesky factor of its covariance, and log weight."""
+    """Two classes, each with its mean, the inverse of the Cholesky factor of its covariance, and log weight."""
 
     mean: np.ndarray
-    factor: np.ndarray
+    whitening: np.ndarray
     weight: np.ndarray
     constant: float | None = None
 
@@ -140,7 +140,7 @@ class Discriminant:
             return np.full(len(x), self.constant)
         logs = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)
+            z = self.whitening[c] @ (x - self.mean[c]).T
             logs.append(self.weight[c] - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
@@ -181,7 +181,7 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", key: str
         unit = (1 - shrinkage) * unit + shrinkage * max(np.trace(unit) / d, 1e-3) * np.eye(d)
         factor[c] = np.linalg.cholesky(unit) * scale[:, None]
     weight = np.log(n / n.sum()) - np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1)
-    return Discriminant(mean, factor, weight)
+    return Discriminant(mean, np.linalg.inv(factor), weight)
 
 
 def scored(features: DataFrame, model: Discriminant, key: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
