@@ -2,7 +2,8 @@
 
 1. One pass over the texts gives each row the size of its shingle set, a
    128-bit key of the set, and band values of a circulant MinHash signature.
-2. Rows with equal sets become one node, the least key value among them.
+2. Rows with equal sets become one node, numbered; it is by set and not by
+   key, so rows that share a key but not a text are nodes of their own.
 3. In each bucket (a band value that several nodes share) every node is
    paired with one leader, so a bucket of m nodes costs m pairs.  Pairs are
    confirmed on full sets, confirmed ones are links, and links are joined to
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .linking import linked, met
+from .linking import least_keys, linked, met
 from .storage import stored
 
 BANDS, ROWS = 32, 4
@@ -45,6 +46,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
+def _set_key(own: np.ndarray) -> bytes | None:
+    """A 128-bit name of a set of hashes in order; none of an empty one."""
+    return hashlib.blake2b(own, digest_size=16).digest() if len(own) else None
+
+
 def signed_sets(docs: DataFrame, key: str, text: str, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Each row's key, n (distinct shingles), set_key (null without any) and band values."""
     kind = docs.schema[key].dataType.simpleString()
@@ -56,7 +62,7 @@ def signed_sets(docs: DataFrame, key: str, text: str, shingle: int, bands: int =
             for hashed in hashing.shingle_rows(batch.column(1), shingle):
                 own = np.unique(hashed)
                 sizes.append(len(own))
-                name = hashlib.blake2b(own, digest_size=16).digest() if len(own) else None
+                name = _set_key(own)
                 keys.append(name)
                 if name is not None and name not in index:
                     index[name] = len(sets)
@@ -72,27 +78,28 @@ def signed_sets(docs: DataFrame, key: str, text: str, shingle: int, bands: int =
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The distinct shingle hashes of each row of ``docs`` (node, text), and a map of 1024 bits of them."""
-    kind = docs.schema["node"].dataType.simpleString()
+    """node, the distinct shingle hashes and a map of 1024 bits of them, for the rows of ``docs`` (node, set_key, text) whose text has that set."""
     maps = [f"b{k}" for k in range(16)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, held, parts, bits = 0, 0, [], []
-            rows = hashing.shingle_rows(batch.column(1), shingle)
+            held, took, parts, bits = 0, [], [], []
+            names, rows = batch.column(1).to_pylist(), hashing.shingle_rows(batch.column(2), shingle)
             for i, hashed in enumerate(rows):
                 own = np.unique(hashed)
-                parts.append(_signed(own))
-                map_ = np.zeros(1024, bool)
-                map_[(own & np.uint64(1023)).astype(np.int64)] = True
-                bits.append(np.packbits(map_).view(np.int64))
-                held += len(own)
-                if held > 1_000_000 or i == batch.num_rows - 1:
+                if _set_key(own) == names[i]:
+                    took.append(i)
+                    parts.append(_signed(own))
+                    map_ = np.zeros(1024, bool)
+                    map_[(own & np.uint64(1023)).astype(np.int64)] = True
+                    bits.append(np.packbits(map_).view(np.int64))
+                    held += len(own)
+                if took and (held > 1_000_000 or i == batch.num_rows - 1):
                     columns = np.stack(bits)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), _lists(parts), *(pa.array(columns[:, k]) for k in range(16))], names=["node", "items", *maps])
-                    start, held, parts, bits = i + 1, 0, [], []
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int64())), _lists(parts), *(pa.array(columns[:, k]) for k in range(16))], names=["node", "items", *maps])
+                    held, took, parts, bits = 0, [], [], []
 
-    return docs.select("node", "text").mapInArrow(of, f"node {kind}, items array<long>, " + ", ".join(f"{m} long" for m in maps))
+    return docs.select("node", "set_key", "text").mapInArrow(of, "node long, items array<long>, " + ", ".join(f"{m} long" for m in maps))
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -130,21 +137,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     sequence is the one shingle.  Null and empty texts have empty sets and
     are linked with nothing.  component_id is the least key reachable by
     links; kept says whether that is the row's own.  Rows that share a key
-    are one document; a null key never is a least one and never kept unless
-    alone.  An empty table gives no rows; other columns are left alone.
+    and differ in text are documents of their own, with one name; a null key
+    never is a least one and never kept unless alone.  An empty table gives
+    no rows; other columns are left alone.
     """
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     signed = stored(signed_sets(docs, "doc", "text", shingle, bands, rows), "signed")
-    classes = stored(signed.where("n > 0").groupBy("set_key").agg(F.min("key").alias("node")), "classes")
-    own = classes.where("node is not null").select(F.col("set_key").alias("_set"), "node")
-    nodes = signed.join(own, (signed.key == own.node) & (signed.set_key == own["_set"])).select("node", "n", "bands")
+    classes = stored(signed.where("n > 0").groupBy("set_key").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = classes.where("key IS NOT NULL")
+    # One row of each set, or equal ones, stands for it.
+    nodes = signed.select("key", "set_key", "n", "bands").join(own, ["set_key", "key"]).select("node", "n", "bands")
     shared = stored(met(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "buckets")
-    involved = shared.select(F.col("node").alias("doc")).distinct()
-    texts = docs.where("doc is not null").join(involved, "doc", "left_semi").select(F.col("doc").alias("node"), "text")
-    sets = stored(shingle_sets(texts, shingle), "sets")
+    involved = own.join(shared.select("node").distinct(), "node").select(F.col("key").alias("doc"), "node", "set_key")
+    sets = stored(shingle_sets(docs.join(involved, "doc"), shingle).dropDuplicates(["node"]), "sets")
 
     labels = linked(shared, lambda pairs: confirmed(pairs, sets, percent), lambda n, m: _alike(n, m, percent), _shortened(sets), lambda a, b: _reached(a, b, percent), rounds)
-    named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_component"))
+    named = classes.select("set_key", "node").join(least_keys(classes.select("node", "key"), labels), "node").select("set_key", F.col("least").alias("_component"))
     component = F.coalesce("_component", "key")
     return signed.join(named, "set_key", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.col("_component").isNull()).alias("kept")

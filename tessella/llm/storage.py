@@ -4,25 +4,49 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str] = {}
+_SCOPES: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; unset (tests, one machine): a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; unset, a temporary one if the master is local, else an error."""
     named = spark.conf.get(_KEY, None)
     if not named:
-        app = spark.sparkContext.applicationId
-        named = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessella-"))
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError(f"{_KEY} is not set; it must name a folder that all executors see")
+        named = _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="tessella-"))
     return named.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tessella/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/tessella/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, within the innermost open ``scratch``."""
+    return "/".join([_folder(spark), *_SCOPES[-1:], f"{label}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written within go at its end, so what is made of them has to be written elsewhere before."""
+    _SCOPES.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{_folder(spark)}/{_SCOPES.pop()}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -38,7 +62,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application, once its results are written."""
-    folder = f"{shared_folder(spark)}/tessella/{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all intermediate tables of this application, once its results are written."""
+    _delete(spark, _folder(spark))

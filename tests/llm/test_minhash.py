@@ -2,9 +2,10 @@ import random
 
 import pytest
 
-from tessella.llm import minhash
+from tessella.llm import linking, minhash
 
 from . import cases
+from .test_hashing import thue_morse
 
 
 def brute(rows, size, percent):
@@ -55,6 +56,30 @@ def test_a_chain_is_one_component(spark):
     assert {r.component_id for r in found} == {0}
 
 
+def test_words_of_regular_structure_are_not_linked(spark):
+    rows = [(1, thue_morse(1024, "a", "b")), (2, thue_morse(1024, "b", "a")), (3, thue_morse(4096, "a", "b")), (4, thue_morse(4096, "b", "a"))]
+    assert all(r.kept for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect())
+
+
+def test_rows_that_share_a_key_are_documents_of_their_own(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(9, " ".join(base)), (9, "something else altogether and no copy"), (4, " ".join(base[1:])), (9, " ".join(base[:-1])), (9, " ".join(base[:-1]))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [(4, 58, 4, True), (9, 5, 9, True), (9, 58, 4, False), (9, 58, 4, False), (9, 59, 4, False)]
+
+
+def test_a_hot_bucket_is_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART", 4)
+    random.seed(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    template, rows = [f"t{k}" for k in range(40)], []
+    for _ in range(40):
+        own = template + [random.choice(vocabulary) for _ in range(40)]
+        rows += [(len(rows) + k, " ".join(own[: len(own) - k])) for k in range(random.randint(1, 3))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, bands=64, rows=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows, 2, 80))
+
+
 def test_awkward_rows(spark):
     found = minhash.near_duplicates(cases.table(spark), shingle=2).collect()
     assert len(found) == len(cases.rows())
