@@ -2,29 +2,29 @@
 
 Terms are pairs of neighbouring words; the number of times that a term
 occurs is its weight; texts of all lengths have the same kind of terms, so
-near copies have them in common whatever their lengths.  A term's hash votes for or against each of 128 bits,
-and a bit is set when most votes are for it.  Votes are counted two to a
-64-bit sum, 32 bits each, so a text may have billions of terms, and counts
-of a text are combined before they are shuffled.
-
-Fingerprints within a Hamming radius r agree in at least one of r + 1 blocks.
-For each block there is a table of the fingerprints permuted so that this
-block comes first; those that share it meet in a bucket and are compared.
+near copies have them in common whatever their lengths.  A term's hash votes
+for or against each of 128 bits, and a bit is set when most votes are for it.
+Votes are counted two to a 64-bit sum, 32 bits each, so a text may have
+billions of terms, and counts of a text are combined before they are shuffled.
+
+Fingerprints of 8 blocks within a Hamming radius r < 8 agree in at least 8 - r
+blocks.  For each choice of so many blocks there is a table of the
+fingerprints permuted so that these come first; those that share them meet in
+a bucket and are compared, so nothing within the radius is missed.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linking import linked, met
+from .linking import least_keys, linked, met
 from .storage import stored
 
-BITS = 128
-# Texts of fewer characters also have their four-character runs as terms: none, as any such step sets near copies on its two sides apart.
-SHORT = 0
+BITS, BLOCKS, RADIUS = 128, 8, 6
 _SPACE = r"[\x20\x09-\x0D]+"
 _PAIR = 0x0000000100000001
 
@@ -65,7 +65,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """The share of equal bits of two fingerprints."""
-    return 1 - (F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))) / F.lit(float(BITS))
+    return 1 - bits_apart(a0, a1, b0, b1) / F.lit(float(BITS))
 
 
 def shown(f0: Column, f1: Column) -> Column:
@@ -73,7 +73,7 @@ def shown(f0: Column, f1: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """Each row (doc, id, h, n_chars) with id and h of the next one by descending doc; the last is followed by the first.
+    """Each row (doc, id, h, n_chars, times) with id and h of the next one by descending doc; the last is followed by the first.
 
     Rows are dealt out by ranges of doc, numbered within a range, and ranges
     are joined at their ends, so no task holds more than a range.
@@ -85,28 +85,39 @@ def neighbours(ids: DataFrame) -> DataFrame:
     starts = numbered.where("_first").select("_range", F.struct("id", "h").alias("_start"))
     after = starts.select("_range", F.coalesce(F.lead("_start").over(ends), F.first("_start").over(ends)).alias("_after"))
     to = F.coalesce("_next", "_after")
-    return numbered.join(after, "_range").select("doc", "id", "h", "n_chars", to.getField("id").alias("next_id"), to.getField("h").alias("next_h"))
+    return numbered.join(after, "_range").select("doc", "id", "h", "n_chars", "times", to.getField("id").alias("next_id"), to.getField("h").alias("next_h"))
 
 
-def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """f0, f1 and class (the least doc reachable) of all distinct fingerprints of ``prints`` (doc, f0, f1)."""
-    nodes = stored(prints.where("doc is not null").groupBy("f0", "f1").agg(F.min("doc").alias("node")), "prints")
-    whole = F.concat(*[F.lpad(F.bin(f), 64, "0") for f in ("f0", "f1")])
-    size, blocks = BITS // (radius + 1), radius + 1
-    tables = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.xxhash64(b, F.substring(whole, b * size + 1, F.when(b == blocks - 1, F.lit(BITS)).otherwise(F.lit(size)))))
-    shared = stored(met(nodes.select("node", F.lit(0).alias("n"), F.explode(tables).alias("bucket"))), "buckets")
+def block_tables(f0: Column, f1: Column, radius: int) -> Column:
+    """A value for each choice of the blocks that fingerprints within the radius have in common."""
+    width = BITS // BLOCKS
+    blocks = [F.shiftrightunsigned(f, k * width).bitwiseAND(F.lit((1 << width) - 1)) for f in (f0, f1) for k in range(BLOCKS // 2)]
+    return F.array(*[F.xxhash64(F.lit(i), *[blocks[k] for k in chosen]) for i, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - radius))])
+
+
+def bits_apart(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    return F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))
+
+
+def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """f0, f1 and near_class (the least doc that steps of ``radius`` bits at most lead to) of all distinct fingerprints of ``prints`` (doc, f0, f1)."""
+    if not 0 <= radius < BLOCKS:
+        raise ValueError(f"the radius must be from 0 to {BLOCKS - 1} bits")
+    nodes = prints.where("doc is not null").groupBy("f0", "f1").agg(F.min("doc").alias("key")).withColumn("node", F.monotonically_increasing_id())
+    nodes = stored(nodes, "prints")
+    shared = stored(met(nodes.select("node", F.lit(0).alias("n"), F.explode(block_tables(F.col("f0"), F.col("f1"), radius)).alias("bucket"))), "buckets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left, right = (nodes.select(F.col("node").alias(k), F.col("f0").alias(f"{k}0"), F.col("f1").alias(f"{k}1")) for k in ("a", "b"))
-        apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-        return pairs.join(left, "a").join(right, "b").where(apart <= radius).select("a", "b")
+        near = bits_apart(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) <= radius
+        return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
-    apart = lambda a, b: F.bit_count(a("f0").bitwiseXOR(b("f0"))) + F.bit_count(a("f1").bitwiseXOR(b("f1"))) <= radius
-    labels = linked(shared, confirm, lambda n, m: F.lit(True), nodes, apart)
-    return nodes.join(labels, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("near_class"))
+    within = lambda a, b: bits_apart(a("f0"), a("f1"), b("f0"), b("f1")) <= radius
+    labels = linked(shared, confirm, lambda n, m: F.lit(True), nodes.drop("key"), within)
+    return nodes.join(least_keys(nodes.select("node", "key"), labels), "node").select("f0", "f1", F.col("least").alias("near_class"))
 
 
-def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Fingerprints of each text, of its edited text, and how they compare.
 
     The edited text has the last third of its code points replaced by as many
@@ -115,23 +126,24 @@ def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     fingerprints that steps of at most ``radius`` bits lead to.
 
     Null texts count as empty, and an empty text has the fingerprint of no
-    set bit.  A row repeated with key and text counts once; rows that share a
-    key only are ordered by their text's hash; null keys come last and have a
-    class only through others.  An empty table gives no rows; other columns
-    are left alone.
+    set bit.  A row repeated with key and text is one place in the order and
+    comes out as often as it went in; rows that share a key only are ordered
+    by their text's hash; null keys come last and have a class only through
+    others.  An empty table gives no rows; other columns are left alone.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     # A row's name, never null so that joins need no more than its hash partitioning.
     named = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), body.alias("text")).withColumn("h", F.xxhash64("text"))
     texts = named.groupBy("id", "h").agg(F.first("text").alias("text"))
-    ids = named.select("doc", "id", "h", F.char_length("text").cast("long").alias("n_chars")).distinct()
+    ids = named.select("doc", "id", "h", F.char_length("text").cast("long").alias("n_chars"))
+    ids = ids.groupBy(*ids.columns).agg(F.count("*").cast("int").alias("times"))
     order = stored(neighbours(ids), "neighbours")
     third = F.floor(F.col("n_chars") / 3).cast("int")
     heads = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("_text")).join(order, ["next_id", "next_h"])
-    heads = heads.select("doc", "id", "h", "n_chars", "next_id", "next_h", F.substring("_text", F.lit(1), third).alias("head"))
+    heads = heads.select("doc", "id", "h", "n_chars", "times", "next_id", "next_h", F.substring("_text", F.lit(1), third).alias("head"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "head")
     both = texts.join(heads, ["id", "h"]).withColumn("edited", edited)
-    keys = ["doc", "id", "h", "n_chars", "next_id", "next_h", "sha"]
+    keys = ["doc", "id", "h", "n_chars", "times", "next_id", "next_h", "sha"]
     sides = both.withColumn("sha", F.unhex(F.sha2("edited", 256))).select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("_s"))
     prints = stored(fingerprints(sides.select(*keys, "_s.side", "_s.text"), [*keys, "side"], "text"), "fingerprints")
     plain = prints.where("side = 0")
@@ -139,6 +151,7 @@ def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     following = plain.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
     out = plain.join(changed, ["id", "h"]).join(following, ["next_id", "next_h"])
     out = out.join(near_classes(plain.select("doc", "f0", "f1"), radius), ["f0", "f1"], "left")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
     f, e, n = (tuple(F.col(f"{c}{i}") for i in (0, 1)) for c in "fen")
     return out.select(
         F.col("doc").alias(key), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), shown(*f).alias("fingerprint"), shown(*e).alias("edited_fingerprint"),

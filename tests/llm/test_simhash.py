@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import xxhash
 
 from tessella.llm import simhash
@@ -23,8 +24,6 @@ def h64(*values):
 def brute(text):
     words = [w for w in re.split(r"[\x20\x09-\x0d]+", text.lower()) if w]
     terms = [h64(a, b) for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else [h64(w) for w in words]
-    if 4 <= len(text) < simhash.SHORT:
-        terms += [h64(text[i : i + 4], (4).to_bytes(4, "little")) for i in range(len(text) - 3)]
     halves = []
     for salt in (0, 1):
         own = [t if salt == 0 else h64(t.to_bytes(8, "little"), (1).to_bytes(4, "little")) for t in terms]
@@ -67,18 +66,15 @@ def test_near_copies_around_256_characters(spark):
 
 def test_awkward_rows(spark):
     found = simhash.edited_and_near(cases.table(spark)).collect()
-    assert len(found) == len(cases.rows()) - 1  # one row is repeated whole
+    assert len(found) == len(cases.rows()) and sum(r.doc_id == 12 for r in found) == 2
     by = {r.doc_id: r for r in found}
     assert by[1].fingerprint == by[2].fingerprint == by[12].fingerprint and by[1].near_class == by[12].near_class == 1
     assert by[4].fingerprint == "0" * 32 and by[4].n_chars == 0 and by[4].near_edited == 1.0
     assert simhash.edited_and_near(cases.empty(spark)).count() == 0
 
 
-def test_classes_as_by_all_pairs(spark):
-    base = [h64(str(k)) for k in range(6)]
-    prints = [(i, b ^ flip, b >> 1) for i, (b, flip) in enumerate((b, sum(1 << p for p in ps)) for b in base for ps in ((), (0,), (0, 1), (5, 9, 33), (60, 61, 62, 63), (0, 1, 2, 3, 4, 5)))]
-    signed = [(i, a - (1 << 64) if a >> 63 else a, b) for i, a, b in prints]
-    found = simhash.near_classes(spark.createDataFrame(signed, "doc long, f0 long, f1 long"), 3).collect()
+def classes(prints, radius):
+    """The least doc reachable by steps of at most so many bits, by comparing all pairs."""
     up = {i: i for i, *_ in prints}
 
     def top(i):
@@ -88,7 +84,34 @@ def test_classes_as_by_all_pairs(spark):
 
     for i, a, b in prints:
         for j, c, d in prints[:i]:
-            if (a ^ c).bit_count() + (b ^ d).bit_count() <= 3:
+            if (a ^ c).bit_count() + (b ^ d).bit_count() <= radius:
                 x, y = sorted((top(i), top(j)))
                 up[y] = x
-    assert {(r.f0, r.f1): r.near_class for r in found} == {(a, b): top(i) for i, a, b in signed}
+    return {i: top(i) for i, *_ in prints}
+
+
+@pytest.mark.parametrize("radius", [0, 3, 6, 7])
+def test_classes_as_by_all_pairs(spark, radius):
+    draw = random.Random(radius)
+    prints = []
+    for _ in range(8):
+        whole = draw.getrandbits(128)
+        for flips in (0, 1, 3, 6, 7, 8, 12, radius, radius, radius + 1):
+            own = whole
+            for bit in draw.sample(range(128), flips):
+                own ^= 1 << bit
+            prints.append((len(prints), own & MASK, own >> 64))
+            whole = own if draw.random() < 0.3 else whole
+    signed = [(i, *(x - (1 << 64) if x >> 63 else x for x in (a, b))) for i, a, b in prints]
+    found = {(r.f0, r.f1): r.near_class for r in simhash.near_classes(spark.createDataFrame(signed, "doc long, f0 long, f1 long"), radius).collect()}
+    want = classes(prints, radius)
+    least = {}
+    for i, a, b in signed:
+        least.setdefault((a, b), want[i])
+    assert found == least
+
+
+def test_rows_that_share_a_key_keep_their_own_class(spark):
+    rows = [(5, 1, 1), (5, 1 << 40, (1 << 60) - 1), (3, 1 << 40, (1 << 60) - 2)]
+    found = {(r.f0, r.f1): r.near_class for r in simhash.near_classes(spark.createDataFrame(rows, "doc long, f0 long, f1 long")).collect()}
+    assert found == {(1, 1): 5, (1 << 40, (1 << 60) - 1): 3, (1 << 40, (1 << 60) - 2): 3}
