@@ -36,6 +36,8 @@ BLOCK = 16
 # Rows of the item index (bands and shingles) up to which it is broadcast; 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 _STEP = 1 << 21
+_POSTINGS = 1 << 21
+_FILTER_BITS = 1 << 27
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -141,13 +143,14 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
             i = j
 
     if rows <= broadcast:
-        held = index.select("item", "n", "bands", "items").collect()
-        at = np.repeat(np.arange(len(held)), [len(r["bands"]) for r in held])
-        keys = np.array([b for r in held for b in r["bands"]], np.int64).view(np.uint64)
+        held = index.select("item", "n", "bands", "items").toArrow().combine_chunks()
+        names, sizes = held["item"].combine_chunks(), held["n"].to_numpy().tolist()
+        sets = [x.values.to_numpy().view(np.uint64) for x in held["items"]]
+        each = [x.values.to_numpy() for x in held["bands"]]
+        at = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        keys = np.concatenate(each).view(np.uint64)
         order = np.argsort(keys, kind="stable")
         keys, at = keys[order], at[order]
-        sets = [np.array(r["items"], np.int64).view(np.uint64) for r in held]
-        names, sizes = [r["item"] for r in held], [r["n"] for r in held]
         seen = np.zeros(1 << 24, bool)
         seen[keys & _LOW] = True
         seen_bits = np.packbits(seen)
@@ -160,13 +163,17 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
             for batch in batches:
                 took, found, both = [], [], []
                 for first, hashed, offsets, parts in bands_of(batch.column(1), circulant):
-                    candidates = []
+                    met = np.zeros(0, np.int64)
                     for row, bands in parts:
                         near = np.flatnonzero(seen[bands & _LOW])
                         lo, hi = (np.searchsorted(keys, bands[near], side=s) for s in ("left", "right"))
-                        candidates.append(np.repeat(row[near], hi - lo) * len(names) + at[hashing.ranges(lo, hi - lo)])
+                        # Step by step, as many bands may each have many items.
+                        cuts = np.searchsorted(np.cumsum(hi - lo), np.arange(0, int((hi - lo).sum()), _POSTINGS), side="right")
+                        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(near)], strict=False):
+                            pairs = np.repeat(row[near[a:b]], hi[a:b] - lo[a:b]) * len(names) + at[hashing.ranges(lo[a:b], hi[a:b] - lo[a:b])]
+                            met = np.union1d(met, pairs)
                     last, whole = -1, None
-                    for pair in np.unique(np.concatenate(candidates)).tolist() if candidates else ():
+                    for pair in met.tolist():
                         row, c = divmod(pair, len(names))
                         if row != last:
                             last, whole = row, np.unique(hashed[offsets[row] : offsets[row + 1]])
@@ -176,13 +183,21 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
                             found.append(c)
                             both.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(took, pa.int64())), pa.array([names[c] for c in found]).cast(_arrow(item_kind)), pa.array(both, pa.int64()), pa.array([sizes[c] for c in found], pa.int64())],
+                    [batch.column(0).take(pa.array(took, pa.int64())), names.take(pa.array(found, pa.int64())), pa.array(both, pa.int64()), pa.array([sizes[c] for c in found], pa.int64())],
                     names=["doc", "item", "shared", "n"],
                 )
 
         return docs.mapInArrow(search, schema)
 
     # More items than may be broadcast: the same bands meet in a join, and so do the shingles of candidates.
+    # What is sent then is a filter of _FILTER_BITS bits whatever the index, so that few bands that no item has are shuffled.
+    known = index.select("item", F.explode("bands").alias("band"))
+    slot = F.col("band").bitwiseAND(F.lit(_FILTER_BITS - 1))
+    words = known.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(band & 63 AS INT))")).alias("bits")).toArrow()
+    filter_ = np.zeros(_FILTER_BITS // 64, np.int64)
+    filter_[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = hashing.Circulant(COORDINATES)
         for batch in batches:
@@ -190,6 +205,9 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
                 if not parts:
                     continue
                 row, bands = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                own = (bands & np.uint64(_FILTER_BITS - 1)).astype(np.int64)
+                some = np.flatnonzero(sent.value[own >> 6] >> (own & 63) & 1)
+                row, bands = row[some], bands[some]
                 order = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[order], np.arange(len(at) - 1))[1:]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), _lists([_signed(np.unique(b)) for b in np.split(bands[order], cuts)])], names=["doc", "bands"])
@@ -198,17 +216,12 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(np.unique(h)) for h in hashing.shingle_rows(batch.column(1), shingle)])], names=["doc", "_whole"])
 
-    known = index.select("item", F.explode("bands").alias("band"))
     pairs = stored(docs.mapInArrow(explode, f"doc {kind}, bands array<long>").select("doc", F.explode("bands").alias("band")).join(known, "band").select("doc", "item").distinct(), "candidates")
     texts = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").mapInArrow(whole, f"doc {kind}, _whole array<long>")
     both = F.size(F.array_intersect("items", "_whole")).cast("long")
     return pairs.join(index.select("item", "n", "items"), "item").join(texts, "doc").select("doc", "item", both.alias("shared"), "n").where(F.col("shared") * 100 >= F.col("n") * percent)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """key, item, item_shingles, shared and containment of every document that holds ``percent`` of an item's shingles.
 
@@ -216,8 +229,9 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
     lower-cased); an item of fewer words is one shingle, found in documents
     that are that sequence.  Null or empty texts hold and are nothing;
     rows without a key are left out; repeated rows give one pair; empty
-    tables give none; other columns are left alone.  An index of at most
-    ``broadcast`` entries is sent to the tasks, a larger one is joined.
+    tables give none; other columns are left alone; keys may have any type
+    that can be joined on.  An index of at most ``broadcast`` entries is sent
+    to the tasks, a larger one is joined.
     """
     index = stored(item_index(items, item, item_text, shingle, percent), "items")
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
