@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import corpus_pipeline
-from tessella.llm import packing, quality
+from tessella.llm import packing, quality, storage
 from tessella.llm.queries import WORD_BPE, tokenizer_path
 from tessella.sources.tables import table
 
+from . import cases
 from .test_decontaminate import brute as contained
 from .test_minhash import brute as components
 
@@ -29,3 +32,21 @@ def test_stages_keep_the_columns_of_documents(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         assert 0 < out.count() < docs.count()
+
+
+def test_stages_stand_awkward_rows(spark):
+    docs = cases.table(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() > 0 and (name == "packing" or out.columns == docs.columns), name
+        assert out.where("doc_id IS NULL").count() == 1, name  # no stage drops a row without a name
+        assert stage(spark, cases.empty(spark), SF).count() == 0, name
+
+
+def test_tables_between_are_deleted(spark):
+    with storage.scratch(spark):
+        df = storage.stored(spark.range(3), "between")
+        inside = df.inputFiles()[0]
+        assert Path(inside.removeprefix("file://")).exists()
+    assert not Path(inside.removeprefix("file://")).exists()
+    assert storage.stored(spark.range(3), "between").count() == 3
