@@ -36,7 +36,7 @@ S("chunk_diff", f"WITH o AS ({_old}), n AS ({_new}) SELECT coalesce(n.doc, o.doc
 S("stale_parents", f"WITH o AS ({_old}), n AS ({_new}) SELECT o.doc, o.hash FROM o LEFT ANTI JOIN n ON o.doc = n.doc AND o.hash = n.hash", f"WITH o AS ({_old}), n AS ({_new}) SELECT o.doc, o.hash FROM o ANTI JOIN n ON o.doc = n.doc AND o.hash = n.hash")
 S("upsert_generations", f"WITH o AS ({_old}), n AS ({_new}) SELECT n.doc, CASE WHEN o.doc IS NULL THEN 1 WHEN o.hash = n.hash THEN 1 ELSE 2 END AS generation, coalesce(o.hash = n.hash, false) AS fast_path FROM n LEFT JOIN o ON o.doc = n.doc")
 S("generation_fence", "WITH c AS (SELECT o_custkey AS doc, o_orderkey % 4 AS generation, o_orderkey FROM {orders}), m AS (SELECT *, max(generation) OVER (PARTITION BY doc) AS latest FROM c) SELECT doc, generation, count(*) AS kept FROM m WHERE generation = latest GROUP BY doc, generation")
-S("completion_contract", "SELECT o.o_orderkey, count(l.l_linenumber) AS stored, o.o_orderkey % 7 + 1 AS expected, count(l.l_linenumber) >= o.o_orderkey % 7 + 1 AS complete FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
+S("completion_contract", "SELECT o.o_orderkey, count(l.l_linenumber) AS stored, o.o_orderkey % 7 + 1 AS expected, count(l.l_linenumber) = o.o_orderkey % 7 + 1 AS complete FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
 S("failure_verdict", "WITH c AS (SELECT l_orderkey AS doc, count(*) AS chunks, sum(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END) AS embedded FROM {lineitem} GROUP BY l_orderkey) SELECT doc, CASE WHEN chunks = 1 AND failed > 0 THEN 'failed' WHEN failed + embedded >= chunks THEN CASE WHEN embedded = 0 THEN 'failed' ELSE 'indexed' END ELSE 'processing' END AS verdict FROM c")
 S("distinct_failed", "SELECT l_suppkey, count(DISTINCT CASE WHEN l_partkey % 9 <> 0 THEN l_partkey END) + sum(CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE 0 END) AS failed FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_suppkey")
 S("dead_letters", "WITH f AS (SELECT user_id, count(*) AS failures, max(ts) AS last_at FROM {events} WHERE event_type = 'error' OR event_id % 9 = 0 GROUP BY user_id) SELECT user_id, failures, CASE WHEN failures >= 2 THEN 'abandoned' ELSE 'pending' END AS status FROM f")
@@ -65,7 +65,6 @@ S("failure_rates", "SELECT user_id % 20 AS task, sum(CASE WHEN event_id % 19 = 0
 S("retention", "SELECT event_type, count(*) AS expired FROM {events} WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY event_type")
 S("session_purge", "SELECT user_id, count(*) AS marked FROM {events} WHERE event_id % 5 <> 3 GROUP BY user_id")
 S("category_rollup", "SELECT lang, grouping(lang) AS total, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM {documents} GROUP BY GROUPING SETS ((lang), ())")
-S("extraction_rollup", "SELECT lang, source, grouping(lang) AS gl, grouping(source) AS gs, count(*) AS n, round(avg(CASE WHEN n_chars > 500 THEN n_chars END), 4) AS macro FROM {documents} GROUP BY GROUPING SETS ((lang), (source), ())")
 S("manifest_diff", f"WITH o AS ({_old}), n AS ({_new}) SELECT CASE WHEN o.doc IS NULL THEN 'added' WHEN n.doc IS NULL THEN 'removed' WHEN o.hash = n.hash THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM o FULL OUTER JOIN n ON o.doc = n.doc GROUP BY 1")
 S("kill_switch", "SELECT d.doc_id, coalesce(c.enabled, true) AS enabled FROM {documents} d LEFT JOIN (SELECT item_id, item_id % 2 = 0 AS enabled FROM {benchmark}) c ON c.item_id = d.doc_id")
 S("backfill_embedded", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 END, doc_id % 4, 0) AS chunks_embedded FROM {documents}")
@@ -75,8 +74,5 @@ S("paged_titles", "WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION
 S("fact_conflicts", """WITH f AS (SELECT p_partkey AS id, lower(p_name) AS subject, CASE p_size % 3 WHEN 0 THEN 'fee_amount' ELSE 'other' END AS kind, concat('PKR ', CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING)) AS raw, CASE WHEN p_partkey % 4 = 0 THEN '2024' WHEN p_partkey % 4 = 1 THEN '2025' END AS session FROM {part}),
  v AS (SELECT *, CASE WHEN kind = 'fee_amount' THEN replace(regexp_extract(raw, '(PKR|Rs)[.]? *([0-9,]+)', 2), ',', '') ELSE trim(raw) END AS val FROM f)
  SELECT a.id AS a, b.id AS b, CASE WHEN a.session <> b.session THEN 'SESSION_DIFFERENCE' ELSE 'UNRESOLVED_CRITICAL_CONFLICT' END AS conflict FROM v a JOIN v b ON a.subject = b.subject AND a.kind = b.kind AND a.id < b.id WHERE coalesce(a.session <> b.session, false) OR a.val <> b.val""")
-S("fact_values", """SELECT doc_id, regexp_extract(text, '(PKR|Rs|Rupees)[.]? *([0-9,]+)', 2) AS currency, regexp_extract(text, '([0-9.]+) *%', 1) AS percent, regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS day FROM {documents}""".replace("{4}", "[4]").replace("{2}", "[2]").replace("[0-9][4]", "[0-9][0-9][0-9][0-9]").replace("[0-9][2]", "[0-9][0-9]"))
-S("merit_aggregate", "SELECT c_custkey, round(least(100, greatest(0, 0.33e0 * (c_custkey % 400) / 4 + 0.50e0 * (c_custkey % 1100) / 11 + 0.17e0 * (c_custkey % 900) / 9)), 3) AS merit FROM {customer}")
-S("gpa", "SELECT l_orderkey, round(sum(l_quantity % 5 * (l_linenumber % 4 + 1)) / sum(l_linenumber % 4 + 1), 3) AS gpa, sum(l_quantity % 5 * (l_linenumber % 4 + 1)) / sum(l_linenumber % 4 + 1) < 2.0 AS probation FROM {lineitem} GROUP BY l_orderkey")
-S("fee_invoice", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 50000 WHEN 1 THEN 65000 ELSE 90000 END + CASE WHEN c_custkey % 2 = 0 THEN 12000 ELSE 0 END AS term, 8 * (CASE c_custkey % 3 WHEN 0 THEN 50000 WHEN 1 THEN 65000 ELSE 90000 END) AS four_years FROM {customer}")
-S("acceptance_gate", "WITH m AS (SELECT user_id, avg(value) AS p, count(*) AS n FROM {events} GROUP BY user_id) SELECT user_id, CASE WHEN p > 30 THEN 1 ELSE 0 END + CASE WHEN n < 50 THEN 1 ELSE 0 END AS violations, round(1 - (CASE WHEN p > 30 THEN 1 ELSE 0 END + CASE WHEN n < 50 THEN 1 ELSE 0 END) / 16e0, 4) AS score FROM m")
+_pattern = "'([0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9])'"
+S("fact_values", f"SELECT doc_id, regexp_extract(text, '(PKR|Rs|Rupees)[.]? *([0-9,]+)', 2) AS currency, regexp_extract(text, '([0-9.]+) *%', 1) AS percent, regexp_extract(text, {_pattern}, 1) AS day FROM {{documents}}")

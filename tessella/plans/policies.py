@@ -40,15 +40,13 @@ FAMILY.sql("evidence_gate", f"""WITH s AS ({STATE}), c AS (
 FAMILY.sql("abstain_on_stale", f"WITH s AS ({STATE}), f AS (SELECT doc_id % 53 AS q, {_fresh['state']} AS state FROM s) SELECT q, q % 3 = 0 AND NOT bool_or(state = 'fresh') AND bool_and(state <> 'fresh') AS abstain FROM f GROUP BY q")
 FAMILY.sql("document_invariant", f"WITH s AS ({STATE}) SELECT doc_id, {policy.document_violation('status', 'lifecycle', 'security', 'chunks', 'embedded')} AS violation FROM s")
 FAMILY.sql("ingestion_invariant", f"SELECT o_orderkey, {policy.ingestion_violation('o_orderkey % 5', 'o_orderkey % 5 + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END', 'o_orderkey % 5 + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END', 'CASE WHEN o_orderkey % 23 = 0 THEN 1024 ELSE 768 END', 'o_orderkey % 3', 'o_orderkey % 3 + CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END')} AS violation FROM {{orders}}")
-FAMILY.sql("cache_invariant", f"SELECT o_orderkey, {policy.cache_violation('o_orderkey * 1000', 'coalesce(o_orderstatus, chr(32))', chr(39) + chr(39), 'o_orderpriority', 'o_orderkey % 7 = 0', 5_000_000, 'O', 'e1', '1-URGENT')} AS violation FROM {{orders}}")
-FAMILY.sql("high_current_invariant", f"SELECT o_orderkey, {policy.high_current_violation('o_orderkey % 3', 'CASE WHEN o_orderkey % 4 = 0 THEN chr(120) ELSE chr(99) || chr(117) || chr(114) || chr(114) || chr(101) || chr(110) || chr(116) END', 'o_orderkey % 11 = 0', '(o_orderkey % 13 <> 0)')} AS violation FROM {{orders}}")
+FAMILY.sql("cache_invariant", f"SELECT o_orderkey, {policy.cache_violation('o_orderkey * 1000', 'o_orderstatus', "''", 'o_orderpriority', 'o_orderkey % 7 = 0', 5_000_000, 'O', 'e1', '1-URGENT')} AS violation FROM {{orders}}")
+FAMILY.sql("high_current_invariant", f"SELECT o_orderkey, {policy.high_current_violation('o_orderkey % 3', 'CASE WHEN o_orderkey % 4 = 0 THEN \'x\' ELSE \'current\' END', 'o_orderkey % 11 = 0', '(o_orderkey % 13 <> 0)')} AS violation FROM {{orders}}")
 FAMILY.sql(
     "vector_invariant",
     "SELECT vec_id, size(embedding) = 64 AS sized, forall(embedding, x -> NOT isnan(x)) AS finite, sqrt(aggregate(embedding, CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) BETWEEN 0.999 AND 1.001 AS unit FROM {embeddings}",
     "SELECT vec_id, len(embedding) = 64 AS sized, len(list_filter(embedding, lambda x: isnan(x))) = 0 AS finite, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) BETWEEN 0.999 AND 1.001 AS unit FROM embeddings",
 )
 FAMILY.sql("cache_tiers", f"WITH s AS ({STATE}) SELECT doc_id, {policy.cache_tier_hours('tier')} AS hours FROM s")
-FAMILY.sql("security_gateway", r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'EMPTY' WHEN length(text) > 2000 THEN 'TOO_LONG' WHEN regexp_like(lower(text), 'ignore (all )?(previous|prior) instructions|system prompt|you are now|jailbreak') THEN 'INJECTION' ELSE 'OK' END AS verdict FROM {conversations}""",
-    r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'EMPTY' WHEN length(text) > 2000 THEN 'TOO_LONG' WHEN regexp_matches(lower(text), 'ignore (all )?(previous|prior) instructions|system prompt|you are now|jailbreak') THEN 'INJECTION' ELSE 'OK' END AS verdict FROM conversations""")
 FAMILY.sql("faq_expiry", f"WITH s AS ({STATE}) SELECT doc_id FROM s WHERE crawled IS NULL OR crawled > {NOW - 30 * policy.DAY_MS}")
-FAMILY.sql("governance_sweep", f"WITH s AS ({STATE}) SELECT doc_id, {NOW} - crawled > {policy.ttl_ms('coalesce(tier, chr(109) || chr(101) || chr(100) || chr(105) || chr(117) || chr(109))')} AS stale_now FROM s WHERE crawled IS NOT NULL AND coalesce(status, 'x') IN ('active', 'indexed')")
+FAMILY.sql("governance_sweep", f"WITH s AS ({STATE}) SELECT doc_id, {NOW} - crawled > {policy.ttl_ms("coalesce(tier, 'medium')")} AS stale_now FROM s WHERE crawled IS NOT NULL AND coalesce(status, 'x') IN ('active', 'indexed')")

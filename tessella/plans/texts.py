@@ -37,10 +37,8 @@ _both("indexing_fingerprint", "SELECT sha2('chunkingVersion=1|parentChunkSize=30
 _both("heading_ordinals", "SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS ordinal FROM {documents}")
 _both("context_prefix", "SELECT page_id, concat('Document Title: ', CAST(page_id AS STRING), chr(10), CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) NOT IN ('', '/') THEN concat('URL Path: ', regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), chr(10)) ELSE '' END) AS prefix FROM {pages}")
 _both("excerpts", "SELECT doc_id, substring(text, 1, 300) AS excerpt, substring(text, 1, 20) AS preview, length(text) > 2000 AS cut FROM {documents}")
-_both("injection_scan", "SELECT doc_id, regexp_like(lower(text), 'ignore (all |any )?(previous|above) |disregard (all |the )?(previous|prior)|reveal (your|the) (system )?prompt') AS suspicious FROM {documents}")
 _both("escape_xml", "SELECT conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') AS escaped FROM {conversations}")
 _both("exact_duplicates", "SELECT sha2(text, 256) AS digest, count(*) AS n, min(doc_id) AS keeper FROM {documents} GROUP BY 1 HAVING count(*) > 1")
-_both("short_documents", "SELECT doc_id, n_chars, n_chars < 200 AND NOT regexp_like(lower(text), 'fee|merit|deadline|contact') AS too_short FROM {documents}")
 _both("crawl_stats", "SELECT source, sum(CAST(ceil(length(text) / 3000e0) AS BIGINT)) AS chunks, sum(CAST(ceil(length(text) / 4e0) AS BIGINT)) AS tokens, sum(CAST(strlen(text) AS BIGINT)) AS bytes FROM {documents} GROUP BY source")
 FAMILY.queries.pop("crawl_stats")
 FAMILY.sql("crawl_stats", "SELECT source, sum(CAST(ceil(length(text) / 3000e0) AS BIGINT)) AS chunks, sum(CAST(ceil(length(text) / 4e0) AS BIGINT)) AS tokens, sum(CAST(octet_length(text) AS BIGINT)) AS bytes FROM {documents} GROUP BY source", FAMILY.oracle["crawl_stats"])
