@@ -5,9 +5,10 @@ What a round has joined to one component is left out of the next; a last
 round takes every pair of nodes of different components that a bucket still
 holds.  So components are those of all links that buckets show.
 
-The last round cuts a bucket into parts of about ``PART`` nodes and deals the
-pairs of parts as cells, each a join key of its own, so that a large bucket
-is spread over tasks like many small ones.
+Of two nodes of different components one at least is not of a given one, so
+the last round joins the nodes outside the leader's component with all of
+their bucket; a bucket that is nearly one component costs little.  Where a
+bucket makes a partition large, adaptive plans cut that partition.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-PART = 256
-
 
 def met(banded: DataFrame) -> DataFrame:
     """Of rows (node, n, bucket) those whose bucket holds several nodes, with the least of them as lead."""
@@ -54,14 +53,6 @@ def least_keys(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("_least", "key").alias("least"))
 
 
-def _cells(held: DataFrame) -> DataFrame:
-    """Rows (bucket, node, _size) once for each cell, a pair of parts of their bucket, that they are in."""
-    parts = F.ceil(F.col("_size") / PART).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least("_own", j).alias("lo"), F.greatest("_own", j).alias("hi")))
-    return held.withColumn("_parts", parts).withColumn("_own", own).withColumn("_cell", F.explode(cells)).drop("_size", "_parts")
-
-
 def linked(
     shared: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
@@ -85,19 +76,18 @@ def linked(
     for turn in range(1, rounds + 1):
         held = shared.drop("lead").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         leader = F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component"))
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), leader.alias("_lead"), F.count("*").alias("_size")).where("_lo <> _hi")
+        mixed = held.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), leader.alias("_lead")).where("_lo <> _hi")
         if turn < rounds:
             pairs = held.join(mixed, "bucket").where(F.col("component") != F.col("_lead.component")).where(alike(F.col("n"), F.col("_lead.n")))
             pairs = pairs.select(F.least("node", "_lead.node").alias("a"), F.greatest("node", "_lead.node").alias("b"))
         else:
             # Of two nodes of different components one at least is not of the leader's.
-            most = mixed.select("bucket", "_size", F.col("_lead.component").alias("_led"))
-            right = _cells(held.join(most, "bucket").withColumn("_major", F.col("component") == F.col("_led")).drop("_led")).join(detail, "node")
+            led = mixed.select("bucket", F.col("_lead.component").alias("_led"))
+            right = held.join(led, "bucket").withColumn("_major", F.col("component") == F.col("_led")).drop("_led").join(detail, "node")
             left = right.where("NOT _major")
-            right = right.select("bucket", "_cell", *[F.col(c).alias(f"_{c}") for c in right.columns if c not in ("bucket", "_cell")])
-            once = ((F.col("_own") != F.col("__own")) | (F.col("_cell.lo") == F.col("_cell.hi"))) & (F.col("__major") | (F.col("node") < F.col("_node")))
-            apart = once & (F.col("component") != F.col("_component")) & alike(F.col("n"), F.col("_n"))
-            pairs = left.join(right, ["bucket", "_cell"]).where(apart & close(F.col, lambda c: F.col(f"_{c}")))
+            right = right.select("bucket", *[F.col(c).alias(f"_{c}") for c in right.columns if c != "bucket"])
+            apart = (F.col("__major") | (F.col("node") < F.col("_node"))) & (F.col("component") != F.col("_component")) & alike(F.col("n"), F.col("_n"))
+            pairs = left.join(right, "bucket").where(apart & close(F.col, lambda c: F.col(f"_{c}")))
             pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirm(pairs), "links")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessella.llm import linking, minhash
+from tessella.llm import minhash
 
 from . import cases
 from .test_hashing import thue_morse
@@ -68,8 +68,7 @@ def test_rows_that_share_a_key_are_documents_of_their_own(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [(4, 58, 4, True), (9, 5, 9, True), (9, 58, 4, False), (9, 58, 4, False), (9, 59, 4, False)]
 
 
-def test_a_hot_bucket_is_cut_into_cells(spark, monkeypatch):
-    monkeypatch.setattr(linking, "PART", 4)
+def test_documents_of_one_template(spark):
     random.seed(8)
     vocabulary = [f"w{k}" for k in range(3000)]
     template, rows = [f"t{k}" for k in range(40)], []
