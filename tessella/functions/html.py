@@ -9,8 +9,11 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Elements whose text is no content, and those that end a block.
-CHROME = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template", "svg", "form", "iframe"}
+# Elements whose text is no content; those that are a site's frame unless they lie in its content; content; elements without an end; those that end a block.
+HIDDEN = {"script", "style", "noscript", "template", "svg", "iframe"}
+FRAME = {"nav", "header", "footer", "aside"}
+CONTENT = {"main", "article", "section"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "pre", "main", "br", "hr"}
 
 
@@ -21,7 +24,9 @@ class _Reader(HTMLParser):
         self.held: list[str] = []
         self.links: list[str] = []
         self.title = ""
-        self.depth, self.in_title, self.prefix, self.dropped = 0, False, "", 0
+        self.open: list[str] = []
+        self.outside: int | None = None  # how many elements are open around the one that is left out
+        self.in_title, self.prefix, self.dropped = False, "", 0
 
     def close_block(self) -> None:
         text = re.sub(r"\s+", " ", "".join(self.held)).strip()
@@ -30,9 +35,14 @@ class _Reader(HTMLParser):
         self.held, self.prefix = [], ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in CHROME:
+        if tag not in VOID:
+            framed = tag == "nav" or (tag in FRAME and not CONTENT & set(self.open))
+            if self.outside is None and (tag in HIDDEN or framed):
+                self.close_block()
+                self.outside = len(self.open)
+            self.open.append(tag)
+        if tag in HIDDEN or tag in FRAME:
             self.close_block()
-            self.depth += 1
         elif tag == "title":
             self.in_title = True
         elif tag == "a":
@@ -47,8 +57,14 @@ class _Reader(HTMLParser):
             self.close_block()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in CHROME:
-            self.depth = max(0, self.depth - 1)
+        if tag in self.open:
+            # An element ends with what is open in it; one that is left out ends at the latest with the one around it.
+            while self.open.pop() != tag:
+                pass
+            if self.outside is not None and len(self.open) <= self.outside:
+                self.outside = None
+        if tag in HIDDEN or tag in FRAME:
+            self.close_block()
         elif tag == "title":
             self.in_title = False
         elif tag in BLOCKS or tag == "li" or re.fullmatch("h[1-6]", tag):
@@ -57,7 +73,7 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
-        elif self.depth:
+        elif self.outside is not None:
             self.dropped += len(data)
         else:
             self.held.append(data)

@@ -4,31 +4,29 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-_TOKEN = re.compile(r"\w{2,}")
-
-
-def fingerprint(text: str) -> tuple[int, int]:
-    """The signed fingerprint and the number of tokens (of two characters or more) of a text.
-
-    A shingle votes on each bit with its count, four at most.
-    """
-    tokens = _TOKEN.findall((text or "").lower())
-    shingles = Counter(" ".join(tokens[i : i + 3]) for i in range(max(1, len(tokens) - 2))) if tokens else {}
-    votes = [0] * 64
-    for shingle, count in shingles.items():
-        value, weight = int.from_bytes(hashlib.blake2b(shingle.encode(), digest_size=8).digest(), "big"), min(4, count)
-        for bit in range(64):
-            votes[bit] += weight if value >> bit & 1 else -weight
-    out = sum(1 << bit for bit in range(64) if votes[bit] > 0)
-    return out - (1 << 64) if out >> 63 else out, len(tokens)
+_WORD = re.compile(r"[^\W_]{2,}")
+#: Occurrences of one shingle that count.
+MOST_VOTES = 4
+
+
+def fingerprint(text: str | None) -> tuple[int, int]:
+    """The signed fingerprint and the number of words (of two characters or more) of a whole text; of fewer than three words each is a shingle."""
+    words = np.array(_WORD.findall((text or "").lower()), object)
+    if not len(words):
+        return 0, 0
+    shingles, counts = np.unique(words if len(words) < 3 else words[:-2] + " " + words[1:-1] + " " + words[2:], return_counts=True)
+    hashed = b"".join(hashlib.blake2b(s.encode(), digest_size=8).digest() for s in shingles)
+    signs = 2 * np.unpackbits(np.frombuffer(hashed, np.uint8)).reshape(-1, 64).astype(np.int64) - 1
+    for_ = np.minimum(counts, MOST_VOTES) @ signs > 0
+    return int.from_bytes(np.packbits(for_).tobytes(), "big", signed=True), len(words)
 
 
 @F.pandas_udf(StructType().add("fp", LongType()).add("words", IntegerType()))

@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
 # Parts of a URL that put it in the high or in the medium tier.
 HIGH_TIER = ("admission", "academic", "merit", "fee", "schedule", "seat", "result", "exam", "deadline", "notice", "scholarship", "prospectus")
 MEDIUM_TIER = ("department", "faculty", "program")
+# Crawl scores of a root, of topics, and the most for a short path; words of the second topic group.
+ROOT_SCORE, FIRST_SCORE, SECOND_SCORE, MEDIUM_SCORE, SHORT_SCORE = 200, 150, 100, 75, 20
+FIRST_WORDS, SECOND_WORDS = ("admission", "academic"), ("fee", "merit", "prospectus", "deadline")
+# Kinds of files by their extensions.
+KINDS = {
+    "pdf": ("pdf",),
+    "document": ("doc", "docx", "odt", "rtf", "txt", "md", "markdown"),
+    "calendar": ("ics",),
+    "spreadsheet": ("xls", "xlsx", "ods"),
+    "data": ("csv", "json", "xml", "yaml", "yml"),
+    "presentation": ("ppt", "pptx", "odp"),
+    "ebook": ("epub",),
+    "archive": ("zip", "rar", "7z", "tar", "gz", "tgz", "bz2", "xz"),
+    "video": ("mp4", "webm", "avi", "mov", "mkv", "m4v"),
+    "audio": ("mp3",),
+}
+PDF_SCHEME = "pdf://"
 
 
 def _any(text: str, words: tuple[str, ...]) -> str:
@@ -19,15 +42,58 @@ def tier(url: str, roots: tuple[str, ...], bare: bool = False) -> str:
     return f"CASE WHEN {own} IN ({names}) OR {_any(low, HIGH_TIER)} THEN 'high' WHEN {_any(low, MEDIUM_TIER)} THEN 'medium' ELSE 'low' END"
 
 
-def spark_bare_root(url: str) -> str:
-    return f"regexp_replace(lower({url}), '/+$', '')"
-
-
 def priority(url: str, stripped: str, segments: str, roots: tuple[str, ...]) -> str:
     """Crawl score of a URL: roots, topics, and fewer path segments first."""
     low = f"lower({url})"
     names = ", ".join(f"'{r.rstrip('/')}'" for r in roots)
     return (
-        f"CASE WHEN {stripped} IN ({names}) THEN 200 ELSE 0 END + CASE WHEN {_any(low, ('admission', 'academic'))} THEN 150 ELSE 0 END"
-        f" + CASE WHEN {_any(low, ('fee', 'merit', 'prospectus', 'deadline'))} THEN 100 ELSE 0 END + CASE WHEN {_any(low, MEDIUM_TIER)} THEN 75 ELSE 0 END + greatest(0, 20 - {segments})"
+        f"CASE WHEN {stripped} IN ({names}) THEN {ROOT_SCORE} ELSE 0 END + CASE WHEN {_any(low, FIRST_WORDS)} THEN {FIRST_SCORE} ELSE 0 END"
+        f" + CASE WHEN {_any(low, SECOND_WORDS)} THEN {SECOND_SCORE} ELSE 0 END + CASE WHEN {_any(low, MEDIUM_TIER)} THEN {MEDIUM_SCORE} ELSE 0 END + greatest(0, {SHORT_SCORE} - {segments})"
     )
+
+
+def is_pdf(url: str) -> bool:
+    """Whether a URL stands for a PDF that was taken in as a file."""
+    return url.startswith(PDF_SCHEME) or re.match(r"https://[^/]*[.]local/pdf/", url) is not None
+
+
+def origin(url: Column) -> Column:
+    """Scheme, host and port of a web address in lower case, the scheme's own port left out; null for others and for ones with a user."""
+    low = F.lower(F.trim(url))
+    part = lambda k: F.regexp_extract(low, r"^(https?)://(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)(?::([0-9]+))?(?:[/?#]|$)", k)
+    scheme, host, port = part(1), F.regexp_replace(part(2), "[.]$", ""), part(3)
+    usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port))))
+
+
+def within(url: Column, origins: tuple[str, ...], suffixes: tuple[str, ...]) -> Column:
+    """Whether a URL has one of the origins, or is https on one of the hosts or below it."""
+    own = origin(url)
+    host = F.regexp_extract(own, r"^https://([^:/]+)", 1)
+    below = [(host == s) | F.endswith(host, F.lit(f".{s}")) for s in suffixes]
+    return F.coalesce(own.isin(*origins) | reduce(lambda a, b: a | b, below, F.lit(False)), F.lit(False))
+
+
+def resource_kind(url: Column) -> Column:
+    """Kind of a linked file by the extension of its path, 'page' for others."""
+    extension = F.lower(F.regexp_extract(F.regexp_extract(url, "^([^?#]*)", 1), r"[.]([A-Za-z0-9]+)$", 1))
+    out = F.lit("page")
+    for kind, names in KINDS.items():
+        out = F.when(extension.isin(*names), kind).otherwise(out)
+    return out
+
+
+def resource_score(url: Column, label: Column, words: tuple[str, ...], host: str) -> Column:
+    """How much a link is worth: files first, then words of weight, dates in the label and the own host."""
+    kind, everything = resource_kind(url), F.lower(F.concat_ws(" ", label, url))
+    hits = reduce(lambda a, b: a + b, [F.contains(everything, F.lit(w)).cast("int") for w in words])
+    dated = label.rlike(r"\b[0-9]{1,2}[-/ ][A-Za-z0-9]{1,9}[-/ ][0-9]{2,4}\b")
+    own = F.regexp_extract(F.lower(url), "^https?://([^/:?#]+)", 1)
+    return F.when(kind != "page", 120).otherwise(0) + F.when(kind.isin("pdf", "document", "spreadsheet", "calendar"), 60).otherwise(0) + hits * 18 + F.when(dated, 35).otherwise(0) + F.when(F.endswith(own, F.lit(host)), 15).otherwise(0)
+
+
+def ranked(links: DataFrame, page: str, most: int = 150) -> DataFrame:
+    """Of links (page, url, label, at, score) one for each lower-case label and URL, by score and place, at most so many a page: with place from 1."""
+    first = Window.partitionBy(page, F.lower("label"), "url").orderBy("at")
+    one = links.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    return one.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), "at"))).where(F.col("place") <= most)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,16 +16,15 @@ from tessella.sources.checkpoints import checkpointed
 def near_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 6, least_words: int = 120) -> DataFrame:
     """Each document with the least other key within the radius, if any: key, words, duplicate_of.
 
-    Equal fingerprints count as one, 16 bands of 4 bits would find all within
-    15 bits but put a corpus into few buckets, so bands are as wide as the
-    radius allows: radius + 1 blocks, one of which must be equal.  Texts of
-    fewer words, and pairs whose word counts differ by more than 0.7 to 1.43,
-    are no duplicates.
+    Equal fingerprints count as one.  Of 8 blocks of 8 bits two fingerprints
+    within 6 bits have two in common at least, so there is a table for each
+    pair of blocks, of 65,536 buckets.  Texts of fewer words, and pairs whose
+    word counts differ by more than 0.7 to 1.43, are no duplicates.
     """
     prints = docs.select(F.col(key).alias("id"), simhash64(F.col(text)).alias("s")).select("id", F.col("s.fp").alias("fp"), F.col("s.words").alias("words"))
     large = prints.where(F.col("words") >= least_words).groupBy("fp", "words").agg(F.min("id").alias("id"))
-    blocks, width = radius + 1, 64 // (radius + 1)
-    tables = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for b in range(blocks)])
+    block = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
+    tables = F.array(*[F.struct(F.lit(i).alias("block"), F.hash(*[block[k] for k in chosen]).alias("value")) for i, chosen in enumerate(combinations(range(8), 8 - radius))])
     banded = large.select("id", "fp", "words", F.explode(tables).alias("t")).select("id", "fp", "words", "t.block", "t.value")
     other = banded.select(F.col("id").alias("first"), F.col("fp").alias("_fp"), F.col("words").alias("_words"), "block", "value")
     ratio = F.col("words") / F.col("_words")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.checkpoints import checkpointed
+
 K1, B = 1.5, 0.75
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-case runs of letters and digits of any script."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,13 +20,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query: str = "item_id
 
     Only postings of words that some query has are kept, right after words
     are split, so what is shuffled follows the queries and not the corpus
-    vocabulary.  idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a word counts as
+    vocabulary; they are counted within their document and stored once.  idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a word counts as
     often as the query has it; scores are rounded to 9 digits and ties go to
     the lesser key.
     """
     terms = queries.select(query, F.explode(words(F.col(text))).alias("word")).groupBy(query, "word").count().withColumnRenamed("count", "qf")
     split = docs.select(key, words(F.col(text)).alias("_words")).select(key, F.size("_words").alias("length"), "_words")
-    postings = split.select(key, "length", F.explode("_words").alias("word")).join(terms.select("word").distinct(), "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
+    postings = checkpointed(split.select(key, "length", F.explode("_words").alias("word")).join(terms.select("word").distinct(), "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf")))
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
     corpus = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     weighed = terms.join(frequency, "word").join(F.broadcast(corpus)).select(query, "word", "qf", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,27 +47,39 @@ def ranking_metrics(ranked: DataFrame, relevant_total: DataFrame, query: str, cu
     return wide.select(*columns)
 
 
-def bootstrap_mean(rows: DataFrame, group: str, value: str, resamples: int = 5000, seed: int = 7) -> DataFrame:
-    """group, mean and the 95 % interval of the mean by resampling; a group is one strategy's per-query values."""
-
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(pdf[value].to_numpy(float))
-        rng = np.random.default_rng(seed)
-        means = np.sort(np.concatenate([values[rng.integers(0, len(values), (250, len(values)))].mean(1) for _ in range(-(-resamples // 250))])[:resamples])
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "mean": [values.mean()], "low": [means[int(0.025 * resamples)]], "high": [means[min(resamples - 1, int(0.975 * resamples))]]})
+def resampled(rows: DataFrame, group: str, key: str, value: str, resamples: int, seed: int) -> DataFrame:
+    """group, mean and means (of each resample, in order): every row has a Poisson weight of mean 1 in each resample.
 
+    A row's weights follow from its key and the seed alone, so they are drawn
+    where the row is and don't depend on how rows are dealt; tasks send sums
+    for each resample, and no group is held whole.
+    """
     kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, value).groupBy(group).applyInPandas(interval, f"`{group}` {kind}, mean double, low double, high double")
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, own in pdf.groupby(group, dropna=False):
+                sums = np.zeros((2, resamples))
+                for k, v in zip(own[key], own[value].astype(float), strict=True):
+                    weights = np.random.default_rng([seed, zlib.crc32(str(k).encode())]).poisson(1.0, resamples)
+                    sums += [weights, weights * v]
+                yield pd.DataFrame({group: [name] * resamples, "r": np.arange(resamples), "w": sums[0], "s": sums[1]})
 
-def paired_bootstrap(rows: DataFrame, group: str, a: str, b: str, resamples: int = 5000, seed: int = 7) -> DataFrame:
-    """group, mean difference b - a, its 95 % interval and the share of resamples in which b is better."""
+    parts = rows.where(F.col(value).isNotNull()).select(group, key, value).mapInPandas(add, f"`{group}` {kind}, r int, w double, s double")
+    means = parts.groupBy(group, "r").agg((F.sum("s") / F.greatest(F.sum("w"), F.lit(1.0))).alias("m")).groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("means"))
+    return means.join(rows.groupBy(group).agg(F.avg(value).alias("mean")), group)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort((pdf[b] - pdf[a]).to_numpy(float))
-        rng = np.random.default_rng(seed)
-        means = np.sort(np.concatenate([d[rng.integers(0, len(d), (250, len(d)))].mean(1) for _ in range(-(-resamples // 250))])[:resamples])
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "difference": [d.mean()], "low": [means[int(0.025 * resamples)]], "high": [means[min(resamples - 1, int(0.975 * resamples))]], "improved": [(means > 0).mean()]})
 
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, a, b).groupBy(group).applyInPandas(compare, f"`{group}` {kind}, difference double, low double, high double, improved double")
+def bootstrap_mean(rows: DataFrame, group: str, key: str, value: str, resamples: int = 5000, seed: int = 7) -> DataFrame:
+    """group, mean and the 95 % interval of the mean by resampling; a group is one strategy's values, one for each key."""
+    out = resampled(rows, group, key, value, resamples, seed)
+    at = lambda share: F.element_at("means", min(resamples - 1, int(share * resamples)) + 1)
+    return out.select(group, "mean", at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+def paired_bootstrap(rows: DataFrame, group: str, key: str, a: str, b: str, resamples: int = 5000, seed: int = 7) -> DataFrame:
+    """group, mean difference b - a, its 95 % interval and the share of resamples in which b is better."""
+    out = resampled(rows.withColumn("_difference", F.col(b) - F.col(a)), group, key, "_difference", resamples, seed)
+    at = lambda share: F.element_at("means", min(resamples - 1, int(share * resamples)) + 1)
+    better = F.size(F.filter("means", lambda m: m > 0)) / F.lit(resamples)
+    return out.select(group, F.col("mean").alias("difference"), at(0.025).alias("low"), at(0.975).alias("high"), better.alias("improved"))

@@ -59,8 +59,8 @@ PER_QUERY = f"""{TOP}, totals AS (SELECT label, count(*) - 1 AS total FROM embed
 FAMILY.add("dense_topk_metrics", dense_topk_metrics, f"WITH {PER_QUERY} SELECT " + ", ".join(f"round(avg({m}{k}), 6) AS {m}{k}" for k in metrics.CUTOFFS for m in ("p", "recall", "hit", "rr", "ap", "ndcg")) + " FROM per")
 FAMILY.add("dense_per_query", lambda s, f: _judged(s, f).select("query", *[F.round(c, 6).alias(c) for c in ("p5", "recall10", "rr10", "ap10", "ndcg10")]), f"WITH {PER_QUERY} SELECT query, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("p5", "recall10", "rr10", "ap10", "ndcg10")) + " FROM per")
 
-_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
-BM25 = f"""q AS (SELECT item_id, array_to_string(({_WORDS})[1:8], ' ') AS text FROM benchmark),
+_WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+BM25 = f"""q AS (SELECT item_id, text FROM benchmark),
 terms AS (SELECT item_id, word, count(*) AS qf FROM (SELECT item_id, unnest({_WORDS}) AS word FROM q) GROUP BY ALL),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents), lengths AS (SELECT doc_id, len(w) AS length FROM d), mean AS (SELECT count(*) AS n, avg(length) AS m FROM lengths),
 postings AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM terms) GROUP BY ALL),
@@ -70,7 +70,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC,
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "benchmark").select("item_id", F.array_join(F.slice(lexical.words(F.col("text")), 1, 8), " ").alias("text"))
+    return table(spark, folder, "benchmark").select("item_id", "text")
 
 
 def _bm25(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
@@ -86,12 +86,13 @@ FAMILY.add("bm25_topk", lambda s, f: _bm25(s, f).select("item_id", "doc_id", "ra
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    full = _bm25(spark, folder, 20)
-    half = full.where("rank <= 10")
-    return fusion.reciprocal_rank([(full, 1.0), (half, 0.5)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score"))
+    """Whole items among documents, fused with what their first ten words find, at half the weight."""
+    short = _questions(spark, folder).withColumn("text", F.array_join(F.slice(lexical.words(F.col("text")), 1, 10), " "))
+    return fusion.reciprocal_rank([(_bm25(spark, folder, 20), 1.0), (lexical.bm25(short, table(spark, folder, "documents"), 10), 0.5)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score"))
 
 
-FAMILY.add("rrf_fusion", rrf_fusion, f"WITH {BM25}, u AS (SELECT item_id, doc_id, 1e0 / (59 + rank) AS part FROM hits WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 0.5e0 / (59 + rank) FROM hits WHERE rank <= 10) SELECT item_id, doc_id, round(sum(part), 9) AS score FROM u GROUP BY ALL")
+_short = BM25.replace("SELECT item_id, text FROM benchmark", f"SELECT item_id, array_to_string(({_WORDS})[1:10], ' ') AS text FROM benchmark")
+FAMILY.add("rrf_fusion", rrf_fusion, f"WITH a AS (WITH {BM25} SELECT item_id, doc_id, 1e0 / (59 + rank) AS part FROM hits WHERE rank <= 20), b AS (WITH {_short} SELECT item_id, doc_id, 0.5e0 / (59 + rank) AS part FROM hits WHERE rank <= 10), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT item_id, doc_id, round(sum(part), 9) AS score FROM u GROUP BY ALL")
 FAMILY.add("linear_fusion", lambda s, f: fusion.linear_decay([(_bm25(s, f), 1.0)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score")), f"WITH {BM25}, t AS (SELECT * FROM hits WHERE rank <= 10) SELECT item_id, doc_id, round(greatest(0.001e0, (count(*) OVER (PARTITION BY item_id) - rank + 1)::DOUBLE / count(*) OVER (PARTITION BY item_id)), 9) AS score FROM t")
 _stop = "[" + ", ".join(f"'{w}'" for w in fusion.STOPWORDS) + "]"
 
@@ -119,8 +120,13 @@ FAMILY.add("best_per_source", lambda s, f: _bm25(s, f, 20).join(table(s, f, "doc
 
 
 def bootstrap_ndcg(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.bootstrap_mean(_judged(spark, folder).withColumn("strategy", F.lit("dense")), "strategy", "ndcg10")
+    return metrics.bootstrap_mean(_judged(spark, folder).withColumn("strategy", F.lit("dense")), "strategy", "query", "ndcg10")
+
+
+def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    """nDCG of the first ten hits against that of the first five."""
+    return metrics.paired_bootstrap(_judged(spark, folder).withColumn("strategy", F.lit("ndcg5 to ndcg10")), "strategy", "query", "ndcg5", "ndcg10")
 
 
 FAMILY.add("bootstrap_ndcg", bootstrap_ndcg)
-FAMILY.add("paired_bootstrap", lambda s, f: metrics.paired_bootstrap(_judged(s, f).withColumn("strategy", F.lit("p5 to p10")), "strategy", "p5", "p10"))
+FAMILY.add("paired_bootstrap", paired_bootstrap)
