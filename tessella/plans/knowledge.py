@@ -248,11 +248,11 @@ def _merit(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("c_custkey")
     m = calculators.merit(k % 400, F.lit(400), k % 550, F.when(k % 3 == 0, 0).otherwise(550), k % 1100, F.lit(1100), k % 2 == 0)
     need = calculators.marks_needed(F.lit(75.0), m["aggregate"], 0.33, F.lit(400), 400)
-    return table(spark, folder, "customer").select("c_custkey", F.round(m["aggregate"], 3).alias("merit"), m["engineering"].alias("engineering"), m["computing"].alias("computing"), need.cast("long").alias("test_marks_needed"))
+    return table(spark, folder, "customer").select("c_custkey", F.round(m["aggregate"], 6).alias("merit"), m["engineering"].alias("engineering"), m["computing"].alias("computing"), need.cast("long").alias("test_marks_needed"))
 
 
 ADD("merit_aggregate", _merit, """WITH m AS (SELECT c_custkey, c_custkey % 400 / 400 * 33 + least(c_custkey % 550 + CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 0 END, 550 + CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 0 END) / 550 * 50 + c_custkey % 1100 / 1100 * 17 AS a FROM customer)
-SELECT c_custkey, round(least(100, a), 3) AS merit, c_custkey % 550 >= 330 AND c_custkey % 400 > 0 AS engineering, c_custkey % 550 >= 275 AND c_custkey % 400 > 0 AS computing, greatest(0, ceil((75 - least(100, a)) / 33 * 400))::BIGINT AS test_marks_needed FROM m""")
+SELECT c_custkey, round(least(100, a), 6) AS merit, c_custkey % 550 >= 330 AND c_custkey % 400 > 0 AS engineering, c_custkey % 550 >= 275 AND c_custkey % 400 > 0 AS computing, greatest(0, ceil((75 - least(100, a)) / 33 * 400))::BIGINT AS test_marks_needed FROM m""")
 
 
 def _gpa(spark: SparkSession, folder: str) -> DataFrame:
