@@ -1,5 +1,9 @@
+import re
 import textwrap
 
+import duckdb
+import pandas as pd
+
 from tessella.llm import licenses
 
 from . import cases
@@ -57,8 +61,81 @@ def test_dotted_versions_and_urls_in_wrapped_texts(spark):
     assert found(spark, [f"words\n{notices['mpl_header']}\nwords", wrap(notices["apache_notice"], 34).replace("\n", "\r\n")]) == [(0, "mpl_header"), (1, "apache_notice")]
 
 
+HEADER = "{program} is free software{colon} you can redistribute it and/or modify\nit under the terms of the GNU {name} as published by\nthe Free Software Foundation{comma} {which}.\n\n"
+TITLES = {"gpl2": "General Public License", "gpl3": "General Public License", "lgpl21": "Lesser General Public License", "lgpl3": "Lesser General Public License", "agpl3": "Affero General Public License"}
+VERSIONS = {"gpl2": "2", "gpl3": "3", "lgpl21": "2.1", "lgpl3": "3", "agpl3": "3"}
+
+
+def header(rule, which, mark):
+    colon, comma = (";", ";") if mark == ";" else (":", ",")
+    return HEADER.format(program="This library", colon=colon, comma=comma, name=TITLES[rule], which=which.format(v=VERSIONS[rule]))
+
+
+def rich():
+    """Texts with the rules they meet: later or only, exceptions, dual notices, tags and near misses."""
+    later, only = "either version {v} of the License, or (at your option) any later version", "version {v}"
+    gpl2, gpl3 = header("gpl2", later, ";"), header("gpl3", later, ",")
+    classpath = textwrap.fill(
+        "Linking this library statically or dynamically with other modules is making a combined work based on this library. Thus, the terms and conditions of the GNU General Public License cover the whole combination. "
+        "As a special exception, the copyright holders of this library give you permission to link this library with independent modules to produce an executable, regardless of the license terms of these independent modules, "
+        "and to copy and distribute the resulting executable under terms of your choice, provided that you also meet, for each linked independent module, the terms and conditions of the license of that module.",
+        60,
+    )
+    texts = [(header(rule, later, mark), [f"{rule}_later"]) for rule in TITLES for mark in ",;"]
+    texts += [(header(rule, only, ","), [f"{rule}_only"]) for rule in TITLES]
+    texts += [
+        (gpl2 + classpath, ["gpl2_exception"]),
+        (classpath + "\n\n" + gpl2, ["gpl2_later"]),
+        (classpath, []),
+        (gpl3 + "Under Section 7 of GPL version 3, you are granted additional permissions described in the GCC Runtime Library Exception,\nversion 3.1, as published by the Free Software Foundation.", ["gpl3_exception"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n" + gpl3, ["gpl3_text"]),
+        ("Dual licensed under the MIT License and the Apache License, Version 2.0.", ["mit_apache_dual"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT License at your option.", ["mit_apache_dual"]),
+        ("Dual licensed under the MIT or GPL Version 2 licenses.", ["mit_gpl2_dual"]),
+        ("// SPDX-License-Identifier: MIT\ncode", ["spdx_mit"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\ncode", ["spdx_gpl_2_0_or_later_with_classpath_exception_2_0"]),
+        ("SPDX-License-Identifier: MIT-ish", []),
+        ("This project is licensed under the Eclipse Public License, version 2.0.", ["epl2_notice"]),
+        ("Released under CC BY-NC-SA 4.0.", ["by_nc_sa_notice"]),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", ["ofl_notice"]),
+        ("Part of the LLVM Project, under the Apache License v2.0 with LLVM Exceptions.", ["llvm_header"]),
+        (header("gpl3", "either version 3 of the License, or (at your option) any earlier version", ","), []),
+        ("Licensed under the MIT Licence of some one else.", []),
+        (MIT.replace("furnished to do so, subject to the following conditions:", "furnished to do so."), ["mit0_text"]),
+        (". ".join(licenses.SENTENCES[k] for k in ("bsd_permit", "bsd_source", "bsd_binary", "bsd_advert", "bsd_name")), ["bsd4_text"]),
+        ("words " * 60_000 + ".\n\n" + gpl2, ["gpl2_later"]),
+    ]
+    return texts
+
+
+def test_only_and_later_exceptions_and_dual_licences(spark):
+    texts = rich()
+    assert found(spark, [t for t, _ in texts]) == [(i, rule) for i, (_, rules) in enumerate(texts) for rule in rules]
+
+
+def test_every_rule_is_met_by_its_own_sentences_and_by_none_that_lacks_one(spark):
+    joined = [". ".join(licenses.SENTENCES[i].replace("spdx license identifier", "spdx-license-identifier:").replace("under cc", "licensed under cc") for i in ids) + "." for _, _, ids in licenses.RULES]
+    got = found(spark, joined)
+    assert [i for i, (rule, _, _) in enumerate(licenses.RULES) if (i, rule) not in got] == []
+    without = [(rule, ". ".join(licenses.SENTENCES[i] for i in ids[:k] + ids[k + 1 :])) for rule, _, ids in licenses.RULES for k in range(len(ids)) if len(ids) > 1]
+    got = found(spark, [t for _, t in without])
+    assert [without[i] for i, rule in got if without[i][0] == rule] == []
+
+
+def test_rows_are_those_of_the_statement(spark):
+    wrap = lambda text, width: "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n\n"))
+    texts = [t for t, _ in rich()] + [wrap(t, w) for t, _ in rich()[:-1] for w in (23, 61)] + [MIT, wrap(MIT, 33).replace("\n", "\r\n"), "", None, "..licensed under the MIT license..."]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = sorted(con.execute(licenses.oracle()).fetchall())
+    got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == want and len(got) > 60
+
+
 def test_anchors_are_in_all_sentences():
-    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
+    assert all(any(a in s for a in licenses.ANCHORS) or re.search(licenses.CC, s) for s in licenses.SENTENCES.values())
+    assert len({spdx for _, spdx, _ in licenses.RULES}) >= 40
     assert all(i in licenses.SENTENCES for _, _, ids in licenses.RULES for i in ids)
 
 
