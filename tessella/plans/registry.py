@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import crawling, knowledge, operations, policies, relational, retrieval, texts
+from . import crawling, knowledge, maintenance, operations, policies, relational, retrieval, texts
 from .pairs import Query
 
-FAMILIES = [retrieval.FAMILY, policies.FAMILY, texts.FAMILY, operations.FAMILY, relational.FAMILY, crawling.FAMILY, knowledge.FAMILY]
+FAMILIES = [retrieval.FAMILY, policies.FAMILY, texts.FAMILY, operations.FAMILY, relational.FAMILY, crawling.FAMILY, knowledge.FAMILY, maintenance.FAMILY]
 QUERIES: dict[str, Query] = {name: query for family in FAMILIES for name, query in family.queries.items()}
 ORACLE: dict[str, str] = {name: text for family in FAMILIES for name, text in family.oracle.items()}

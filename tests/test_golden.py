@@ -5,8 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import calculators, chunking, guards, html, policy, simhash64, url_policy, urls
-from tessella.operators import crawl, dense, evaluation, fusion, metrics, store
+from tessella.functions import calculators, chunking, guards, html, markup, policy, simhash64, url_policy, urls
+from tessella.operators import crawl, dense, evaluation, fusion, jobs, metrics, store
 from tessella.sources import corpus
 from tessella.streaming import stateful
 
@@ -264,3 +264,32 @@ def test_streams_count_failures_and_windows(spark, tmp_path):
     query = stateful.dead_letters(stream()).writeStream.format("memory").queryName("letters").outputMode("update").option("checkpointLocation", str(tmp_path / "ds")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("letters").collect()} == {(1, 2, "abandoned"), (2, 1, "pending")}
+
+
+def test_addresses_and_delays_of_pages(spark):
+    code = lambda text, key: "".join(f"{b:02x}" for b in bytes([key, *(key ^ c for c in text.encode())]))
+    codes = {code("a@b.example", 0x42): "a@b.example", code("info@x.y", 0xF1).upper(): "info@x.y", "abc": "abc", "42": "42", "zz11": "zz11", "": ""}
+    assert {c: one(spark, markup.decoded_email(F.lit(c))) for c in codes} == codes
+    now = 784_111_777  # Sun, 06 Nov 1994 08:49:37 GMT
+    waits = {"0": 0.0, "15": 15.0, "999999": 3600.0, "Sun, 06 Nov 1994 08:50:37 GMT": 60.0, "Sat, 05 Nov 1994 08:50:37 GMT": 0.0, "later": None, "-5": None, "": None}
+    assert {v: one(spark, markup.retry_after(F.lit(v), now)) for v in waits} == waits
+    page = F.lit("<a href='https://no.example'>go</a> https://b.example/x?y=1, <style>https://no.example</style>(https://a.example).")
+    assert one(spark, markup.visible_urls(page)) == ["https://a.example", "https://b.example/x?y=1"] and one(spark, markup.declared_url(page)) is None
+
+
+def test_jobs_and_settings(spark):
+    schema = "job int, status string, started_at long, completed_at long, error string"
+    have = spark.createDataFrame([(1, "running", 0, None, None), (2, "completed", 0, 5, None), (3, "running", 0, None, None), (4, None, 0, None, None)], schema)
+    said = spark.createDataFrame([(1, "completed", None, 1), (1, "failed", "e", 2), (2, "completed", "x", 1), (None, "failed", "e", 1)], "job int, status string, error string, at int")
+    after = jobs.report_jobs(have, said, 9)
+    assert sorted(map(tuple, after.collect())) == [(1, "failed", 0, 9, "e"), (2, "completed", 0, 5, None), (3, "running", 0, None, None), (4, None, 0, None, None)]
+    hours = 3 * jobs.HOUR_MS
+    assert [[r.status for r in jobs.fail_silent(have, now).orderBy("job").collect()] for now in (hours, hours + 1)] == [["running", "completed", "running", None], ["failed", "completed", "failed", None]]
+    counters = spark.createDataFrame([("a", "1"), ("b", "text"), ("c", "7")], "key string, value string")
+    more = spark.createDataFrame([("a", 2), ("a", 3), ("b", 4), ("d", 5)], "key string, by int")
+    assert {r.key: float(r.value) for r in jobs.count_up(counters, more).collect()} == {"a": 6.0, "b": 4.0, "c": 7.0, "d": 5.0}
+    chunks = spark.createDataFrame([("x", "d", None, "same"), ("y", "d", None, "same"), ("z", "e", None, "same"), ("w", "d", "p", "kept"), ("v", None, None, None)], "chunk string, document string, parent_id string, parent_text string")
+    moved, parents = jobs.migrate_parents(chunks, spark.createDataFrame([], "parent_id string, document string, content_hash string, text string"))
+    found = {r.chunk: (r.parent_id, r.parent_text) for r in moved.collect()}
+    assert found["x"] == found["y"] != found["z"] and found["w"] == ("p", "kept") and found["v"] == (None, None)
+    assert {(r.parent_id, r.document, r.text) for r in parents.collect()} == {(found["x"][0], "d", "same"), (found["z"][0], "e", "same")}
