@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sources.tables import table
 
-from . import chat, decontaminate, licenses, minhash, packing, quality, sharding, simhash, token_counts, warc
+from . import chat, decontaminate, lattice, licenses, minhash, packing, quality, sharding, simhash, token_counts, trie, wand, warc
 from .oracles import ORACLE as ORACLE
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -61,6 +61,18 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2)
 
 
+def op11_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return wand.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
@@ -72,4 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
+    "op11_trie": op11_trie,
+    "op12_search": op12_search,
+    "op13_embeddings": op13_embeddings,
 }
