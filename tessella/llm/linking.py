@@ -7,8 +7,10 @@ holds.  So components are those of all links that buckets show.
 
 Of two nodes of different components one at least is not of a given one, so
 the last round joins the nodes outside the leader's component with all of
-their bucket; a bucket that is nearly one component costs little.  Where a
-bucket makes a partition large, adaptive plans cut that partition.
+their bucket; a bucket that is nearly one component costs little.  Both sides
+of a large bucket are dealt out by blocks of about ``BLOCK`` nodes, and a
+block of one side meets every block of the other under a key of their own, so
+no key has more than two blocks, whatever the settings of adaptive plans.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
+BLOCK = 2048
+
 
 def met(banded: DataFrame) -> DataFrame:
     """Of rows (node, n, bucket) those whose bucket holds several nodes, with the least of them as lead."""
@@ -53,6 +57,12 @@ def least_keys(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("_least", "key").alias("least"))
 
 
+def _dealt(rows: DataFrame, own: str, over: str) -> DataFrame:
+    """``rows`` with their block of ``own`` (a count of blocks) as ``_in`` and once for each of ``over`` blocks of the other side as ``_to``."""
+    place = F.pmod(F.xxhash64("node", "bucket"), F.col(own)).cast("int")
+    return rows.withColumn("_in", place).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col(over) - 1))).drop(own, over)
+
+
 def linked(
     shared: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
@@ -60,13 +70,15 @@ def linked(
     detail: DataFrame,
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     rounds: int = 2,
+    block: int = BLOCK,
 ) -> DataFrame:
     """node, component for the nodes of ``shared`` (node, n, bucket, lead) that have links.
 
     confirm: keeps those of the pairs (a, b) that are links; alike: whether
     nodes with these n can be linked at all; detail: node and what ``close``
     needs of it to tell links, within the join of the last round, so that
-    this join has no rows but links (and what ``confirm`` then refutes).
+    this join has no rows but links (and what ``confirm`` then refutes);
+    block: the nodes of a bucket that go under one key there.
     """
     sizes = shared.select(F.col("node").alias("lead"), F.col("n").alias("_n")).distinct()
     first = shared.where("node <> lead").select("lead", "node", "n").distinct().join(sizes, "lead").where(alike(F.col("n"), F.col("_n")))
@@ -82,12 +94,17 @@ def linked(
             pairs = pairs.select(F.least("node", "_lead.node").alias("a"), F.greatest("node", "_lead.node").alias("b"))
         else:
             # Of two nodes of different components one at least is not of the leader's.
-            led = mixed.select("bucket", F.col("_lead.component").alias("_led"))
-            right = held.join(led, "bucket").withColumn("_major", F.col("component") == F.col("_led")).drop("_led").join(detail, "node")
-            left = right.where("NOT _major")
-            right = right.select("bucket", *[F.col(c).alias(f"_{c}") for c in right.columns if c != "bucket"])
+            outside = F.sum((F.col("component") != F.col("_lead.component")).cast("long"))
+            placed = held.join(mixed.select("bucket", "_lead"), "bucket")
+            blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+            led = placed.groupBy("bucket").agg(F.first("_lead.component").alias("_led"), blocks(F.count("*")).alias("_all"), blocks(outside).alias("_some"))
+            right = held.join(led, "bucket").withColumn("_major", F.col("component") == F.col("_led")).drop("_led")
+            left = _dealt(right.where("NOT _major"), "_some", "_all").withColumnsRenamed({"_in": "_x", "_to": "_y"}).join(detail, "node")
+            right = _dealt(right, "_all", "_some").withColumnsRenamed({"_in": "_y", "_to": "_x"}).join(detail, "node")
+            key = ["bucket", "_x", "_y"]
+            right = right.select(*key, *[F.col(c).alias(f"_{c}") for c in right.columns if c not in key])
             apart = (F.col("__major") | (F.col("node") < F.col("_node"))) & (F.col("component") != F.col("_component")) & alike(F.col("n"), F.col("_n"))
-            pairs = left.join(right, "bucket").where(apart & close(F.col, lambda c: F.col(f"_{c}")))
+            pairs = left.join(right, key).where(apart & close(F.col, lambda c: F.col(f"_{c}")))
             pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirm(pairs), "links")

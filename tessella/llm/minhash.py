@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .linking import least_keys, linked, met
+from .linking import BLOCK, least_keys, linked, met
 from .storage import stored
 
 BANDS, ROWS = 32, 4
@@ -129,7 +129,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("_a") + F.size("_b") - both) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, rounds: int = 2, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id and kept for every row of ``docs``.
 
     Words are runs outside ASCII white space with A-Z lower-cased, a set has
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     involved = own.join(shared.select("node").distinct(), "node").select(F.col("key").alias("doc"), "node", "set_key")
     sets = stored(shingle_sets(docs.join(involved, "doc"), shingle).dropDuplicates(["node"]), "sets")
 
-    labels = linked(shared, lambda pairs: confirmed(pairs, sets, percent), lambda n, m: _alike(n, m, percent), _shortened(sets), lambda a, b: _reached(a, b, percent), rounds)
+    labels = linked(shared, lambda pairs: confirmed(pairs, sets, percent), lambda n, m: _alike(n, m, percent), _shortened(sets), lambda a, b: _reached(a, b, percent), rounds, block)
     named = classes.select("set_key", "node").join(least_keys(classes.select("node", "key"), labels), "node").select("set_key", F.col("least").alias("_component"))
     component = F.coalesce("_component", "key")
     return signed.join(named, "set_key", "left").select(

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linking import least_keys, linked, met
+from .linking import BLOCK, least_keys, linked, met
 from .storage import stored
 
 BITS, BLOCKS, RADIUS = 128, 8, 6
@@ -99,7 +99,7 @@ def bits_apart(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))
 
 
-def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_classes(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """f0, f1 and near_class (the least doc that steps of ``radius`` bits at most lead to) of all distinct fingerprints of ``prints`` (doc, f0, f1)."""
     if not 0 <= radius < BLOCKS:
         raise ValueError(f"the radius must be from 0 to {BLOCKS - 1} bits")
@@ -113,7 +113,7 @@ def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
     within = lambda a, b: bits_apart(a("f0"), a("f1"), b("f0"), b("f1")) <= radius
-    labels = linked(shared, confirm, lambda n, m: F.lit(True), nodes.drop("key"), within)
+    labels = linked(shared, confirm, lambda n, m: F.lit(True), nodes.drop("key"), within, block=block)
     return nodes.join(least_keys(nodes.select("node", "key"), labels), "node").select("f0", "f1", F.col("least").alias("near_class"))
 
 

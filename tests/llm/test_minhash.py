@@ -68,14 +68,15 @@ def test_rows_that_share_a_key_are_documents_of_their_own(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [(4, 58, 4, True), (9, 5, 9, True), (9, 58, 4, False), (9, 58, 4, False), (9, 59, 4, False)]
 
 
-def test_documents_of_one_template(spark):
+@pytest.mark.parametrize("block", [2048, 5])
+def test_documents_of_one_template(spark, block):
     random.seed(8)
     vocabulary = [f"w{k}" for k in range(3000)]
     template, rows = [f"t{k}" for k in range(40)], []
     for _ in range(40):
         own = template + [random.choice(vocabulary) for _ in range(40)]
         rows += [(len(rows) + k, " ".join(own[: len(own) - k])) for k in range(random.randint(1, 3))]
-    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, bands=64, rows=1).collect()
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, bands=64, rows=1, block=block).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows, 2, 80))
 
 

@@ -111,6 +111,19 @@ def test_classes_as_by_all_pairs(spark, radius):
     assert found == least
 
 
+def test_a_bucket_of_thousands_without_links(spark):
+    """All share their first six blocks and so a bucket; the last two differ by more than the radius, but for three pairs."""
+    draw = random.Random(9)
+    code = [sum(1 << (3 * k) for k in range(10) if x >> k & 1) * 7 for x in range(1024)]
+    prints = [(k, 5, code[k] | draw.getrandbits(1) << 31) for k in range(1024)]
+    prints += [(2000 + k, 5, prints[k][2] ^ 1 << 31) for k in (3, 70, 900)]
+    signed = [(i, a, b << 32) for i, a, b in prints]
+    signed = [(i, a, b - (1 << 64) if b >> 63 else b) for i, a, b in signed]
+    found = {(r.f0, r.f1): r.near_class for r in simhash.near_classes(spark.createDataFrame(signed, "doc long, f0 long, f1 long"), 2, block=100).collect()}
+    want = classes([(i, a & MASK, b & MASK) for i, a, b in signed], 2)
+    assert found == {(a, b): want[i] for i, a, b in signed} and len(set(found.values())) == 1024
+
+
 def test_rows_that_share_a_key_keep_their_own_class(spark):
     rows = [(5, 1, 1), (5, 1 << 40, (1 << 60) - 1), (3, 1 << 40, (1 << 60) - 2)]
     found = {(r.f0, r.f1): r.near_class for r in simhash.near_classes(spark.createDataFrame(rows, "doc long, f0 long, f1 long")).collect()}
