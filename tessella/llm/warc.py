@@ -3,10 +3,11 @@
 Writing: each task appends its records, every one a gzip member of its own,
 to files in a shared folder, starts a new file at ``ROLL`` bytes, and gives a
 file its final name only when it is whole.  Names hold the task attempt, and
-only those that the finished tasks report are read, so a task that is run
-again leaves nothing in the result.
+only those that the finished tasks report in the manifest, a table, are read,
+so a task that is run again leaves nothing in the result.
 
-Reading: a member must inflate with the right checksum, begin with a WARC
+Reading: files are dealt out by name and read through a window of a few MB,
+so an archive may be of any size; memory follows the largest record.  A member must inflate with the right checksum, begin with a WARC
 version line, have whole headers and a block of the stated length, and match
 its block digest.  After a failed check the reader searches for the next
 gzip magic or version line at which a record passes, goes on from there, and
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import TaskContext
@@ -35,7 +37,10 @@ ROLL = 16 << 20
 MIN_REVISIT = 1000
 _MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
-_STEP = 1 << 16
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+# The longest thing that _START finds; bytes read and inflated at a time; bytes kept of a file; the longest headers.
+_MARK, _STEP, _WINDOW, _HEADERS = 10, 1 << 16, 1 << 22, 1 << 19
+_ROWS, _FILES = 4096, 16  # of a batch of results, of a task
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, begin long, end long"
 LOG = RECORD + ", reason string"
 
@@ -90,79 +95,143 @@ class Record:
 
 
 @dataclass
-class Salvage:
-    records: list[Record] = field(default_factory=list)
-    gaps: list[tuple[int, int, str]] = field(default_factory=list)
-
-
-def _parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the plain record at ``at``; ValueError says what is wrong."""
-    if not re.compile(rb"WARC/1\.[01]\r?\n").match(raw, at):
-        raise ValueError("no version line")
-    stop = raw.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise ValueError("headers not ended")
+class Gap:
+    begin: int
+    end: int
+    reason: str
+
+
+class Window:
+    """Bytes at any place of a file (or of bytes), read in steps and kept while they are near."""
+
+    def __init__(self, file: object):
+        self.file = file
+        self.size = len(file) if isinstance(file, bytes) else file.size()
+        self.at, self.held = 0, b""
+
+    def bytes(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes from ``at``, fewer at the end."""
+        n = max(0, min(n, self.size - at))
+        if not (self.at <= at and at + n <= self.at + len(self.held)):
+            if n > _WINDOW:
+                return self._read(at, n)
+            self.at, self.held = at, self._read(at, min(_WINDOW, self.size - at))
+        return self.held[at - self.at : at - self.at + n]
+
+    def _read(self, at: int, n: int) -> bytes:
+        return self.file[at : at + n] if isinstance(self.file, bytes) else self.file.read_at(n, at)
+
+    def next_start(self, at: int) -> int:
+        """Where a gzip member or a version line may begin, from ``at`` on; the end if nowhere."""
+        while at < self.size:
+            part = self.bytes(at, _STEP + _MARK)
+            found = _START.search(part)
+            if found and found.start() < _STEP:
+                return at + found.start()
+            at += _STEP
+        return self.size
+
+
+class _Plain:
+    """The bytes of a file from a place on."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.at = window, at
+
+    def bytes(self, at: int, n: int) -> bytes:
+        return self.window.bytes(self.at + at, n)
+
+
+class _Inflated:
+    """The bytes of the gzip member at a place, inflated as far as they are asked for."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.at, self.out = window, at, bytearray()
+        self.unpack = zlib.decompressobj(31)
+
+    def bytes(self, at: int, n: int) -> bytes:
+        while len(self.out) < at + n and not self.unpack.eof:
+            waiting = self.unpack.unconsumed_tail
+            if not waiting:
+                waiting = self.window.bytes(self.at, _STEP)
+                self.at += len(waiting)
+            try:
+                more = self.unpack.decompress(waiting, _STEP)
+            except zlib.error as e:
+                raise ValueError(f"bad member: {e}") from None
+            if not waiting and not more:
+                raise ValueError("member not ended")
+            self.out += more
+        return bytes(self.out[at : at + n])
+
+    def end(self, used: int) -> int:
+        """Where the member ends, of which a record takes ``used`` bytes."""
+        at = used
+        while more := self.bytes(at, _STEP):
+            if more.strip():
+                raise ValueError("more in the member than its record")
+            at += len(more)
+        return self.at - len(self.unpack.unused_data)
+
+
+def _parse(source: _Plain | _Inflated) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and size of the plain record at the start of ``source``; ValueError says what is wrong.
+
+    The block is read only if it ends where its headers say.
+    """
+    raw = b""
+    while (stop := raw.find(b"\r\n\r\n")) < 0:
+        more = source.bytes(len(raw), _HEADERS // 8)
+        raw += more
+        if not _VERSION.match(raw):
+            raise ValueError("no version line")
+        if not more or len(raw) > _HEADERS:
+            raise ValueError("headers not ended")
     headers = {}
-    for line in raw[at:stop].split(b"\r\n")[1:]:
+    for line in raw[:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no content length")
-    begin = stop + 4
-    end = begin + int(headers["content-length"])
-    if raw[end : end + 4] != b"\r\n\r\n":
+    begin, length = stop + 4, int(headers["content-length"])
+    if source.bytes(begin + length, 4) != b"\r\n\r\n":
         raise ValueError("block not ended where stated")
-    block = raw[begin:end]
+    block = source.bytes(begin, length)
     stated = headers.get("warc-block-digest")
     if stated and stated.startswith("sha1:") and stated != _base32(hashlib.sha1(block).digest()):
         raise ValueError("block digest differs")
-    return headers, block, end + 4
-
-
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and its end."""
-    unpack, out, k = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and k < len(data):
-            out.append(unpack.decompress(data[k : k + _STEP]))
-            if len(out) == 1 and out[0][:5] != VERSION[:5] and len(out[0]) >= 5:
-                raise ValueError("no version line")
-            k += _STEP
-    except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
-    if not unpack.eof:
-        raise ValueError("member not ended")
-    return b"".join(out), min(k, len(data)) - len(unpack.unused_data)
-
-
-def salvage(data: bytes) -> Salvage:
-    """All records of an archive that pass their checks, and the byte gaps between them."""
-    out, at, bad, why = Salvage(), 0, None, ""
-    while at < len(data):
+    return headers, block, begin + length + 4
+
+
+def salvage(file: object) -> Iterator[Record | Gap]:
+    """The records of an archive that pass their checks, and the byte gaps between them, in order.
+
+    file: bytes, or a file with ``size()`` and ``read_at(n, at)``.
+    """
+    window, at, bad, why = Window(file), 0, None, ""
+    while at < window.size:
         try:
-            if data.startswith(_MAGIC, at):
-                raw, end = _inflate(data, at)
-                headers, block, used = _parse(raw, 0)
-                if raw[used:].strip():
-                    raise ValueError("more in the member than its record")
+            if window.bytes(at, len(_MAGIC)) == _MAGIC:
+                member_ = _Inflated(window, at)
+                headers, block, used = _parse(member_)
+                end = member_.end(used)
             else:
-                headers, block, end = _parse(data, at)
+                headers, block, used = _parse(_Plain(window, at))
+                end = at + used
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            found = _START.search(data, at + 1)
-            at = found.start() if found else len(data)
+            at = window.next_start(at + 1)
             continue
         if bad is not None:
-            out.gaps.append((bad, at, why))
+            yield Gap(bad, at, why)
             bad = None
-        out.records.append(Record(at, end, headers, block))
+        yield Record(at, end, headers, block)
         at = end
     if bad is not None:
-        out.gaps.append((bad, len(data), why))
-    return out
+        yield Gap(bad, window.size, why)
 
 
 def _slim(pages: DataFrame, key: str, html: str, *others: Column) -> DataFrame:
@@ -178,8 +247,8 @@ def revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least:
     return slim.join(groups, ["_digest", "_bytes"]).where("_key < refers_to").select("_key", "_digest", "_bytes", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = MIN_REVISIT, roll: int = ROLL) -> list[str]:
-    """Write every page to archives below ``path`` and return the names of the whole files.
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = MIN_REVISIT, roll: int = ROLL) -> DataFrame:
+    """Write every page to archives below ``path`` and return the manifest: name of each whole file.
 
     Of pages with equal payloads of at least ``least`` bytes that with the
     largest key is a response and the others revisit it; smaller payloads and
@@ -223,38 +292,43 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         if names:
             yield pd.DataFrame({"name": names})
 
-    return sorted(r["name"] for r in stored(rows.mapInPandas(write, "name string"), "manifest").collect())
+    return stored(rows.mapInPandas(write, "name string"), "manifest")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.warc.gz").load(path).select("path", "content")
+def _names(spark: SparkSession, path: str) -> DataFrame:
+    """The names of the archives below ``path``; their content isn't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.warc.gz").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"))
 
 
-def salvaged(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+def salvaged(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
     """A row for each record and for each quarantined byte gap of the archives below ``path``, told apart by ``reason``, which records have not.
 
-    names: the files to read (all if None).
+    names: a table of the names of the files to read (all if None).  The path must be one that pyarrow can read.
     """
-    wanted = None if names is None else set(names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                name = file.rpartition("/")[2]
-                if wanted is None or name in wanted:
-                    found = salvage(content)
-                    if found.records or found.gaps:
-                        yield _rows(name, found)
+            for name in pdf["name"]:
+                with store.open_input_file(f"{root}/{name}") as file:
+                    found = salvage(file)
+                    while rows := [_row(name, x) for x in itertools.islice(found, _ROWS)]:
+                        yield _frame(rows)
 
-    return _files(spark, path).mapInPandas(read, LOG)
+    names = _names(spark, path) if names is None else names
+    parts = max(spark.sparkContext.defaultParallelism, names.count() // _FILES)
+    return names.select("name").repartition(parts, "name").mapInPandas(read, LOG)
 
 
-def read_archives(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
     """A row for each record of the archives below ``path``."""
     return records_of(salvaged(spark, path, names))
 
 
-def read_gaps(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+def read_gaps(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
     """The quarantined byte gaps of the archives below ``path``."""
     return gaps_of(salvaged(spark, path, names))
 
@@ -272,15 +346,17 @@ def _id(value: str | None) -> int | None:
     return int(inner[1]) if inner else None
 
 
-def _rows(name: str, found: Salvage) -> pd.DataFrame:
-    rows = []
-    for r in found.records:
-        h, revisit = r.headers, r.headers.get("warc-type") == "revisit"
-        stated = h.get("warc-payload-digest", "").removeprefix("sha1:")
-        digest = base64.b32decode(stated).hex() if revisit else hashlib.sha1(r.payload).hexdigest()
-        size = int(h["x-payload-length"]) if revisit else len(r.payload)
-        rows.append((_id(h.get("warc-record-id")), size, digest, h.get("warc-type"), _id(h.get("warc-refers-to")), name, r.begin, r.end, None))
-    rows += [(None, None, None, None, None, name, *gap) for gap in found.gaps]
+def _row(name: str, found: Record | Gap) -> tuple:
+    if isinstance(found, Gap):
+        return (None, None, None, None, None, name, found.begin, found.end, found.reason)
+    h, revisit = found.headers, found.headers.get("warc-type") == "revisit"
+    stated = h.get("warc-payload-digest", "").removeprefix("sha1:")
+    digest = base64.b32decode(stated).hex() if revisit else hashlib.sha1(found.payload).hexdigest()
+    size = int(h["x-payload-length"]) if revisit else len(found.payload)
+    return (_id(h.get("warc-record-id")), size, digest, h.get("warc-type"), _id(h.get("warc-refers-to")), name, found.begin, found.end, None)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")], dtype=object)
     return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "begin": "int64", "end": "int64"})
 
@@ -296,6 +372,4 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     names = write_archives(pages, path, key, url, html)
-    if not names:
-        return records_of(spark.createDataFrame([], LOG))
     return records_of(stored(salvaged(spark, path, names), "warc-log"))
