@@ -4,12 +4,14 @@ A text is cut into sentences three times: at line ends and sentence ends
 (one-line notices), and at sentence ends and blank lines only (licence texts
 whose lines are wrapped), once with any full stop as an end and once with those
 within numbers and URLs as none.  "v." before a number and the tag of an SPDX
-line are no ends.  A sentence is lower-cased, all but a-z and 0-9 becomes
+line are no ends.  Comment marks at the start of lines go first, and in the
+clause that protects a holder's name the name is replaced.  A sentence is lower-cased, all but a-z and 0-9 becomes
 single spaces, and "this work is licensed under the", "released under" and
 their like become "under"; known ones have an identifier.  A rule is a sequence
 of identifiers, and a text meets it when they occur in this order, other
 sentences between them or not.  A rule with more in it (a clause, an exception,
-a whole text) takes the place of the plainer one.  All of it happens within the
+a whole text) takes the place of the plainer one, and a clause that isn't known,
+between the last known one and the disclaimer, withholds it.  All of it happens within the
 row of a text, so nothing is shuffled.
 """
 
@@ -88,6 +90,15 @@ SENTENCES = {
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "mpl2_title": "mozilla public license version 2 0",
+    "mpl2_grant": "each contributor hereby grants you a world wide royalty free non exclusive license",
+    "mpl11_title": "mozilla public license version 1 1",
+    "mpl11_grant": "the initial developer hereby grants you a world wide royalty free non exclusive license subject to third party intellectual property claims",
+    "artistic_intent": "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package while giving the users of the package the right to use and distribute the package in a more or less customary fashion plus the right to make reasonable modifications",
+    "artistic_embed": "you may embed this package s interpreter within an executable of yours by linking",
+    "gpl1_title": "gnu general public license version 1 february 1989",
+    "gpl1_preamble": "the license agreements of most software companies try to keep users at the mercy of those companies",
+    "lgpl2_title": "gnu library general public license version 2 june 1991",
     "bsd_name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "bsd0_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
@@ -108,7 +119,10 @@ SENTENCES = {
     "rust_dual": "licensed under the apache license version 2 0 license apache or http www apache org licenses license 2 0 or the mit license license mit or http opensource org licenses mit at your option",
     "mit_gpl2_dual": "dual licensed under the mit or gpl version 2 licenses",
 }
-# Rule, SPDX expression, sentences in their order.
+# A sentence of three words or more that isn't known, and one that begins a disclaimer with its holder's name in it.
+OTHER, AS_IS = "other", "as_is"
+AS_IS_BEGINS = "this software is provided by "
+# Rule, SPDX expression (none: the rule only withholds others), sentences in their order.
 RULES = [
     ("mit_text", "MIT", ["mit_grant", "mit_keep", "mit_as_is"]),
     ("mit0_text", "MIT-0", ["mit0_grant", "mit_as_is"]),
@@ -123,6 +137,14 @@ RULES = [
     ("bsd2_text", "BSD-2-Clause", ["bsd_permit", "bsd_source", "bsd_binary"]),
     ("bsd3_text", "BSD-3-Clause", ["bsd_permit", "bsd_source", "bsd_binary", "bsd_name"]),
     ("bsd4_text", "BSD-4-Clause", ["bsd_permit", "bsd_source", "bsd_binary", "bsd_advert", "bsd_name"]),
+    ("bsd_other", "", ["bsd_permit", "bsd_source", "bsd_binary", OTHER, AS_IS]),
+    ("bsd_name_other", "", ["bsd_permit", "bsd_source", "bsd_binary", "bsd_name", OTHER, AS_IS]),
+    ("mit_other", "", ["mit_grant", "mit_keep", OTHER, "mit_as_is"]),
+    ("mpl2_text", "MPL-2.0", ["mpl2_title", "mpl2_grant"]),
+    ("mpl11_text", "MPL-1.1", ["mpl11_title", "mpl11_grant"]),
+    ("artistic_perl_text", "Artistic-1.0-Perl", ["artistic_intent", "artistic_embed"]),
+    ("gpl1_text", "GPL-1.0-only", ["gpl1_title", "gpl1_preamble"]),
+    ("lgpl2_text", "LGPL-2.0-only", ["lgpl2_title", "gpl2_preamble"]),
     ("isc_text", "ISC", ["isc_grant"]),
     ("bsd0_text", "0BSD", ["bsd0_grant"]),
     ("postgresql_text", "PostgreSQL", ["postgresql_grant"]),
@@ -138,10 +160,15 @@ RULES = [
     ("mit_gpl2_dual", "MIT OR GPL-2.0-only", ["mit_gpl2_dual"]),
 ]
 # A rule that is met takes the place of the second one.
-INSTEAD = [("bsd3_text", "bsd2_text"), ("bsd4_text", "bsd2_text"), ("bsd4_text", "bsd3_text")]
-# Every known sentence has one of these within a word, or the word cc, so a text without any needs no more.
-ANCHORS = ("licens", "permission", "software", "redistribut", "mpl", "later version", "cc0", "related rights")
+INSTEAD = [("bsd3_text", "bsd2_text"), ("bsd4_text", "bsd2_text"), ("bsd4_text", "bsd3_text"), ("bsd_other", "bsd2_text"), ("bsd_name_other", "bsd3_text"), ("bsd_name_other", "bsd4_text"), ("mit_other", "mit_text")]
+# The texts hold the notices that they propose, and the name of another licence that they may be joined with.
+INSTEAD += [("mpl2_text", "mpl_header"), ("mpl2_text", "mpl_short")]
+# Every rule has a sentence with one of these within a word, or with the word cc, so a text without any needs no more.
+ANCHORS = ("licens", "permission", "software", "redistribut", "mpl", "later version", "cc0", "related rights", "artistic")
 CC = "(^|[^a-z0-9])cc([^a-z0-9]|$)"
+MARKS = r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--|dnl\b|rem\b)[ \t]?"
+HOLDER = r"neither\s+the\s+names?\s+of\s+[^;:]{1,200}?\s+nor\s+the\s+names\s+of\s+(?:(?:its|their|any|other|the)\s+)?contributors"
+HOLDER_AS = "neither the name of the copyright holder nor the names of its contributors"
 WAYS = ("lines", "wrapped", "dotted")
 LEAD = r"(?m)^ ?(?:th(?:is|e) (?:(?:font )?software|work|project|library|program|code|file|document) is )?(?:licensed|released|distributed) under (?:the )?"
 
@@ -192,7 +219,7 @@ def _gnu() -> None:
 
 def _tags() -> None:
     """The rules of SPDX lines, one for each expression that the other rules give."""
-    for spdx in sorted({spdx for _, spdx, _ in RULES}):
+    for spdx in sorted({spdx for _, spdx, _ in RULES if spdx}):
         name = re.sub("[^a-z0-9]+", " ", spdx.lower())
         SENTENCES[f"spdx {name}"] = f"spdx license identifier {name}"
         RULES.append((f"spdx_{name.replace(' ', '_')}", spdx, [f"spdx {name}"]))
@@ -206,7 +233,8 @@ KNOWN = {re.sub(LEAD, "under ", sentence): name for name, sentence in SENTENCES.
 
 def _sentences(text: Column, way: str) -> Column:
     """Normalised sentences in order; but for "lines", lines go on unless a blank one follows."""
-    low = F.regexp_replace(F.regexp_replace(F.lower(text), r"\bv\.(?=\s{0,3}[0-9])", "v"), "spdx-license-identifier:", "spdx-license-identifier")
+    low = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n", "\n"), MARKS, "$1"), HOLDER, HOLDER_AS)
+    low = F.regexp_replace(F.regexp_replace(low, r"\bv\.(?=\s{0,3}[0-9])", "v"), "spdx-license-identifier:", "spdx-license-identifier")
     if way == "lines":
         low = F.regexp_replace(low, r"[.!?;:]+\s", "\n")
     elif way == "wrapped":
@@ -249,9 +277,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # The tables of sentences and rules stand in the plan once, each way of cutting goes through them.
     cut = F.array(*[_sentences(F.col("_text"), w) for w in WAYS])
-    ids = F.transform(cut, lambda s: F.filter(F.transform(s, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()))
-    some = F.filter(ids, lambda found: F.size(found) > 0)
-    met = _once(F.array_distinct(F.flatten(F.transform(some, lambda found: _met(found, rules)))), lambda m: F.filter(m, lambda r: ~F.arrays_overlap(r.by, m.rule)))
+    others = lambda x: F.when(x.startswith(AS_IS_BEGINS), AS_IS).when(x.rlike("[^ ]+ [^ ]+ [^ ]"), OTHER)
+    ids = F.transform(cut, lambda s: F.filter(F.transform(s, lambda x: F.coalesce(F.try_element_at(known, x), others(x))), lambda x: x.isNotNull()))
+    # A run of unknown sentences is as good as one.
+    short = lambda found: F.filter(found, lambda x, i: (x != OTHER) | (i == 0) | (F.get(found, i - 1) != OTHER))
+    some = F.filter(F.transform(ids, short), lambda found: F.exists(found, lambda x: x != OTHER))
+    met = _once(F.array_distinct(F.flatten(F.transform(some, lambda found: _met(found, rules)))), lambda m: F.filter(m, lambda r: ~F.arrays_overlap(r.by, m.rule) & (r.license != "")))
     # The outer form is not filtered by its own array first, which would evaluate it twice.
     found = rows.select("_key", F.explode_outer(met).alias("_r")).where("_r IS NOT NULL")
     return found.select(F.col("_key").alias(key), F.col("_r.rule").alias("rule"), F.col("_r.license").alias("license"), F.size("_r.ids").alias("sentences"))
@@ -267,7 +298,7 @@ def oracle() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {known}), rules(rule, license, ids) AS (VALUES {rules}), instead(win, lose) AS (VALUES {instead}),
 low AS (
-  SELECT doc_id, replace(regexp_replace(lower(text), '\\bv\\.(\\s{{0,3}}[0-9])', 'v\\1', 'g'), 'spdx-license-identifier:', 'spdx-license-identifier') AS t FROM documents WHERE {anchored}
+  SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), chr(13) || chr(10), chr(10)), '{MARKS}', '\\1', 'g'), '{HOLDER}', '{HOLDER_AS}', 'g'), '\\bv\\.(\\s{{0,3}}[0-9])', 'v\\1', 'g'), 'spdx-license-identifier:', 'spdx-license-identifier') AS t FROM documents WHERE {anchored}
 ), ends AS (
   SELECT doc_id, 0 AS way, regexp_replace(t, '[.!?;:]+\\s', chr(10), 'g') AS t FROM low
   UNION ALL
@@ -279,9 +310,11 @@ low AS (
 ), each_ AS (
   SELECT doc_id, way, generate_subscripts(s, 1) AS pos, trim(unnest(s)) AS sentence FROM cut
 ), found AS (
-  SELECT doc_id, way, list(id ORDER BY pos) AS ids_found FROM each_ JOIN known USING (sentence) GROUP BY ALL
+  SELECT doc_id, way, list(id ORDER BY pos) AS ids_found FROM (
+    SELECT doc_id, way, pos, coalesce(id, CASE WHEN starts_with(sentence, '{AS_IS_BEGINS}') THEN '{AS_IS}' WHEN regexp_matches(sentence, '[^ ]+ [^ ]+ [^ ]') THEN '{OTHER}' END) AS id FROM each_ LEFT JOIN known USING (sentence)
+  ) WHERE id IS NOT NULL GROUP BY ALL
 ), met AS (
   SELECT DISTINCT doc_id, rule, license, len(r.ids) AS sentences FROM found, rules r WHERE {step} = len(r.ids)
 )
-SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM instead i JOIN met o ON o.rule = i.win WHERE i.lose = m.rule AND o.doc_id = m.doc_id)
+SELECT * FROM met m WHERE license <> '' AND NOT EXISTS (SELECT 1 FROM instead i JOIN met o ON o.rule = i.win WHERE i.lose = m.rule AND o.doc_id = m.doc_id)
 """

@@ -1,5 +1,6 @@
 import re
 import textwrap
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -113,18 +114,79 @@ def test_only_and_later_exceptions_and_dual_licences(spark):
     assert found(spark, [t for t, _ in texts]) == [(i, rule) for i, (_, rules) in enumerate(texts) for rule in rules]
 
 
+SENTENCES = licenses.SENTENCES | {licenses.OTHER: "a clause that nobody knows", licenses.AS_IS: licenses.AS_IS_BEGINS + "the authors as is"}
+
+
 def test_every_rule_is_met_by_its_own_sentences_and_by_none_that_lacks_one(spark):
-    joined = [". ".join(licenses.SENTENCES[i].replace("spdx license identifier", "spdx-license-identifier:").replace("under cc", "licensed under cc") for i in ids) + "." for _, _, ids in licenses.RULES]
+    joined = [". ".join(SENTENCES[i].replace("spdx license identifier", "spdx-license-identifier:").replace("under cc", "licensed under cc") for i in ids) + "." for _, _, ids in licenses.RULES]
     got = found(spark, joined)
-    assert [i for i, (rule, _, _) in enumerate(licenses.RULES) if (i, rule) not in got] == []
-    without = [(rule, ". ".join(licenses.SENTENCES[i] for i in ids[:k] + ids[k + 1 :])) for rule, _, ids in licenses.RULES for k in range(len(ids)) if len(ids) > 1]
+    assert [i for i, (rule, spdx, _) in enumerate(licenses.RULES) if ((i, rule) in got) != bool(spdx)] == []
+    without = [(rule, ". ".join(SENTENCES[i] for i in ids[:k] + ids[k + 1 :])) for rule, _, ids in licenses.RULES for k in range(len(ids)) if len(ids) > 1]
     got = found(spark, [t for _, t in without])
     assert [without[i] for i, rule in got if without[i][0] == rule] == []
 
 
+BSD = """Copyright (c) 2009 Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+{clause}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+NAMED = "   * Neither the name of {} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+COMMENTS = {"plain": "{}", "hash": "# {}", "slashes": "// {}", "star": " * {}", "dnl": "dnl {}", "semicolons": ";; {}", "dashes": "-- {}"}
+
+
+def commented(text, form):
+    return "\n".join(COMMENTS[form].format(line).rstrip() for line in text.split("\n"))
+
+
+def clauses():
+    texts = [(BSD.format(clause=""), ["bsd2_text"])]
+    texts += [(BSD.format(clause=NAMED.format(name)), ["bsd3_text"]) for name in ("Google Inc.", "the copyright holder", "the University", "Foo, Bar & Sons Ltd.", "the\nvery long named Organisation of St. Somewhere")]
+    texts += [(BSD.format(clause=f"   * {clause}\n"), []) for clause in ("The name of the author may not be used to endorse products.", "This code may only be used for good.")]
+    texts += [(BSD.format(clause=NAMED.format("Google Inc.") + "   * No part of it may be used in a nuclear plant.\n"), [])]
+    texts += [(MIT, ["mit_text"]), (MIT.replace("THE SOFTWARE IS", "The Software shall be used for Good, not Evil.\n\nTHE SOFTWARE IS"), [])]
+    return [(commented(t, form), rules) for t, rules in texts for form in COMMENTS]
+
+
+def test_named_and_unknown_clauses_and_comment_marks(spark):
+    texts = clauses()
+    assert found(spark, [t for t, _ in texts]) == [(i, rule) for i, (_, rules) in enumerate(texts) for rule in rules]
+
+
+INSTALLED = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": None, "GFDL-1.3": None, "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_installed_texts_give_their_own_name_or_none(spark):
+    folder = Path("/usr/share/common-licenses")
+    texts = [(commented((folder / name).read_text(errors="replace"), form), spdx) for name, spdx in INSTALLED.items() if (folder / name).exists() for form in COMMENTS]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {spdx} for i, (_, spdx) in enumerate(texts) if spdx}
+
+
+def test_headers_behind_comment_marks(spark):
+    texts = [(commented(t, form), rules) for t, rules in rich()[:15] for form in COMMENTS]
+    assert found(spark, [t for t, _ in texts]) == [(i, rule) for i, (_, rules) in enumerate(texts) for rule in rules]
+
+
 def test_rows_are_those_of_the_statement(spark):
     wrap = lambda text, width: "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n\n"))
-    texts = [t for t, _ in rich()] + [wrap(t, w) for t, _ in rich()[:-1] for w in (23, 61)] + [MIT, wrap(MIT, 33).replace("\n", "\r\n"), "", None, "..licensed under the MIT license..."]
+    texts = [t for t, _ in rich()] + [wrap(t, w) for t, _ in rich()[:-1] for w in (23, 61)] + [t for t, _ in clauses()] + [MIT, wrap(MIT, 33).replace("\n", "\r\n"), "", None, "..licensed under the MIT license..."]
     documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
     con = duckdb.connect()
     con.register("documents", documents)
@@ -133,10 +195,10 @@ def test_rows_are_those_of_the_statement(spark):
     assert got == want and len(got) > 60
 
 
-def test_anchors_are_in_all_sentences():
-    assert all(any(a in s for a in licenses.ANCHORS) or re.search(licenses.CC, s) for s in licenses.SENTENCES.values())
+def test_anchors_are_in_all_rules():
+    assert all(any(a in SENTENCES[i] for a in licenses.ANCHORS for i in ids) or any(re.search(licenses.CC, SENTENCES[i]) for i in ids) for _, _, ids in licenses.RULES)
     assert len({spdx for _, spdx, _ in licenses.RULES}) >= 40
-    assert all(i in licenses.SENTENCES for _, _, ids in licenses.RULES for i in ids)
+    assert all(i in SENTENCES for _, _, ids in licenses.RULES for i in ids)
 
 
 def test_awkward_rows(spark):
