@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 _BLOCK = 1 << 19
 # (prime, base): sums of 2**19 bytes times a residue stay below 2**59.
@@ -129,20 +128,138 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(starts, rows, side="left")
 
 
-def distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of a string column as they are written, the number of each word in order, and the offsets of its rows.
+_SOLID = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-    Words are told apart by their characters and not by a hash.  Null counts as empty.
+
+def word_bounds(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words of ``data``, whose rows start at ``rows``."""
+    solid = _SOLID[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    breaks = rows[rows < len(data)]
+    first[breaks] = solid[breaks]
+    last = solid
+    last[:-1] &= ~solid[1:] | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class Words:
+    """Words by numbers from 0 in the order they are met, told apart by their bytes.
+
+    A word is looked up by a hash of its bytes, eight at a time, in an open
+    table; on a hit its bytes are compared with those kept, eight at a time.
+    Words over ``LONG`` bytes, and words that share a hash with another, are
+    kept in a dictionary of their own.
     """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lists = pc.ascii_split_whitespace(column.fill_null("") if column.null_count else column)
-    flat = lists.flatten()
-    solid = pc.greater(pc.binary_length(flat), 0)
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    rows = np.append(0, np.cumsum(solid.to_numpy(zero_copy_only=False)))[ends - ends[0]]
-    coded = flat.filter(solid).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows
+
+    LONG = 256
+
+    def __init__(self, bits: int = 64):
+        self.words: list[bytes] = []
+        self._odd: dict[bytes, int] = {}
+        self._keep = _U((1 << bits) - 1)
+        self._slots = np.full(1 << 12, -1, np.int32)
+        self._hash, self._size, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._bytes = np.zeros(8, np.uint8)
+
+    @staticmethod
+    def _eights(data: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on as a number; eight bytes must follow the last place."""
+        return np.ndarray((len(data) - 7,), np.dtype("<u8"), buffer=data, strides=(1,))
+
+    def _hashes(self, eights: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = mix64((eights[begin] & _LOW[np.minimum(size, 8)]) * _U(0x9FB21C651E98DF25) + size.astype(np.uint64))
+        k, left = 8, np.flatnonzero(size > 8)
+        while len(left):
+            out[left] = mix64(out[left] * _U(0xC2B2AE3D27D4EB4F) + (eights[begin[left] + k] & _LOW[np.minimum(size[left] - k, 8)]))
+            k += 8
+            left = left[size[left] > k]
+        return out & self._keep
+
+    def _same(self, eights: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether words have the bytes of these numbers."""
+        own, at = self._eights(self._bytes), self._at[number]
+        out = self._size[number] == size
+        out &= (eights[begin] ^ own[at]) & _LOW[np.minimum(size, 8)] == 0
+        k, left = 8, np.flatnonzero(out & (size > 8))
+        while len(left):
+            differ = (eights[begin[left] + k] ^ own[at[left] + k]) & _LOW[np.minimum(size[left] - k, 8)] != 0
+            out[left[differ]] = False
+            k += 8
+            left = left[~differ]
+            left = left[size[left] > k]
+        return out
+
+    def _found(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        mask = len(self._slots) - 1
+        place = (hashed >> _U(20) & _U(mask)).astype(np.int64)
+        out = self._slots[place].astype(np.int64)
+        left = np.flatnonzero(out >= 0)
+        left = left[self._hash[out[left]] != hashed[left]]
+        while len(left):
+            place[left] = place[left] + 1 & mask
+            out[left] = self._slots[place[left]]
+            left = left[out[left] >= 0]
+            left = left[self._hash[out[left]] != hashed[left]]
+        return out
+
+    def _enter(self, number: np.ndarray) -> None:
+        mask = len(self._slots) - 1
+        place = (self._hash[number] >> _U(20) & _U(mask)).astype(np.int64)
+        while len(number):
+            free = self._slots[place] < 0
+            self._slots[place[free]] = number[free]
+            left = self._slots[place] != number
+            number, place = number[left], place[left] + 1 & mask
+
+    def _add(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, hashed: np.ndarray) -> None:
+        number = np.arange(len(self.words), len(self.words) + len(begin))
+        self.words += [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        own = data[ranges(begin, size)]
+        self._at = np.append(self._at, len(self._bytes) - 8 + np.cumsum(size) - size)
+        self._bytes = np.concatenate([self._bytes[:-8], own, np.zeros(8, np.uint8)])
+        self._hash, self._size = np.append(self._hash, hashed), np.append(self._size, size)
+        if 2 * len(self.words) > len(self._slots):
+            self._slots = np.full(1 << (4 * len(self.words)).bit_length(), -1, np.int32)
+            number = np.flatnonzero(self._size >= 0)
+        self._enter(number)
+
+    def _oddly(self, words: list[bytes]) -> list[int]:
+        """Numbers of words that the table can't hold, which get no place and size -1 there."""
+        for word in words:
+            if word not in self._odd:
+                self._odd[word] = len(self.words)
+                self.words.append(word)
+        new = len(self.words) - len(self._size)
+        self._hash, self._at = np.append(self._hash, np.zeros(new, np.uint64)), np.append(self._at, np.zeros(new, np.int64))
+        self._size = np.append(self._size, np.full(new, -1))
+        return [self._odd[w] for w in words]
+
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word of a string column, and the offsets of its rows among them; null counts as empty."""
+        data, rows = text_bytes(column)
+        begin, end = word_bounds(data, rows)
+        data, size = np.append(data, np.zeros(8, np.uint8)), end - begin
+        eights = self._eights(data)
+        out = np.full(len(begin), -1)
+        usual = np.flatnonzero(size <= self.LONG)
+        a, n = begin[usual], size[usual]
+        hashed = self._hashes(eights, a, n)
+        number = self._found(hashed)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            _, first = np.unique(hashed[new], return_index=True)
+            first = new[np.sort(first)]
+            self._add(data, a[first], n[first], hashed[first])
+            number[new] = self._found(hashed[new])
+        whole = self._same(eights, a, n, number)
+        out[usual[whole]] = number[whole]
+        odd = np.flatnonzero(out < 0)
+        if len(odd):
+            out[odd] = self._oddly([data[a:b].tobytes() for a, b in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)])
+        return out, np.searchsorted(begin, rows, side="left")
 
 
 def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:

@@ -49,7 +49,10 @@ class Unigram:
             by_end.setdefault(piece[-1], set()).add(len(piece))
         # The lengths that pieces with a given last character have.
         self.lengths = {c: sorted(n) for c, n in by_end.items()}
-        self.known: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.tokens = hashing.Words(), np.zeros(0, np.int64)
 
     def terminals(self, words: list[str]) -> dict[str, int]:
         """Tokens of each distinct word (its mark included)."""
@@ -85,14 +88,13 @@ class Unigram:
         """Pre-tokens and tokens of each row."""
         words, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part in hashing.slices(column):
-            names, which, rows = hashing.distinct_words(part)
-            if len(self.known) > _KNOWN:
-                self.known = {}
-            known = self.known
-            for name, n in self.terminals([MARK + w for w in names if w not in known]).items():
-                known[name[1:]] = n
-            each = np.fromiter((known[w] for w in names), np.int64, len(names))
-            sums = np.append(0, np.cumsum(each[which]))
+            if len(self.tokens) > _KNOWN:
+                self._forget()
+            number, rows = self.words.numbers(part)
+            new = [MARK + w.decode() for w in self.words.words[len(self.tokens) :]]
+            found = self.terminals(new)
+            self.tokens = np.append(self.tokens, np.fromiter((found[w] for w in new), np.int64, len(new)))
+            sums = np.append(0, np.cumsum(self.tokens[number]))
             words.append(np.diff(rows))
             tokens.append(np.diff(sums[rows]))
         return np.concatenate(words), np.concatenate(tokens)

@@ -2,10 +2,11 @@
 
 The file's split pattern never joins characters across white space, and its
 normaliser changes none across it, so a text's ids are those of its words end
-to end; likewise marks after a letter are split off it.  The library is asked
-once for each distinct word without these, many at a time; words are told
-apart by their characters.  Words that might hold a special literal go to it
-as they are.
+to end; likewise marks after a letter are split off it.  (Only after a-z and
+A-Z: other letters may become a letter and a mark when lower-cased.)  The
+library is asked once for each distinct word without these, many at a time;
+words are told apart by their bytes.  Words that might hold a special literal
+go to it as they are.
 """
 
 from __future__ import annotations
@@ -31,30 +32,36 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _learn(self, words: list[str]) -> None:
-        """Keep the ids of ``words``, from those of their parts."""
+    def _forget(self) -> None:
+        self.words = hashing.Words()
+        self.parts: dict[str, bytes] = {}
+        # The ids of all words by their numbers, end to end.
+        self.flat, self.counts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of ``words``, from those of their parts."""
         parts = []
         for word in words:
             core, marks = word, ""
             if _SPECIAL not in word:
                 low = word.lower() if word.isascii() else word
                 core = low.rstrip(_MARKS)
-                if core and core[-1].isalpha():
+                if core and "a" <= core[-1].lower() <= "z" and core[-1].isascii():
                     marks = low[len(core) :]
                 else:
                     core = low
             parts.append((core, marks))
-        new = list({x for both in parts for x in both if x and x not in self.known})
+        known = self.parts
+        new = list({x for both in parts for x in both if x and x not in known})
         plain = [x for x in new if _SPECIAL not in x]
         for k in range(0, len(plain), _JOINED):
             self._ask(plain[k : k + _JOINED])
         for x in new:
             if _SPECIAL in x:
-                self.known[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        for word, (core, marks) in zip(words, parts, strict=True):
-            self.known[word] = self.known[core] + self.known[marks] if marks else self.known[core]
+                known[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        return [known[core] + known[marks] if marks else known[core] for core, marks in parts]
 
     def _ask(self, words: list[str]) -> None:
         """Ids of words in one text; each id belongs to the word in which its characters begin."""
@@ -64,20 +71,20 @@ class WordBpe:
         ends = np.append(0, np.cumsum(np.bincount(np.searchsorted(begins, at, side="right") - 1, minlength=len(words)))) * 4
         ids, cuts = np.array(coded.ids, "<u4").tobytes(), ends.tolist()
         for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.known[word] = ids[a:b]
+            self.parts[word] = ids[a:b]
 
     def encode(self, column: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none of a null or empty one."""
         for part in hashing.slices(column):
-            names, which, rows = hashing.distinct_words(part)
-            if len(self.known) > _KNOWN:
-                self.known = {}
-            self._learn([w for w in names if w not in self.known])
-            own = [self.known[w] for w in names]
-            counts = np.fromiter(map(len, own), np.int64, len(own)) // 4
-            flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(counts) - counts
-            ids = flat[hashing.ranges(starts[which], counts[which])].tobytes()
-            cuts = (np.append(0, np.cumsum(counts[which])) * 4)[rows].tolist()
+            if len(self.counts) > _KNOWN:
+                self._forget()
+            number, rows = self.words.numbers(part)
+            own = self._learn([w.decode() for w in self.words.words[len(self.counts) :]])
+            self.counts = np.append(self.counts, np.fromiter(map(len, own), np.int64, len(own)) // 4)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(own), "<u4"))
+            starts, counts = (np.cumsum(self.counts) - self.counts)[number], self.counts[number]
+            ids = self.flat[hashing.ranges(starts, counts)].tobytes()
+            cuts = (np.append(0, np.cumsum(counts)) * 4)[rows].tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 yield ids[a:b]
 

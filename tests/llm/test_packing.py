@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -68,6 +70,26 @@ def test_ids_are_the_library_ones(library):
     assert np.frombuffer(coded[10], "<u4").tolist() == [320, 49407, 321]
 
 
+def test_ids_of_letters_marks_and_punctuation_of_all_scripts(library):
+    assert list(word_bpe.WordBpe(PATH).encode(pa.array(["ÜNİVERSİTESİ.", "İ.", "İ,x İ;"]))) == [np.array(library(t), "<u4").tobytes() for t in ("ÜNİVERSİTESİ.", "İ.", "İ,x İ;")]
+    draw = random.Random(11)
+    kinds = {}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LMNPSZ":
+            kinds.setdefault(kind, []).append(chr(c))
+    near = [chr(c) for c in range(0x250)] + list("İıŞşÇçßẞΣςσΑΙǅǆﬁ") + list(".,;:!?'’") * 8 + [" "] * 30
+
+    def word():
+        pick = lambda: draw.choice(near) if draw.random() < 0.8 else draw.choice(kinds[draw.choice("LLLMMNPSZ")])
+        return "".join(pick() for _ in range(draw.randint(1, 6))) + draw.choice(["", "", ".", ",", "!?", "...", ":;"])
+
+    texts = [" ".join(word() for _ in range(draw.randint(1, 3))) for _ in range(100_000)]
+    coded = list(word_bpe.WordBpe(PATH).encode(pa.array(texts)))
+    wrong = [t for t, c in zip(texts, coded, strict=True) if c != np.array(library(t), "<u4").tobytes()]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_ids_of_all_documents_are_the_library_ones(spark, library):
     texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
     coded = list(word_bpe.WordBpe(PATH).encode(pa.array(texts)))
