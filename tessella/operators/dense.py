@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+BLOCK_ROWS, QUERY_ROWS = 8192, 8192
+_TILE = 1 << 22
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,50 +25,85 @@ def normalized(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda v: v.cast("double") / norm)).otherwise(F.transform(vector, lambda v: v.cast("double")))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column whose lists have one length, as rows of length one (zero rows stay)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _best(vectors: pa.Table, queries: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k best of a block of vectors for each of a block of queries."""
+    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if vectors.num_rows and queries.num_rows:
+        own, asked = matrix(vectors.column("vector")), matrix(queries.column("vector"))
+        ids, names = vectors.column("id").to_numpy(), queries.column("query").to_numpy()
+        kinds, wanted = (t.column("category").to_numpy() for t in (vectors, queries))
+        step = max(1, _TILE // len(ids))
+        for at in range(0, len(names), step):
+            scores = np.round(asked[at : at + step] @ own.T, digits)
+            name, want = names[at : at + step, None], wanted[at : at + step, None]
+            scores[(name == ids[None, :]) | ((want != kinds[None, :]) & (want != None))] = -np.inf  # noqa: E711
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
+            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            value = scores[row, col]
+            order = np.lexsort((ids[col], -value, row))
+            row, col, value = row[order], col[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = place < k
+            for part, found in zip(out, (names[at : at + step][row[kept]], ids[col[kept]], value[kept]), strict=True):
+                part.append(found)
+    return pa.table({name: np.concatenate(part) for name, part in zip(("query", "id", "score"), out, strict=True)})
+
+
+def best_in_blocks(vectors: DataFrame, queries: DataFrame, on: list[str], k: int, digits: int = 9) -> DataFrame:
+    """query, id, score and rank of the k best vectors over all blocks.
+
+    vectors: ``on``, id, vector, category; queries: ``on``, query, vector,
+    category (null: any).  Rows with equal ``on`` are a block and meet in one
+    task, whose vectors must have one length; each block gives k rows a query.
+    """
+    left, right = vectors.select(*on, "id", "vector", "category").groupBy(*on), queries.select(*on, "query", "vector", "category").groupBy(*on)
+    found = left.cogroup(right).applyInArrow(partial(_best, k=k, digits=digits), "query long, id long, score double")
+    place = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def blocks(count: int | Column, rows: int) -> Column:
+    """How many blocks of about so many rows a count makes, one at least."""
+    count = F.lit(count) if isinstance(count, int) else count
+    return F.greatest(F.ceil(count / rows), F.lit(1)).cast("int")
+
+
+def dealt(name: str, parts: Column) -> Column:
+    """A row's block of so many."""
+    return F.pmod(F.xxhash64(name), parts).cast("int")
+
+
+def every(parts: Column) -> Column:
+    """The numbers of all blocks."""
+    return F.explode(F.sequence(F.lit(0), parts - 1))
+
+
+def usable(rows: DataFrame, key: str, vector: str, name: str, category: str | None = None) -> DataFrame:
+    """``name``, vector, size and category (as text) of the rows that have a vector."""
+    kind = F.col(category).cast("string") if category else F.lit(None).cast("string")
+    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("vector"), F.size(vector).alias("size"), kind.alias("category"))
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 9, category: str | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k most alike vectors of each query by cosine: query, key, score, rank (from 1).
 
-    The queries go to the tasks in blocks of a fixed size.  Each task keeps
-    the k best of its own rows for each query, so what is shuffled is k rows a
-    query and task.  A vector is not its own neighbour; scores are rounded to
-    ``digits`` and ties go to the lesser key.
+    Vectors and queries are dealt out as blocks, and every block of one meets
+    every block of the other, so a task holds one of each whatever their
+    numbers, and what is shuffled for the result is k rows a query and block.
+    A vector is not its own neighbour, nor are vectors of other sizes or,
+    where ``category`` names a column, of another category than a query that
+    has one.  Scores are rounded to ``digits`` and ties go to the lesser key;
+    rows without a vector are left out.
     """
-    # The driver holds one block of queries at a time.
-    spark, out, block = queries.sparkSession, None, []
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def searched(rows: list) -> DataFrame:
-        names = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((names, matrix))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, matrix = held.value
-            top_names = np.zeros((len(names), 0), np.int64)
-            top_scores = np.zeros((len(names), 0))
-            for pdf in batches:
-                own = np.stack(pdf[vector].to_list()).astype(np.float64)
-                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                scores = np.round(matrix @ own.T, digits)
-                ids = pdf[key].to_numpy(np.int64)
-                scores[names[:, None] == ids[None, :]] = -np.inf
-                scores = np.concatenate([top_scores, scores], axis=1)
-                every = np.concatenate([top_names, np.broadcast_to(ids, (len(names), len(ids)))], axis=1)
-                order = np.lexsort((every, -scores), axis=1)[:, :k]
-                top_scores, top_names = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
-            n = top_scores.shape[1]
-            yield pd.DataFrame({"query": np.repeat(names, n), key: top_names.ravel(), "score": top_scores.ravel()}).loc[lambda d: d["score"] > -np.inf]
-
-        return vectors.select(key, vector).mapInPandas(best, f"query long, `{key}` {kind}, score double")
-
-    for row in queries.select(key, vector).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part = searched(block)
-            out, block = part if out is None else out.union(part), []
-    if block or out is None:
-        part = searched(block) if block else vectors.select(F.lit(0).cast("long").alias("query"), key, F.lit(0.0).alias("score")).limit(0)
-        out = part if out is None else out.union(part)
-    place = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    own, asked = usable(vectors, key, vector, "id", category), usable(queries, key, vector, "query", category)
+    parts, asked_parts = (blocks(rows.count(), n) for rows, n in ((vectors, block_rows), (queries, query_rows)))
+    own = own.withColumn("block", dealt("id", parts)).withColumn("asked", every(asked_parts))
+    asked = asked.withColumn("asked", dealt("query", asked_parts)).withColumn("block", every(parts))
+    return best_in_blocks(own, asked, ["size", "block", "asked"], k, digits).select("query", F.col("id").alias(key), "score", "rank")
