@@ -97,3 +97,84 @@ def ranked(links: DataFrame, page: str, most: int = 150) -> DataFrame:
     first = Window.partitionBy(page, F.lower("label"), "url").orderBy("at")
     one = links.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
     return one.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), "at"))).where(F.col("place") <= most)
+
+
+# Actions that change something, query keys whose values are actions, files of pages' makeup, and addresses that other parts of a crawler read.
+MUTATIONS = ("logout", "logoff", "signout", "delete", "remove", "destroy", "submit", "unsubscribe", "approve", "reject", "activate", "deactivate", "reset", "purge", "terminate")
+ACTION_KEYS = ("action", "do", "cmd", "command", "operation", "op", "task", "act")
+ASSETS = (".css", ".js", ".mjs", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".ico", ".map")
+NOT_CRAWLED = ("robots", "robots.txt", "sitemap", "sitemap.xml", "sitemap_index.xml", "sitemap-index.xml", "sitemap.txt")
+LAYERS = 5
+
+
+def percent_decoded(text: Column) -> Column:
+    """``text`` with its percent escapes decoded once; what is no escape, and a plus sign, stays."""
+    whole = F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.when(F.contains(text, F.lit("%")), F.try_url_decode(whole)).otherwise(text)
+
+
+def decoded(text: Column, layers: int = LAYERS) -> Column:
+    """``text`` decoded until nothing changes; null where so many rounds, the one that finds no change included, are not enough."""
+    start = F.struct(text.alias("text"), F.lit(False).alias("still"))
+
+    def once(state: Column, _: Column) -> Column:
+        after = F.when(state["still"], state["text"]).otherwise(percent_decoded(state["text"]))
+        return F.struct(after.alias("text"), (state["still"] | (after == state["text"])).alias("still"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), start, once, lambda s: F.when(s["still"], s["text"]))
+
+
+def _has_action(text: Column) -> Column:
+    return F.arrays_overlap(F.split(text, "[^a-z0-9]+"), F.array(*map(F.lit, MUTATIONS)))
+
+
+def changes_something(url: Column) -> Column:
+    """Whether a URL asks for a change, or is encoded too deeply to tell.
+
+    A whole word of a path segment, the name of a query parameter with a
+    value, or a word of an action's value may ask for it, however often it is
+    encoded; words count, so deleted-records is none.  Null for null.
+    """
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    in_path = F.exists(segments, lambda s: F.coalesce(_has_action(F.lower(decoded(s))), F.lit(True)))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    plain = lambda t: percent_decoded(F.replace(t, F.lit("+"), F.lit(" ")))
+
+    def asks(pair: Column) -> Column:
+        key = decoded(F.lower(plain(F.substring_index(pair, "=", 1))))
+        value = decoded(plain(F.when(F.contains(pair, F.lit("=")), F.substr(pair, F.instr(pair, "=") + 1)).otherwise("")))
+        named = key.isin(*MUTATIONS) & (value != "")
+        return F.coalesce(named | (key.isin(*ACTION_KEYS) & _has_action(value)), F.lit(True))
+
+    in_query = F.exists(F.filter(F.split(query, "&"), lambda s: s != ""), asks)
+    return F.when(url.isNotNull(), in_path | in_query)
+
+
+def glob(pattern: str) -> str:
+    """A shell pattern as a regular expression."""
+    out, i = "", 0
+    while i < len(pattern):
+        c, end = pattern[i], pattern.find("]", i + 2)
+        if c == "[" and end > 0:
+            inside = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
+            out += f"[^{inside[1:]}]" if inside[0] == "!" else f"[{inside}]"
+            i = end
+        else:
+            out += {"*": ".*", "?": "."}.get(c, re.escape(c))
+        i += 1
+    return f"(?s)^{out}$"
+
+
+def _meets(url: Column, path: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [(url if p.startswith(("http://", "https://")) else path).rlike(glob(p)) for p in patterns], F.lit(False))
+
+
+def crawl_candidate(url: Column, origins: tuple[str, ...], suffixes: tuple[str, ...], skip: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
+    """Whether a URL may enter the crawl: within scope, no skipped or makeup file, nothing that other parts read, by the patterns, and no change."""
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    low = F.regexp_replace(F.lower(F.substring_index(path, ";", 1)), "/+$", "")
+    ends = reduce(lambda a, b: a | b, [F.endswith(low, F.lit(e)) for e in (*skip, *ASSETS)])
+    by_pattern = ~_meets(url, path, exclude) & (_meets(url, path, include) if include else F.lit(True))
+    allowed = within(url, origins, suffixes) & ~ends & ~F.substring_index(low, "/", -1).isin(*NOT_CRAWLED) & by_pattern
+    return F.coalesce(allowed & ~changes_something(url), F.lit(False))
