@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,10 +258,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """
     keyed = _slim(pages, key, html, F.col(url).cast("string").alias("_url"), F.col(html).alias("_html"))
     rows = keyed.join(revisits(pages, key, html, least), ["_key", "_digest", "_bytes"], "left")
-    # Keys as text, so that a null among them doesn't make pandas round the others.
-    rows = rows.select(F.col("_key").cast("string").alias("_key"), "_url", "_html", F.col("refers_to").cast("string").alias("refers_to"))
+    rows = rows.select("_key", "_url", "_html", "refers_to")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         task = TaskContext.get()
@@ -280,19 +279,18 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             names.append(name)
             held, size = [], 0
 
-        for pdf in batches:
-            for k, u, h, r in zip(pdf["_key"], pdf["_url"], pdf["_html"], pdf["refers_to"], strict=True):
-                raw = record(k, u, (h or "").encode(), r)
-                held.append(member(raw))
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                k, u, h, r = (x.as_py() for x in row)
+                held.append(member(record(k, u, (h or "").encode(), r)))
                 size += len(held[-1])
                 if size >= roll:
                     finish()
         if held:
             finish()
-        if names:
-            yield pd.DataFrame({"name": names})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    return stored(rows.mapInPandas(write, "name string"), "manifest")
+    return stored(rows.mapInArrow(write, "name string"), "manifest")
 
 
 def _names(spark: SparkSession, path: str) -> DataFrame:
@@ -307,12 +305,12 @@ def salvaged(spark: SparkSession, path: str, names: DataFrame | None = None) ->
     names: a table of the names of the files to read (all if None).  The path must be one that pyarrow can read.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        for pdf in batches:
-            for name in pdf["name"]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
                 with store.open_input_file(f"{root}/{name}") as file:
                     found = salvage(file)
                     while rows := [_row(name, x) for x in itertools.islice(found, _ROWS)]:
@@ -320,7 +318,7 @@ def salvaged(spark: SparkSession, path: str, names: DataFrame | None = None) ->
 
     names = _names(spark, path) if names is None else names
     parts = max(spark.sparkContext.defaultParallelism, names.count() // _FILES)
-    return names.select("name").repartition(parts, "name").mapInPandas(read, LOG)
+    return names.select("name").repartition(parts, "name").mapInArrow(read, LOG)
 
 
 def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
@@ -356,9 +354,10 @@ def _row(name: str, found: Record | Gap) -> tuple:
     return (_id(h.get("warc-record-id")), size, digest, h.get("warc-type"), _id(h.get("warc-refers-to")), name, found.begin, found.end, None)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")], dtype=object)
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "begin": "int64", "end": "int64"})
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in LOG.split(", ")), strict=True)
+    arrays = [pa.array([r[k] for r in rows], pa.int64() if kind == "long" else pa.string()) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
