@@ -22,7 +22,7 @@ PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP, GUARD = 3000, 300, 800, 100, 7200
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "Ave", "Dept", "Univ", "Fig", "vs", "etc", "approx", "dept", "est", "govt", "inc", "ltd", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 MENU = ("Home", "Admissions?", "Academics?", "Departments?", "Faculties", r"Contact\s*Us", "Downloads?", "Gallery", "Sitemap", "Examinations?", "Registrar", "Careers?", r"About\s*Us", "Research", "News", "Events", r"Notice\s*Board", "Administration", r"Vice\s*Chancellor")
 SHARING = ("Facebook", "Twitter", "LinkedIn", "Instagram", "Youtube", "Pinterest", r"Google\+", "RSS", "Mail")
-# What normalising takes away, in this order, each with what comes in its place.
+# What normalising takes away, in this order, each with what comes in its place.
 RULES = (
     (r"\r\n", "\n"),
     (r"[ \t]+\n", "\n"),
@@ -34,7 +34,7 @@ RULES = (
 )
 _MASK = "\0"
 _ABBREVIATED = re.compile(rf"\b({'|'.join(ABBREVIATIONS)})\.")
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+")
+_MARKS = re.compile(r"[.!?]+")
 _GUARDED = re.compile(r"[^.!?\n]+[.!?\n]*")
 _HEADING = re.compile(r"(#{1,6})\s")
 Path = tuple[str, ...]
@@ -61,12 +61,15 @@ def overlap_tail(text: str, size: int) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences with their marks; the full stop of an abbreviation ends none."""
-    masked = _ABBREVIATED.sub(rf"\1{_MASK}", text)
-    ends = [0, *(m.end() for m in _SENTENCE.finditer(masked))]
-    out = _SENTENCE.findall(masked)
-    if masked[ends[-1] :].strip():
-        out.append(masked[ends[-1] :])
+    """Sentences with their marks; the full stop of an abbreviation ends none, and marks before the first word belong to no sentence that follows."""
+    masked, out, start, done = _ABBREVIATED.sub(rf"\1{_MASK}", text), [], 0, 0
+    for marks in _MARKS.finditer(masked):
+        if marks.start() > start:
+            done = marks.end()
+            out.append(masked[start:done])
+        start = marks.end()
+    if masked[done:].strip():
+        out.append(masked[done:])
     return [s.replace(_MASK, ".") for s in out] or [text]
 
 
@@ -215,9 +218,16 @@ def of_document(url: str, text: str | None, title: str | None = None) -> Iterato
                 yield parent, ordinal, ">".join(headings), chunk_key(url, headings, ordinal), hashlib.sha256(part.encode()).hexdigest(), part
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores, for work that costs far more than reading; where there are as many partitions already, as they lie."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """Child chunks of ``docs`` (url, text and perhaps title); a document is chunked where it lies, so nothing is shuffled."""
+    """Child chunks of ``docs`` (url, text and perhaps title); a document is chunked in one task, in time that follows its length."""
     title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string")
+    docs = spread(docs)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

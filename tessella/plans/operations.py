@@ -65,7 +65,6 @@ S("failure_rates", "SELECT user_id % 20 AS task, sum(CASE WHEN event_id % 19 = 0
 S("retention", "SELECT event_type, count(*) AS expired FROM {events} WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY event_type")
 S("session_purge", "SELECT user_id, count(*) AS marked FROM {events} WHERE event_id % 5 <> 3 GROUP BY user_id")
 S("category_rollup", "SELECT lang, grouping(lang) AS total, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM {documents} GROUP BY GROUPING SETS ((lang), ())")
-S("manifest_diff", f"WITH o AS ({_old}), n AS ({_new}) SELECT CASE WHEN o.doc IS NULL THEN 'added' WHEN n.doc IS NULL THEN 'removed' WHEN o.hash = n.hash THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM o FULL OUTER JOIN n ON o.doc = n.doc GROUP BY 1")
 S("kill_switch", "SELECT d.doc_id, coalesce(c.enabled, true) AS enabled FROM {documents} d LEFT JOIN (SELECT item_id, item_id % 2 = 0 AS enabled FROM {benchmark}) c ON c.item_id = d.doc_id")
 S("backfill_embedded", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 END, doc_id % 4, 0) AS chunks_embedded FROM {documents}")
 S("trace_spans", "SELECT user_id, event_type AS name, count(*) AS spans, round(sum(value), 4) AS total_ms, round(max(value), 4) AS longest_ms FROM {events} GROUP BY user_id, event_type")

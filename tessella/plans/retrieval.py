@@ -85,14 +85,6 @@ def _with_texts(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
 FAMILY.add("bm25_topk", lambda s, f: _bm25(s, f).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score")), f"WITH {BM25} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM hits WHERE rank <= 10")
 
 
-def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole items among documents, fused with what their first ten words find, at half the weight."""
-    short = _questions(spark, folder).withColumn("text", F.array_join(F.slice(lexical.words(F.col("text")), 1, 10), " "))
-    return fusion.reciprocal_rank([(_bm25(spark, folder, 20), 1.0), (lexical.bm25(short, table(spark, folder, "documents"), 10), 0.5)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score"))
-
-
-_short = BM25.replace("SELECT item_id, text FROM benchmark", f"SELECT item_id, array_to_string(({_WORDS})[1:10], ' ') AS text FROM benchmark")
-FAMILY.add("rrf_fusion", rrf_fusion, f"WITH a AS (WITH {BM25} SELECT item_id, doc_id, 1e0 / (59 + rank) AS part FROM hits WHERE rank <= 20), b AS (WITH {_short} SELECT item_id, doc_id, 0.5e0 / (59 + rank) AS part FROM hits WHERE rank <= 10), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT item_id, doc_id, round(sum(part), 9) AS score FROM u GROUP BY ALL")
 FAMILY.add("linear_fusion", lambda s, f: fusion.linear_decay([(_bm25(s, f), 1.0)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score")), f"WITH {BM25}, t AS (SELECT * FROM hits WHERE rank <= 10) SELECT item_id, doc_id, round(greatest(0.001e0, (count(*) OVER (PARTITION BY item_id) - rank + 1)::DOUBLE / count(*) OVER (PARTITION BY item_id)), 9) AS score FROM t")
 _stop = "[" + ", ".join(f"'{w}'" for w in fusion.STOPWORDS) + "]"
 

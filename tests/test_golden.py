@@ -293,3 +293,21 @@ def test_jobs_and_settings(spark):
     found = {r.chunk: (r.parent_id, r.parent_text) for r in moved.collect()}
     assert found["x"] == found["y"] != found["z"] and found["w"] == ("p", "kept") and found["v"] == (None, None)
     assert {(r.parent_id, r.document, r.text) for r in parents.collect()} == {(found["x"][0], "d", "same"), (found["z"][0], "e", "same")}
+
+
+def test_sentences_as_by_pattern_and_in_linear_time(spark):
+    import re
+    import time
+
+    def plain(text):
+        masked = chunking._ABBREVIATED.sub(rf"\1{chunking._MASK}", text)
+        ends = [0, *(m.end() for m in re.finditer(r"[^.!?]+[.!?]+", masked))]
+        out = re.findall(r"[^.!?]+[.!?]+", masked) + ([masked[ends[-1] :]] if masked[ends[-1] :].strip() else [])
+        return [s.replace(chunking._MASK, ".") for s in out] or [text]
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", "...", "..a", "a..", "Mr. X. went", "?!", "a! b", " . ", "no mark", "etc."]
+    assert [chunking.sentences(t[:3000]) for t in texts] == [plain(t[:3000]) for t in texts]
+    began = time.perf_counter()
+    found = list(chunking.of_document("doc://1", "word and another " * 600_000))
+    assert len("".join(f[-1] for f in found)) > 10_000_000 and time.perf_counter() - began < 10
