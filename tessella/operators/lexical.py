@@ -1,4 +1,4 @@
-"""BM25 over word postings of the query terms."""
+"""BM25 over the query words of each document, with the frequent words left to the candidates."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.sources.checkpoints import checkpointed
 
 K1, B = 1.5, 0.75
+RARE, SLACK = 0.1, 1e-7
 
 
 def words(text: Column) -> Column:
@@ -15,22 +16,54 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def forward(queries: DataFrame, docs: DataFrame, query: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Words of the queries (query, word, qf), and key, length and tf of every document: how often it has each word of some query.
+
+    Both are stored.  What is shuffled follows the queries' words and not the
+    corpus vocabulary; texts are read once.
+    """
+    terms = checkpointed(queries.select(query, F.explode(words(F.col(text))).alias("word")).groupBy(query, "word").agg(F.count("*").alias("qf")))
+    # The empty word stands in every document, so that those without any other are counted too.
+    asked = terms.select("word").distinct().union(docs.sparkSession.createDataFrame([("",)], "word string"))
+    split = docs.select(key, words(F.col(text)).alias("_words")).select(key, F.coalesce(F.size("_words"), F.lit(0)).alias("length"), F.concat(F.coalesce("_words", F.array().cast("array<string>")), F.array(F.lit(""))).alias("_words"))
+    counted = split.select(key, "length", F.explode("_words").alias("word")).join(asked, "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
+    held = counted.groupBy(key, "length").agg(F.map_from_entries(F.collect_list(F.struct("word", "tf"))).alias("tf"))  # the queries' words at most
+    return terms, checkpointed(held)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k best documents of each query: query, key, score, rank (from 1).
 
-    Only postings of words that some query has are kept, right after words
-    are split, so what is shuffled follows the queries and not the corpus
-    vocabulary; they are counted within their document and stored once.  idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a word counts as
-    often as the query has it; scores are rounded to 9 digits and ties go to
-    the lesser key.
+    Documents are first scored by a query's rare words, whose k-th best sum is
+    a threshold.  The most that a word can add being known, a document that
+    has only words which together stay below the threshold can't be among the
+    best: such words (the frequent ones) join nothing, and are looked up in
+    the candidates that the others find.  So the result is exact and no
+    frequent word is a key.  idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a
+    word counts as often as the query has it; scores are rounded to 9 digits
+    and ties go to the lesser key.
     """
-    terms = queries.select(query, F.explode(words(F.col(text))).alias("word")).groupBy(query, "word").count().withColumnRenamed("count", "qf")
-    split = docs.select(key, words(F.col(text)).alias("_words")).select(key, F.size("_words").alias("length"), "_words")
-    postings = checkpointed(split.select(key, "length", F.explode("_words").alias("word")).join(terms.select("word").distinct(), "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf")))
-    frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
-    corpus = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    weighed = terms.join(frequency, "word").join(F.broadcast(corpus)).select(query, "word", "qf", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    value = F.col("idf") * F.col("qf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = postings.join(weighed, "word").groupBy(query, key).agg(F.round(F.sum(value), 9).alias("score"))
+    terms, held = forward(queries, docs, query, key, text)
+    corpus = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = corpus["n"], corpus["mean"] or 1.0
+    posted = held.select(key, "length", F.explode("tf").alias("word", "tf")).where("word <> ''")
+    frequency = posted.groupBy("word").agg(F.count("*").alias("df"))
+    weight = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qf") * (K1 + 1)
+    weighed = checkpointed(terms.join(frequency, "word").select(query, "word", "df", weight.alias("weight")))  # the weight is also the most that the word can add
+    share = lambda tf: tf / (tf + K1 * (1 - B + B * F.col("length") / mean))
+
+    def partial(some: DataFrame) -> DataFrame:
+        return posted.join(some.select(query, "word", "weight"), "word").groupBy(query, key).agg(F.sum(F.col("weight") * share(F.col("tf"))).alias("part"))
+
+    best = Window.partitionBy(query).orderBy(F.desc("part"))
+    first = partial(weighed.where(F.col("df") <= max(1.0, RARE * n)))
+    least = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy(query).agg(F.max("_r").alias("_n"), F.min("part").alias("least")).where(F.col("_n") >= k)
+    below = F.sum("weight").over(Window.partitionBy(query).orderBy("weight", "word"))
+    sorted_ = weighed.join(least.select(query, "least"), query, "left").withColumn("_needed", F.coalesce(below >= F.col("least") - SLACK, F.lit(True)))
+    split = checkpointed(sorted_.select(query, "word", "weight", "least", "_needed"))
+    rest = split.where("NOT _needed").groupBy(query).agg(F.collect_list(F.struct("word", "weight")).alias("rest"), F.sum("weight").alias("most"), F.first("least").alias("least"))  # words of one query
+    candidates = partial(split.where("_needed")).join(rest, query, "left").where(F.coalesce(F.col("part") + F.col("most") >= F.col("least") - SLACK, F.lit(True)))
+    added = F.aggregate(F.coalesce("rest", F.array().cast(rest.schema["rest"].dataType)), F.lit(0.0), lambda s, x: s + F.coalesce(x["weight"] * share(F.try_element_at("tf", x["word"])), F.lit(0.0)))
+    scores = candidates.join(held, key).select(query, key, F.round(F.col("part") + added, 9).alias("score"))
     place = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

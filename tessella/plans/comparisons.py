@@ -1,4 +1,4 @@
-"""Variants of a search over stored candidates, fingerprints of tables, manifests, and blocks that say something new."""
+"""Variants of a search over stored candidates, fingerprints of tables, manifests, blocks that say something new, and pages without furniture."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import blocks
-from tessella.operators import digests, fusion, lexical, variants
+from tessella.operators import digests, furniture, fusion, lexical, variants
 from tessella.sources.checkpoints import checkpointed
 from tessella.sources.tables import table
 
@@ -125,3 +125,26 @@ def _supplements(spark: SparkSession, folder: str) -> DataFrame:
 
 FAMILY.add("supplemental_blocks", lambda s, f: _supplements(s, f).select("doc_id", F.posexplode(blocks.supplemental(F.col("full"), F.col("more"))).alias("place", "block")))
 FAMILY.add("blocks_without_repeats", lambda s, f: _supplements(s, f).select("doc_id", F.size(blocks.without_repeats(F.col("more"))).alias("n"), F.md5(F.array_join(blocks.without_repeats(F.col("more")), "\n\n")).alias("digest")))
+
+
+def _paged(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten documents at a time as the pages of one, with a running head, a foot and numbers."""
+    docs = table(spark, folder, "documents")
+    document, page = F.floor(F.col("doc_id") / 10).cast("long"), (F.col("doc_id") % 10).cast("int")
+    head = F.concat(F.lit("ANNUAL REPORT "), F.col("lang"), F.lit(" | "), (page + 1).cast("string"))
+    foot = F.when(document % 2 == 0, F.concat(F.lit("- "), (page + 7).cast("string"), F.lit(" -"))).otherwise("www.example.com")
+    return docs.select(document.alias("document"), page.alias("page"), F.concat_ws("\n", head, F.lit(""), "text", F.lit(""), foot).alias("text"))
+
+
+def pages_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return furniture.cleaned_pages(_paged(spark, folder)).select("document", "page", "removed", F.char_length("text").alias("characters"), F.md5("text").alias("digest"))
+
+
+def documents_assembled(spark: SparkSession, folder: str) -> DataFrame:
+    pages = furniture.cleaned_pages(_paged(spark, folder))
+    titles = pages.select("document").distinct().withColumn("title", F.concat(F.lit("Report "), F.col("document").cast("string")))
+    return furniture.assembled(pages, titles).select("document", "pages", "words", "usable", F.md5("text").alias("digest"))
+
+
+FAMILY.add("pages_cleaned", pages_cleaned)
+FAMILY.add("documents_assembled", documents_assembled)
