@@ -45,6 +45,15 @@ def suspicious(text: Column) -> Column:
     return text.rlike("(?i)" + any_of(INJECTION))
 
 
+# Fixed value: the characters of a question at most.
+QUESTION_CHARACTERS = 2000
+
+
+def question_screen(text: Column, most: int = QUESTION_CHARACTERS) -> Column:
+    """invalid (null or empty), too long, injection or ok: what a question is turned away for, in this order."""
+    return F.when(text.isNull() | (text == ""), "invalid").when(F.char_length(text) > most, "too long").when(suspicious(text), "injection").otherwise("ok")
+
+
 def gateway(text: Column) -> Column:
     """OK, or why a request is turned away: empty, too long, or holding a pattern once control characters are gone."""
     plain = F.trim(F.regexp_replace(text, CONTROL, ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -13,22 +14,36 @@ from tessella.functions.simhash64 import hamming, simhash64
 from tessella.sources.checkpoints import checkpointed
 
 
-def near_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 6, least_words: int = 120) -> DataFrame:
+MOST_RATIO = 1.43
+
+
+def near_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 6, least_words: int = 120, blocks: int = 8) -> DataFrame:
     """Each document with the least other key within the radius, if any: key, words, duplicate_of.
 
-    Equal fingerprints count as one.  Of 8 blocks of 8 bits two fingerprints
-    within 6 bits have two in common at least, so there is a table for each
-    pair of blocks, of 65,536 buckets.  Texts of fewer words, and pairs whose
-    word counts differ by more than 0.7 to 1.43, are no duplicates.
+    Equal fingerprints count as one.  Of ``blocks`` blocks two fingerprints
+    within the radius have all but ``radius`` in common at least, so there is
+    a table for each choice of so many; more blocks make more tables of
+    smaller buckets.  Texts of fewer words, and pairs whose word counts differ
+    by more than 0.7 to 1.43, are no duplicates: word counts are put into
+    classes of that ratio, a text enters its own and the next one, and two
+    texts meet in the larger of their classes only.  Fingerprints are computed
+    once and stored.
     """
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than bits of the radius")
     prints = docs.select(F.col(key).alias("id"), simhash64(F.col(text)).alias("s")).select("id", F.col("s.fp").alias("fp"), F.col("s.words").alias("words"))
+    prints = checkpointed(prints)
     large = prints.where(F.col("words") >= least_words).groupBy("fp", "words").agg(F.min("id").alias("id"))
-    block = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-    tables = F.array(*[F.struct(F.lit(i).alias("block"), F.hash(*[block[k] for k in chosen]).alias("value")) for i, chosen in enumerate(combinations(range(8), 8 - radius))])
-    banded = large.select("id", "fp", "words", F.explode(tables).alias("t")).select("id", "fp", "words", "t.block", "t.value")
-    other = banded.select(F.col("id").alias("first"), F.col("fp").alias("_fp"), F.col("words").alias("_words"), "block", "value")
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    tables = F.array(*[F.xxhash64(F.lit(i), *[block[k] for k in chosen]) for i, chosen in enumerate(combinations(range(blocks), blocks - radius))])
+    own = F.floor(F.log(F.col("words")) / math.log(MOST_RATIO)).cast("int")
+    classed = large.withColumn("own", own).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    banded = classed.select("id", "fp", "words", "own", "class", F.explode(tables).alias("bucket"))
+    other = banded.select(F.col("id").alias("first"), F.col("fp").alias("_fp"), F.col("words").alias("_words"), F.col("own").alias("_own"), "class", "bucket")
     ratio = F.col("words") / F.col("_words")
-    pairs = banded.join(other, ["block", "value"]).where((F.col("first") < F.col("id")) & (hamming(F.col("fp"), F.col("_fp")) <= radius) & ratio.between(0.70, 1.43))
+    near = (F.col("first") < F.col("id")) & (F.greatest("own", "_own") == F.col("class")) & (hamming(F.col("fp"), F.col("_fp")) <= radius) & ratio.between(0.70, MOST_RATIO)
+    pairs = banded.join(other, ["bucket", "class"]).where(near)
     nearest = pairs.groupBy("fp", "words").agg(F.min("first").alias("near"))
     same = large.select("fp", "words", F.col("id").alias("keeper"))
     out = prints.join(same, ["fp", "words"], "left").join(nearest, ["fp", "words"], "left")

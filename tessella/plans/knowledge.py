@@ -81,10 +81,10 @@ ADD("store_get_chunks", lambda s, f: store.get_chunks(table(s, f, "orders").wher
 def _parents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     chunks = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") + F.col("doc_id") % 2 * 1_000_000).alias("parent_id"), F.concat(F.lit("inline "), "lang").alias("legacy_text"))
-    return store.parent_text(chunks, docs.select(F.col("doc_id").alias("parent_id"), F.substring("text", 1, 50).alias("text"))).select("doc_id", "parent_text")
+    return store.parent_text(chunks, docs.select(F.col("doc_id").alias("parent_id"), "text")).select("doc_id", "parent_text")
 
 
-ADD("store_parent_text", _parents, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'inline ' || lang WHEN doc_id % 2 = 0 THEN substring(text, 1, 50) END AS parent_text FROM documents")
+ADD("store_parent_text", _parents, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'inline ' || lang WHEN doc_id % 2 = 0 THEN text END AS parent_text FROM documents")
 ADD("store_diff_chunks", lambda s, f: store.diff_chunks(*(table(s, f, "documents").where(w).select(F.col("doc_id").alias("document"), F.col("source").alias("chunk_key"), F.expr(h).alias("content_hash")) for w, h in (("doc_id % 10 <> 1", "sha2(text, 256)"), ("doc_id % 10 <> 0", "sha2(CASE WHEN doc_id % 10 = 2 THEN concat(text, '!') ELSE text END, 256)")))),
     "SELECT doc_id AS document, source AS chunk_key, CASE doc_id % 10 WHEN 1 THEN 'new' WHEN 0 THEN 'deleted' WHEN 2 THEN 'changed' ELSE 'unchanged' END AS action FROM documents")
 ADD("store_completion", lambda s, f: store.completion(table(s, f, "orders").select(F.col("o_orderkey").alias("document"), (F.col("o_orderkey") % 7 + 1).alias("expected"), (F.col("o_orderkey") % 8 + 1).alias("counter")), table(s, f, "lineitem").select(F.col("l_orderkey").alias("document"))),
@@ -187,7 +187,7 @@ ADD("source_sitemap", _sitemap, "SELECT page_id, url AS loc FROM pages WHERE tri
 ADD("source_sitemap_lines", lambda s, f: table(s, f, "pages").select("page_id", F.explode(corpus.sitemap_lines(F.concat(F.lit("# list\r\n "), "url", F.lit(" \nnone\n")))).alias("loc")), "SELECT page_id, trim(url) AS loc FROM pages WHERE regexp_matches(url, '(?i)^https?://')")
 ADD("source_bounded", lambda s, f: corpus.bounded(table(s, f, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", 5000), "SELECT l_orderkey, l_linenumber FROM lineitem")
 ADD("source_cache_misses", lambda s, f: corpus.cache_misses(table(s, f, "documents").select("doc_id", "lang"), table(s, f, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id"), "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
-ADD("source_short_headings", lambda s, f: table(s, f, "documents").select("doc_id", F.array_join(corpus.short_headings(F.array("source", "lang", F.substring("text", 1, 210))), " > ").alias("path")), "SELECT doc_id, array_to_string(list_filter([source, lang, substring(text, 1, 210)], lambda h: strlen(h) <= 200), ' > ') AS path FROM documents")
+ADD("source_short_headings", lambda s, f: table(s, f, "documents").select("doc_id", F.array_join(corpus.short_headings(F.array("source", "lang", "text")), " > ").alias("path")), "SELECT doc_id, array_to_string(list_filter([source, lang, text], lambda h: strlen(h) <= 200), ' > ') AS path FROM documents")
 
 _quoted = lambda p: p.replace("'", "''")
 ADD("injection_scan", lambda s, f: table(s, f, "documents").select("doc_id", guards.suspicious(F.col("text")).alias("suspicious")), f"SELECT doc_id, regexp_matches(text, '(?i){_quoted(guards.any_of(guards.INJECTION))}') AS suspicious FROM documents")
@@ -217,7 +217,8 @@ CASE WHEN past THEN 'historical' WHEN risky THEN 'current' ELSE 'timeless' END A
 array_to_string(list_filter([CASE WHEN contains(t, 'fee') THEN 'fee_amount' END, CASE WHEN contains(t, 'deadline') OR contains(t, 'last date') THEN 'deadline' END, CASE WHEN contains(t, 'merit') THEN 'merit_value' END, CASE WHEN contains(t, 'entry test') OR contains(t, 'exam') THEN 'entry_test_date,exam_date' END], lambda x: x IS NOT NULL), ',') AS facts FROM p""")
 ADD("confidence_tiers", lambda s, f: table(s, f, "events").groupBy("user_id").agg(F.count(F.when(F.col("event_id") % 2 == 0, 1)).alias("n"), F.max(F.col("event_id") % 90 / 100).alias("top")).select("user_id", guards.confidence_tier(F.col("n"), F.col("top")).alias("tier")), "SELECT user_id, CASE WHEN count(*) FILTER (event_id % 2 = 0) = 0 THEN 'refuse' WHEN max(event_id % 90) < 40 THEN 'hedge' WHEN max(event_id % 90) < 60 THEN 'cite' ELSE 'normal' END AS tier FROM events GROUP BY user_id")
 ADD("person_types", lambda s, f: table(s, f, "pages").select("page_id", guards.person_type(F.col("url"), F.regexp_extract("html", "<title[^>]*>([^<]*)", 1)).alias("person")), f"WITH t AS (SELECT page_id, lower(url || ' ' || regexp_extract(html, '<title[^>]*>([^<]*)', 1)) AS t FROM pages) SELECT page_id, CASE WHEN {_has(guards.FACULTY)} THEN 'faculty' WHEN {_has(guards.STAFF)} THEN 'staff' WHEN {_has(guards.ADMIN)} THEN 'admin' END AS person FROM t")
-ADD("pdf_tiers", lambda s, f: table(s, f, "documents").select("doc_id", guards.pdf_tier(F.col("source"), F.substring("text", 1, 200)).alias("tier")), "WITH t AS (SELECT doc_id, lower(source || ' ' || substring(text, 1, 200)) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'admission|academic|prospectus|fee|schedule') THEN 'high' WHEN regexp_matches(t, 'department|faculty|program|curriculum') THEN 'medium' ELSE 'low' END AS tier FROM t")
+ADD("question_screen", lambda s, f: table(s, f, "conversations").select("conv_id", "turn", guards.question_screen(F.col("text"), 120).alias("screen")), f"SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 'invalid' WHEN length(text) > 120 THEN 'too long' WHEN regexp_matches(text, '(?i){_quoted(guards.any_of(guards.INJECTION))}') THEN 'injection' ELSE 'ok' END AS screen FROM conversations")
+ADD("pdf_tiers", lambda s, f: table(s, f, "documents").select("doc_id", guards.pdf_tier(F.col("source"), F.col("text")).alias("tier")), "WITH t AS (SELECT doc_id, lower(source || ' ' || text) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'admission|academic|prospectus|fee|schedule') THEN 'high' WHEN regexp_matches(t, 'department|faculty|program|curriculum') THEN 'medium' ELSE 'low' END AS tier FROM t")
 ADD("session_filter", lambda s, f: table(s, f, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("session")).where(guards.of_session(F.col("session"), "Brand#11")), "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand END AS session FROM part WHERE p_size % 3 <> 0 OR p_brand = 'Brand#11'")
 
 
@@ -233,15 +234,15 @@ ADD("fact_values_by_kind", _facts, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0
 
 def _pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
-    text = F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 6 == 1, F.concat(F.lit("a | b | c\n"), F.lit("---|---|---\n1 | 2 | 3"))).when(F.col("doc_id") % 6 == 2, "few words").otherwise(F.substring("text", 1, 100))
+    text = F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 6 == 1, F.concat(F.lit("a | b | c\n"), F.lit("---|---|---\n1 | 2 | 3"))).when(F.col("doc_id") % 6 == 2, "few words").otherwise(F.col("text"))
     classes = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("picture"))).otherwise(F.array(F.lit("text")))
     return d.select("doc_id", guards.page_route(text, classes, F.col("doc_id") % 5 == 0, F.col("doc_id") % 10 / 10, F.col("doc_id") % 11 == 0, F.when(F.col("doc_id") % 13 == 0, "e")).alias("route"))
 
 
 ADD("pdf_page_routes", _pdf_pages, """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'fast extractor returned no page chunk' WHEN doc_id % 13 = 0 THEN 'fast page extraction failed'
-WHEN doc_id % 6 = 0 THEN 'empty extraction on a visually substantive page' WHEN doc_id % 6 > 2 AND trim(substring(text, 1, 100)) = '' THEN CASE WHEN doc_id % 2 = 0 THEN 'empty extraction on a visually substantive page' ELSE 'blank page' END
+WHEN doc_id % 6 = 0 THEN 'empty extraction on a visually substantive page' WHEN doc_id % 6 > 2 AND trim(text) = '' THEN CASE WHEN doc_id % 2 = 0 THEN 'empty extraction on a visually substantive page' ELSE 'blank page' END
 WHEN doc_id % 5 = 0 AND doc_id % 6 <> 1 THEN 'table detected but Markdown table was not recovered' WHEN doc_id % 10 < 5 AND doc_id % 10 <> 4.5 AND doc_id % 2 = 0 AND doc_id % 10 / 10 < 0.45 THEN 'low-quality extraction with visual/layout content'
-WHEN doc_id % 2 = 0 AND CASE WHEN doc_id % 6 = 2 THEN 2 ELSE len(regexp_extract_all(substring(text, 1, 100), '[\\p{L}\\p{N}]+')) END < 5 THEN 'sparse extraction from image-heavy page' ELSE 'fast extraction is usable' END AS route FROM documents""")
+WHEN doc_id % 2 = 0 AND CASE WHEN doc_id % 6 = 2 THEN 2 ELSE len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) END < 5 THEN 'sparse extraction from image-heavy page' ELSE 'fast extraction is usable' END AS route FROM documents""")
 
 
 def _merit(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,11 +30,12 @@ S("ledger_last_state", f"WITH l AS ({LEDGER}), r AS (SELECT *, row_number() OVER
 S("ledger_families", f"WITH l AS ({LEDGER}) SELECT event_type AS family, count(*) AS n, sum(CASE WHEN state = 'ingested' AND value > 50 THEN 1 ELSE 0 END) AS ok FROM l GROUP BY event_type")
 S("discovery_edges", "WITH e AS (SELECT user_id % 100 AS child, user_id % 13 AS parent, event_id % 5 AS depth, event_id FROM {events}) SELECT child, parent, min(depth) AS min_depth, count(*) AS seen, min(event_id) AS first_event FROM e GROUP BY child, parent")
 S("frontier_order", "WITH f AS (SELECT page_id, page_id % 4 AS depth, page_id % 17 AS score FROM {pages}) SELECT page_id, row_number() OVER (PARTITION BY depth ORDER BY score DESC, page_id) AS place, depth FROM f")
-_old = "SELECT doc_id AS doc, concat('k', CAST(doc_id % 50 AS STRING), '-', CAST(doc_id AS STRING)) AS chunk_key, concat('h', CAST(n_chars AS STRING)) AS hash FROM {documents} WHERE doc_id % 10 <> 1"
-_new = "SELECT doc_id AS doc, concat('k', CAST(doc_id % 50 AS STRING), '-', CAST(doc_id AS STRING)) AS chunk_key, concat('h', CAST(CASE WHEN doc_id % 10 = 2 THEN n_chars + 1 ELSE n_chars END AS STRING)) AS hash FROM {documents} WHERE doc_id % 10 <> 0"
-S("chunk_diff", f"WITH o AS ({_old}), n AS ({_new}) SELECT coalesce(n.doc, o.doc) AS doc, coalesce(n.chunk_key, o.chunk_key) AS chunk_key, CASE WHEN o.doc IS NULL THEN 'new' WHEN n.doc IS NULL THEN 'deleted' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL OUTER JOIN n ON o.doc = n.doc AND o.chunk_key = n.chunk_key")
-S("stale_parents", f"WITH o AS ({_old}), n AS ({_new}) SELECT o.doc, o.hash FROM o LEFT ANTI JOIN n ON o.doc = n.doc AND o.hash = n.hash", f"WITH o AS ({_old}), n AS ({_new}) SELECT o.doc, o.hash FROM o ANTI JOIN n ON o.doc = n.doc AND o.hash = n.hash")
-S("upsert_generations", f"WITH o AS ({_old}), n AS ({_new}) SELECT n.doc, CASE WHEN o.doc IS NULL THEN 1 WHEN o.hash = n.hash THEN 1 ELSE 2 END AS generation, coalesce(o.hash = n.hash, false) AS fast_path FROM n LEFT JOIN o ON o.doc = n.doc")
+_old = "SELECT doc_id AS doc, concat('k', CAST(doc_id % 50 AS STRING), '-', CAST(doc_id AS STRING)) AS chunk_key, sha2(text, 256) AS hash FROM {documents} WHERE doc_id % 10 <> 1"
+_new = "SELECT doc_id AS doc, concat('k', CAST(doc_id % 50 AS STRING), '-', CAST(doc_id AS STRING)) AS chunk_key, sha2(CASE WHEN doc_id % 10 = 2 THEN concat(text, '!') ELSE text END, 256) AS hash FROM {documents} WHERE doc_id % 10 <> 0"
+_duck = lambda text: text.replace("sha2(", "sha256(").replace(", 256)", ")")
+S("chunk_diff", f"WITH o AS ({_old}), n AS ({_new}) SELECT coalesce(n.doc, o.doc) AS doc, coalesce(n.chunk_key, o.chunk_key) AS chunk_key, CASE WHEN o.doc IS NULL THEN 'new' WHEN n.doc IS NULL THEN 'deleted' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL OUTER JOIN n ON o.doc = n.doc AND o.chunk_key = n.chunk_key", _duck(f"WITH o AS ({_old}), n AS ({_new}) SELECT coalesce(n.doc, o.doc) AS doc, coalesce(n.chunk_key, o.chunk_key) AS chunk_key, CASE WHEN o.doc IS NULL THEN 'new' WHEN n.doc IS NULL THEN 'deleted' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL OUTER JOIN n ON o.doc = n.doc AND o.chunk_key = n.chunk_key"))
+S("stale_parents", f"WITH o AS ({_old}), n AS ({_new}) SELECT o.doc, o.hash FROM o LEFT ANTI JOIN n ON o.doc = n.doc AND o.hash = n.hash", _duck(f"WITH o AS ({_old}), n AS ({_new}) SELECT o.doc, o.hash FROM o ANTI JOIN n ON o.doc = n.doc AND o.hash = n.hash"))
+S("upsert_generations", f"WITH o AS ({_old}), n AS ({_new}) SELECT n.doc, CASE WHEN o.doc IS NULL THEN 1 WHEN o.hash = n.hash THEN 1 ELSE 2 END AS generation, coalesce(o.hash = n.hash, false) AS fast_path FROM n LEFT JOIN o ON o.doc = n.doc", _duck(f"WITH o AS ({_old}), n AS ({_new}) SELECT n.doc, CASE WHEN o.doc IS NULL THEN 1 WHEN o.hash = n.hash THEN 1 ELSE 2 END AS generation, coalesce(o.hash = n.hash, false) AS fast_path FROM n LEFT JOIN o ON o.doc = n.doc"))
 S("generation_fence", "WITH c AS (SELECT o_custkey AS doc, o_orderkey % 4 AS generation, o_orderkey FROM {orders}), m AS (SELECT *, max(generation) OVER (PARTITION BY doc) AS latest FROM c) SELECT doc, generation, count(*) AS kept FROM m WHERE generation = latest GROUP BY doc, generation")
 S("completion_contract", "SELECT o.o_orderkey, count(l.l_linenumber) AS stored, o.o_orderkey % 7 + 1 AS expected, count(l.l_linenumber) = o.o_orderkey % 7 + 1 AS complete FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
 S("failure_verdict", "WITH c AS (SELECT l_orderkey AS doc, count(*) AS chunks, sum(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END) AS embedded FROM {lineitem} GROUP BY l_orderkey) SELECT doc, CASE WHEN chunks = 1 AND failed > 0 THEN 'failed' WHEN failed + embedded >= chunks THEN CASE WHEN embedded = 0 THEN 'failed' ELSE 'indexed' END ELSE 'processing' END AS verdict FROM c")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import candidates, urls
+from tessella.functions import candidates, markup, urls
+from tessella.operators import evaluation
 from tessella.sources.tables import table
 
 from .pairs import Family
@@ -118,3 +119,25 @@ v AS (SELECT *, CASE WHEN ((list_contains({_plain}, lab) OR {_words('lab', candi
 i AS (SELECT page_id, path, arg_min({{'url': url, 'label': label, 'score': score, 'pos': pos}}, {{'s': -score, 'pos': pos}}) AS x FROM v GROUP BY page_id, path),
 r AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY x.score DESC, lower(x.url), x.pos) AS place, x.url AS url, x.label AS label, round(x.score, 6) AS score FROM i WHERE x.score > 0)"""
 FAMILY.add("page_images", _images, f"WITH {IMAGES} SELECT * FROM r WHERE place <= {MOST_IMAGES}")
+
+_roots = ("https://ththre.example.com/en", "http://the.example.com")
+FAMILY.sql("url_tiers_bare", f"SELECT page_id, {urls.tier('url', _roots, bare=True)} AS tier FROM {{pages}}")
+
+
+def _hidden_emails(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses as pairs of hex digits behind their key, each combined with it."""
+    key = (F.col("doc_id") % 255 + 1).cast("int")
+    own = F.concat(F.lit("user"), F.col("doc_id").cast("string"), F.lit("@example.com"))
+    pair = lambda n: F.lower(F.lpad(F.hex(n), 2, "0"))
+    code = F.array_join(F.concat(F.array(pair(key)), F.transform(F.filter(F.split(own, ""), lambda c: c != ""), lambda c: pair(F.ascii(c).bitwiseXOR(key)))), "")
+    return table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, "no code").otherwise(code).alias("code"))
+
+
+FAMILY.add("emails_decoded", lambda s, f: _hidden_emails(s, f).select("doc_id", markup.decoded_email(F.col("code")).alias("email")), "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'no code' ELSE 'user' || doc_id || '@example.com' END AS email FROM documents")
+_phrases = ["the", "and  the", "THE NEW", "of"]
+FAMILY.add(
+    "phrases_present",
+    lambda s, f: table(s, f, "documents").select("doc_id", F.array_join(evaluation.required_present(F.col("text"), F.array(*map(F.lit, _phrases))), "|").alias("required"), F.array_join(evaluation.forbidden_present(F.col("text"), F.array(*map(F.lit, _phrases))), "|").alias("forbidden")),
+    f"""WITH d AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), chr(160), ' '), '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter({_phrases}, lambda p: contains(t, trim(regexp_replace(lower(p), '\\s+', ' ', 'g')))), '|') AS required, array_to_string(list_filter({_phrases}, lambda p: contains(t, trim(regexp_replace(lower(p), '\\s+', ' ', 'g')))), '|') AS forbidden FROM d""",
+)

@@ -131,3 +131,39 @@ FAMILY.add(
     lambda s, f: intake.pages(_taken(s, f).read(s, "accepted"), HOSTS).groupBy("outcome").agg(F.countDistinct("task").alias("tasks"), F.count("*").alias("n")),
     f"SELECT CASE WHEN regexp_matches(lower(url), '^[a-z]+://([^/?#@]*@)?([^/?#:]+\\.)?example\\.com([/?#:]|$)') AND trim(regexp_replace(html, '\\s+', ' ', 'g')) <> '' THEN 'success' ELSE 'skip' END AS outcome, count(DISTINCT task) AS tasks, count(*) AS n FROM (SELECT i.*, url, html FROM ({_intake}) i JOIN pages ON page_id = delivery) WHERE verdict = 'accepted' GROUP BY 1",
 )
+
+
+def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Users with failing events, counted over three arrivals; of each user the last count."""
+    base = folder_of(spark, "dead_letters")
+    failing = table(spark, folder, "events").where("event_type = 'error' OR event_id % 9 = 0").select("event_id", F.col("user_id").alias("key"))
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    for stream in arrivals(failing, f"{base}/in", "event_id"):
+        counted = stateful.dead_letters(stream.select("key"))
+        counted.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("key long, failures long, status string, batch long").parquet(f"{base}/out")
+    last = rows.groupBy("key").agg(F.max(F.struct("failures", "status")).alias("l"))
+    return last.select("key", "l.failures", "l.status")
+
+
+FAMILY.add("stream_dead_letters", stream_dead_letters, "SELECT user_id AS key, count(*) AS failures, CASE WHEN count(*) >= 2 THEN 'abandoned' ELSE 'pending' END AS status FROM events WHERE event_type = 'error' OR event_id % 9 = 0 GROUP BY user_id")
+
+
+def stream_windowed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts by type of the windows that the watermark has closed at the end."""
+    base = folder_of(spark, "windows")
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    for stream in arrivals(events, f"{base}/in", "at"):
+        stateful.run_available(stateful.windowed_counts(stream), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
+FAMILY.add(
+    "stream_windowed_counts",
+    stream_windowed_counts,
+    """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w, m WHERE start + INTERVAL 1 HOUR <= mark GROUP BY start, event_type""",
+)

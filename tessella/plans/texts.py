@@ -82,13 +82,13 @@ _WEIGHTY = ("admission", "fee", "merit", "notice")
 
 def _resources(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("at", "url")).withColumn("label", F.regexp_extract("url", "([^/]*)$", 1))
-    return urls.ranked(links.withColumn("score", urls.resource_score(F.col("url"), F.col("label"), _WEIGHTY, "example.com")), "page_id", 5).select("page_id", "url", "score", "place", urls.resource_kind(F.col("url")).alias("kind"))
+    return urls.ranked(links.withColumn("score", urls.resource_score(F.col("url"), F.col("label"), _WEIGHTY, "example.com")), "page_id").select("page_id", "url", "score", "place", urls.resource_kind(F.col("url")).alias("kind"))
 
 
 _kinds = " ".join(f"WHEN x IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in urls.KINDS.items())
 FAMILY.add("resource_manifest", _resources, f"""WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages), e AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) AS pos FROM p),
 k AS (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS label, lower(regexp_extract(url, '^[^?#]*[.]([A-Za-z0-9]+)([?#]|$)', 1)) AS x FROM e), t AS (SELECT *, CASE {_kinds} ELSE 'page' END AS kind, lower(label || ' ' || url) AS low FROM k),
 s AS (SELECT *, CASE WHEN kind <> 'page' THEN 120 ELSE 0 END + CASE WHEN kind IN ('pdf', 'document', 'spreadsheet', 'calendar') THEN 60 ELSE 0 END + 18 * ({' + '.join(f"contains(low, '{w}')::INT" for w in _WEIGHTY)}) + CASE WHEN regexp_matches(label, '\\b[0-9]{{1,2}}[-/ ][A-Za-z0-9]{{1,9}}[-/ ][0-9]{{2,4}}\\b') THEN 35 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '^https?://[^/:?#]*example[.]com([/:?#]|$)') THEN 15 ELSE 0 END AS score FROM t),
-o AS (SELECT page_id, url, kind, score, min(pos) AS pos FROM s GROUP BY page_id, url, kind, score, lower(label)), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM o) SELECT page_id, url, score, place, kind FROM r WHERE place <= 5""")
+o AS (SELECT page_id, url, kind, score, min(pos) AS pos FROM s GROUP BY page_id, url, kind, score, lower(label)), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM o) SELECT page_id, url, score, place, kind FROM r WHERE place <= 150""")
 FAMILY.add("chunk_headers", lambda s, f: table(s, f, "documents").select("doc_id", chunking.chunk_header(F.col("lang"), F.concat(F.lit("doc://"), "doc_id"), F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")).otherwise(F.array().cast("array<string>")), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 86_400_000), F.when(F.col("doc_id") % 5 == 0, "high"), F.lit(None).cast("string"), F.lit("current")).alias("header")),
     "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Section: ' || source || ' > ' || lang || chr(10) ELSE '' END || 'Source: [' || lang || '](doc://' || doc_id || ')' || chr(10) || 'Retrieved: ' || CASE WHEN doc_id % 3 = 0 THEN strftime(make_timestamp(doc_id * 86400000000), '%Y-%m-%d') ELSE 'unavailable' END || chr(10) || 'Freshness tier: ' || CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE 'unknown' END || chr(10) || 'Freshness state: unknown' || chr(10) || 'Applicability: current' AS header FROM documents")

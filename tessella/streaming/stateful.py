@@ -36,14 +36,23 @@ def idempotent(events: DataFrame, key: str = "event_id", time: str = "ts", keep:
 
 
 def dead_letters(failures: DataFrame, most: int = 2) -> DataFrame:
-    """key, failures and status of each failing key as failures stream in; from ``most`` on it is abandoned."""
+    """key, failures and status of each failing key as failures (key, and previous if there is such a column) stream in; from ``most`` on it is abandoned.
+
+    previous: failures that whoever reports one knows of; each failure makes
+    the larger of that and what is known here one more.
+    """
+    reported = F.coalesce("previous", F.lit(0)).cast("long") if "previous" in failures.columns else F.lit(0).cast("long")
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
+        n, rows, most_reported = state.get[0] if state.exists else 0, 0, 0
+        for b in batches:
+            rows, most_reported = rows + len(b), max(most_reported, int(b["previous"].max()))
+        # In whatever order they come: all of them one by one, and one at least after the largest number reported.
+        n = max(n + rows, most_reported + 1)
         state.update((n,))
         yield pd.DataFrame({"key": [key[0]], "failures": [n], "status": ["abandoned" if n >= most else "pending"]})
 
-    return failures.groupBy("key").applyInPandasWithState(count, "key long, failures long, status string", "n long", "update", GroupStateTimeout.NoTimeout)
+    return failures.select("key", reported.alias("previous")).groupBy("key").applyInPandasWithState(count, "key long, failures long, status string", "n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
