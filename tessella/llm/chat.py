@@ -70,7 +70,8 @@ def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     passages = runs.where("level > 0").groupBy("conv", "turn", "_row", "run", "level").agg(F.array_sort(F.collect_list(F.struct("at", bare.alias("line")))).alias("part"))
     body = F.array_join(F.col("part.line"), "\n")
     # What a passage is found by: 0 the whole of it, 1 one of its paragraphs, 2 one of its lines.
-    wanted = [F.transform(x, lambda p, n=n: F.struct(F.lit(n).alias("grade"), normal(p).alias("norm"))) for n, x in enumerate((F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n")))]
+    graded = lambda grade, x: F.transform(x, lambda p: F.struct(F.lit(grade).alias("grade"), normal(p).alias("norm")))
+    wanted = [graded(n, x) for n, x in enumerate((F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n")))]
     passages = passages.select("conv", "turn", "level", F.explode(F.concat(*wanted)).alias("_w")).where("_w.norm <> ''")
     passages = stored(passages.groupBy("conv", "turn", "level", F.xxhash64("_w.norm").alias("hash")).agg(F.min("_w.grade").alias("grade")), "passages")
     split_up = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", "\n")))

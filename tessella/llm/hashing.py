@@ -150,13 +150,14 @@ class Words:
     A word is looked up by a hash of its bytes, eight at a time, in an open
     table; on a hit its bytes are compared with those kept, eight at a time.
     Words over ``LONG`` bytes, and words that share a hash with another, are
-    kept in a dictionary of their own.
+    kept in a dictionary of their own.  ``new`` has the words that the last
+    call met first, and ``known`` counts all of them.
     """
 
     LONG = 256
 
     def __init__(self, bits: int = 64):
-        self.words: list[bytes] = []
+        self.known, self.new = 0, []
         self._odd: dict[bytes, int] = {}
         self._keep = _U((1 << bits) - 1)
         self._slots = np.full(1 << 12, -1, np.int32)
@@ -215,14 +216,15 @@ class Words:
             number, place = number[left], place[left] + 1 & mask
 
     def _add(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, hashed: np.ndarray) -> None:
-        number = np.arange(len(self.words), len(self.words) + len(begin))
-        self.words += [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        number = np.arange(self.known, self.known + len(begin))
+        self.known += len(begin)
+        self.new += [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
         own = data[ranges(begin, size)]
         self._at = np.append(self._at, len(self._bytes) - 8 + np.cumsum(size) - size)
         self._bytes = np.concatenate([self._bytes[:-8], own, np.zeros(8, np.uint8)])
         self._hash, self._size = np.append(self._hash, hashed), np.append(self._size, size)
-        if 2 * len(self.words) > len(self._slots):
-            self._slots = np.full(1 << (4 * len(self.words)).bit_length(), -1, np.int32)
+        if 2 * self.known > len(self._slots):
+            self._slots = np.full(1 << (2 * self.known).bit_length(), -1, np.int32)
             number = np.flatnonzero(self._size >= 0)
         self._enter(number)
 
@@ -230,15 +232,17 @@ class Words:
         """Numbers of words that the table can't hold, which get no place and size -1 there."""
         for word in words:
             if word not in self._odd:
-                self._odd[word] = len(self.words)
-                self.words.append(word)
-        new = len(self.words) - len(self._size)
+                self._odd[word] = self.known
+                self.known += 1
+                self.new.append(word)
+        new = self.known - len(self._size)
         self._hash, self._at = np.append(self._hash, np.zeros(new, np.uint64)), np.append(self._at, np.zeros(new, np.int64))
         self._size = np.append(self._size, np.full(new, -1))
         return [self._odd[w] for w in words]
 
     def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word of a string column, and the offsets of its rows among them; null counts as empty."""
+        self.new = []
         data, rows = text_bytes(column)
         begin, end = word_bounds(data, rows)
         data, size = np.append(data, np.zeros(8, np.uint8)), end - begin

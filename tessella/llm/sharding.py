@@ -122,7 +122,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, text: str =
     any other and may go to different shards: a uniform shuffle knows no
     groups; text_crc32 names the group of a row.  Null texts count as empty, null keys
     and repeated rows are rows like any other, ties in the random order are
-    broken by key and checksum, an empty table gives no rows, and columns
+    broken by the row's place in the input, an empty table gives no rows, and columns
     other than those named are left alone.  The driver holds one count for
     each input partition.
     """

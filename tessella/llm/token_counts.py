@@ -68,7 +68,7 @@ class Unigram:
             del best[same + 1 :], count[same + 1 :]
             for i in range(same + 1, len(word) + 1):
                 c = word[i - 1]
-                size = len(c.encode("utf-8", "surrogatepass"))
+                size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
                 top, fewest = best[i - 1] + size * self.byte, count[i - 1] + size
                 for n in lengths.get(c, ()):
                     if n > i:
@@ -91,7 +91,7 @@ class Unigram:
             if len(self.tokens) > _KNOWN:
                 self._forget()
             number, rows = self.words.numbers(part)
-            new = [MARK + w.decode() for w in self.words.words[len(self.tokens) :]]
+            new = [MARK + w.decode() for w in self.words.new]
             found = self.terminals(new)
             self.tokens = np.append(self.tokens, np.fromiter((found[w] for w in new), np.int64, len(new)))
             sums = np.append(0, np.cumsum(self.tokens[number]))

@@ -20,7 +20,8 @@ import pyarrow as pa
 
 from . import hashing
 
-_KNOWN = 1_000_000
+# Words, and parts of words, whose ids a task keeps.
+_KNOWN, _PARTS = 500_000, 300_000
 _JOINED = 20_000
 _MARKS = ".,;:!?"
 _SPECIAL = "<|"
@@ -78,8 +79,10 @@ class WordBpe:
         for part in hashing.slices(column):
             if len(self.counts) > _KNOWN:
                 self._forget()
+            if len(self.parts) > _PARTS:
+                self.parts = {}
             number, rows = self.words.numbers(part)
-            own = self._learn([w.decode() for w in self.words.words[len(self.counts) :]])
+            own = self._learn([w.decode() for w in self.words.new])
             self.counts = np.append(self.counts, np.fromiter(map(len, own), np.int64, len(own)) // 4)
             self.flat = np.append(self.flat, np.frombuffer(b"".join(own), "<u4"))
             starts, counts = (np.cumsum(self.counts) - self.counts)[number], self.counts[number]

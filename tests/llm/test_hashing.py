@@ -60,15 +60,15 @@ def test_words_of_regular_structure_have_hashes_of_their_own():
 def test_numbers_of_words():
     texts = [r[1] for r in cases.rows()] + ["eight888 eight889 sixteen_bytes_16 sixteen_bytes_17 " + "y" * 256 + " " + "y" * 257, "a\x00 a a\x00\x00", "é è e"]
     for bits in (64, 3):
-        known = hashing.Words(bits)
+        known, names = hashing.Words(bits), []
         for column in (pa.array(texts), pa.array(["before", *texts, "behind"]).slice(1, len(texts)), pa.array([], pa.string()), pa.array([None], pa.string())):
             number, rows = known.numbers(column)
-            names = [w.decode() for w in known.words]
-            assert len(set(names)) == len(names)
+            names += [w.decode() for w in known.new]
+            assert len(set(names)) == len(names) == known.known
             plain = [[w for w in re.split(r"[\x20\x09-\x0d]+", t or "") if w] for t in column.to_pylist()]
             assert [[names[k] for k in number[a:b]] for a, b in zip(rows[:-1], rows[1:], strict=True)] == plain
     random.seed(7)
     many = hashing.Words()
     column = pa.array([" ".join(f"{random.randrange(9000):x}" * random.randint(1, 4) for _ in range(20_000)) for _ in range(3)])
     number, _ = many.numbers(column)
-    assert [many.words[k].decode() for k in number] == [w for t in column.to_pylist() for w in t.split()]
+    assert [many.new[k].decode() for k in number] == [w for t in column.to_pylist() for w in t.split()]

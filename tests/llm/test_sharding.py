@@ -3,9 +3,12 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessella.llm import sharding
 
 from . import cases
+from .test_simhash import h64
 
 
 def test_matrix_rows_sum_to_partitions_and_shards():
@@ -54,6 +57,31 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert abs(np.corrcoef(order, np.arange(1003))[0, 1]) < 0.15
 
 
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_every_place_as_by_a_plain_version(spark):
+    texts = ["", None, "a", "é" * 40, "same", "same"]
+    docs = spark.createDataFrame([(k, texts[k % 6]) for k in range(700)], "doc_id long, text string").repartition(5, "doc_id")
+    lying = {r.doc_id: (r.p, r.at) for r in docs.select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()}
+    found = {r.doc_id: r for r in sharding.assign_shards(docs, 40, 7).collect()}
+    parts = sorted({p for p, _ in lying.values()})
+    own = {p: [d for d, (q, _) in lying.items() if q == p] for p in parts}
+    sums, goal, seeded = np.cumsum([0, *(len(own[p]) for p in parts)]), sharding.shard_sizes(700, 40), lambda seed, at: signed(h64(seed.to_bytes(4, "little"), at.to_bytes(8, "little")))
+    shards = {}
+    for i, p in enumerate(parts):
+        cuts = np.cumsum(sharding.matrix_row(sums, goal, i, 7))
+        for rank, d in enumerate(sorted(own[p], key=lambda d: (seeded(7, lying[d][1]), lying[d][1]))):
+            shards.setdefault(int((cuts <= rank).sum()), []).append(d)
+    for shard, held in shards.items():
+        order = sorted(held, key=lambda d: (seeded(8, lying[d][1]) % 8, seeded(8, lying[d][1]), lying[d][1]))
+        for slot, d in enumerate(order):
+            body = (texts[d % 6] or "").encode()
+            assert (found[d].shard, found[d].slot, found[d]["size"], found[d].text_crc32) == (shard, slot, len(body) + 16, zlib.crc32(body))
+    assert sorted(map(len, shards.values())) == sorted(goal.tolist())
+
+
 def test_awkward_rows(spark):
     rows = sharding.assign_shards(cases.table(spark), 3).collect()
     assert len(rows) == len(cases.rows()) and sorted(r["size"] for r in rows)[:2] == [16, 16]
