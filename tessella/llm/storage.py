@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str] = {}
-_SCOPES: list[str] = []
+# The open scratch folders of this thread, so that jobs of several threads don't delete each other's tables.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("tessella_scratch", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def _folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, within the innermost open ``scratch``."""
-    return "/".join([_folder(spark), *_SCOPES[-1:], f"{label}-{uuid.uuid4().hex}"])
+    return "/".join([_folder(spark), *_SCOPES.get()[-1:], f"{label}-{uuid.uuid4().hex}"])
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -42,11 +44,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written within go at its end, so what is made of them has to be written elsewhere before."""
-    _SCOPES.append(f"scratch-{uuid.uuid4().hex}")
+    name = f"scratch-{uuid.uuid4().hex}"
+    before = _SCOPES.set((*_SCOPES.get(), name))
     try:
         yield
     finally:
-        _delete(spark, f"{_folder(spark)}/{_SCOPES.pop()}")
+        _SCOPES.reset(before)
+        _delete(spark, f"{_folder(spark)}/{name}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
