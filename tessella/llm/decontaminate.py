@@ -110,6 +110,7 @@ def item_index(items: DataFrame, key: str, text: str, shingle: int, percent: int
                 [batch.column(0).take(pa.array(took, pa.int64())), pa.array(sizes, pa.int64()), pa.array(windows, pa.int64()), _lists(bands), _lists(sets)],
                 names=["item", "n", "window", "bands", "items"],
             )
+            hashing.let_go()
 
     return items.where(F.col(key).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(index, f"item {kind}, n long, window long, bands array<long>, items array<long>")
 
@@ -186,6 +187,7 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
                     [batch.column(0).take(pa.array(took, pa.int64())), names.take(pa.array(found, pa.int64())), pa.array(both, pa.int64()), pa.array([sizes[c] for c in found], pa.int64())],
                     names=["doc", "item", "shared", "n"],
                 )
+                hashing.let_go()
 
         return docs.mapInArrow(search, schema)
 
@@ -211,10 +213,12 @@ def _contained(docs: DataFrame, index: DataFrame, shingle: int, percent: int, br
                 order = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[order], np.arange(len(at) - 1))[1:]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), _lists([_signed(np.unique(b)) for b in np.split(bands[order], cuts)])], names=["doc", "bands"])
+                hashing.let_go()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(np.unique(h)) for h in hashing.shingle_rows(batch.column(1), shingle)])], names=["doc", "_whole"])
+            hashing.let_go()
 
     pairs = stored(docs.mapInArrow(explode, f"doc {kind}, bands array<long>").select("doc", F.explode("bands").alias("band")).join(known, "band").select("doc", "item").distinct(), "candidates")
     texts = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").mapInArrow(whole, f"doc {kind}, _whole array<long>")

@@ -266,6 +266,11 @@ class Words:
         return out, np.searchsorted(begin, rows, side="left")
 
 
+def let_go() -> None:
+    """Give memory that Arrow has no more use for back to the machine; else a worker keeps the most that any batch took."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
     """A string column in slices of about so many bytes, of a row at least."""
     _, begin = text_bytes(column)

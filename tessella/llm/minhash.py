@@ -73,6 +73,7 @@ def signed_sets(docs: DataFrame, key: str, text: str, shingle: int, bands: int =
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists([none if k is None else values[index[k]] for k in keys])],
                 names=["key", "n", "set_key", "bands"],
             )
+            hashing.let_go()
 
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(sign, f"key {kind}, n long, set_key binary, bands array<long>")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import word_bpe
+from . import hashing, word_bpe
 from .storage import stored
 
 CAPACITY = 4096
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             if with_ids:
                 arrays, names = [*arrays, pa.array(cols[4], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            hashing.let_go()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(cut, schema)
 

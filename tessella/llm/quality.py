@@ -117,6 +117,7 @@ def featured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             x = statistics(batch.column(1))
             ends = pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[key, "x"])
+            hashing.let_go()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(of, f"`{key}` {kind}, x array<double>")
 

@@ -22,7 +22,7 @@ from . import hashing
 
 # Words, and parts of words, whose ids a task keeps.
 _KNOWN, _PARTS = 500_000, 300_000
-_JOINED = 20_000
+_JOINED, _SLICE = 4_000, 1 << 20
 _MARKS = ".,;:!?"
 _SPECIAL = "<|"
 
@@ -76,7 +76,7 @@ class WordBpe:
 
     def encode(self, column: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none of a null or empty one."""
-        for part in hashing.slices(column):
+        for part in hashing.slices(column, _SLICE):
             if len(self.counts) > _KNOWN:
                 self._forget()
             if len(self.parts) > _PARTS:
