@@ -123,8 +123,30 @@ def _supplements(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(following, "doc_id").select("doc_id", F.concat("text", F.lit("\n\n# A heading\n\nshort one")).alias("full"), F.concat("other", F.lit("\n\n"), "text", F.lit("\n\n# A Heading\n\n# Another heading\n\n"), "other").alias("more"))
 
 
-FAMILY.add("supplemental_blocks", lambda s, f: _supplements(s, f).select("doc_id", F.posexplode(blocks.supplemental(F.col("full"), F.col("more"))).alias("place", "block")))
-FAMILY.add("blocks_without_repeats", lambda s, f: _supplements(s, f).select("doc_id", F.size(blocks.without_repeats(F.col("more"))).alias("n"), F.md5(F.array_join(blocks.without_repeats(F.col("more")), "\n\n")).alias("digest")))
+_blocks = lambda t: f"list_filter(list_transform(string_split_regex({t}, '\\n\\s*\\n'), lambda b: regexp_replace(b, '^\\s+|\\s+$', '', 'g')), lambda b: b <> '')"
+_key = lambda b: f"lower(trim(regexp_replace(regexp_replace(regexp_replace({b}, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[`*_>#|~]', ' ', 'g'), '\\s+', ' ', 'g')))"
+_words_of = lambda k: f"list_distinct(regexp_extract_all({k}, '[\\p{{L}}\\p{{N}}]+(?:[’''\\-][\\p{{L}}\\p{{N}}]+)*'))"
+_line = "chr(10) || chr(10)"
+BLOCKS = f"""d AS (SELECT doc_id, regexp_replace(text, '\\. ', '.' || {_line}, 'g') AS t FROM documents),
+p AS (SELECT a.doc_id, a.t || {_line} || '# A heading' || {_line} || 'short one' AS whole, b.t || {_line} || a.t || {_line} || '# A Heading' || {_line} || '# Another heading' || {_line} || b.t AS more FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+f AS (SELECT doc_id, list_transform({_blocks("whole")}, lambda b: {_key("b")}) AS have, {_blocks("more")} AS mb FROM p),
+c AS (SELECT doc_id, have, list_distinct(flatten(list_transform(have, lambda k: {_words_of("k")}))) AS cover, mb FROM f),
+e AS (SELECT doc_id, have, cover, unnest(mb) AS block, generate_subscripts(mb, 1) AS pos FROM c),
+x AS (SELECT *, {_key("block")} AS key, regexp_matches(block, '^\\s*(#|[-*+>] )') OR len(list_filter(string_split(block, chr(10)), lambda l: starts_with(ltrim(l), '|'))) >= 2 AS own FROM e),
+w AS (SELECT *, {_words_of("key")} AS w FROM x)"""
+FAMILY.add(
+    "supplemental_blocks",
+    lambda s, f: _supplements(s, f).select("doc_id", F.posexplode(blocks.supplemental(F.col("full"), F.col("more"))).alias("place", "block")),
+    f"""WITH {BLOCKS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS r FROM w WHERE len(w) > 0 AND NOT list_contains(have, key) AND len(list_intersect(w, cover)) / len(w) < CASE WHEN own THEN 0.98 ELSE 0.90 END AND (len(w) >= 4 OR own))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS place, block FROM n WHERE r = 1 QUALIFY place < 80""",
+)
+FAMILY.add(
+    "blocks_without_repeats",
+    lambda s, f: _supplements(s, f).select("doc_id", F.size(blocks.without_repeats(F.col("more"))).alias("n"), F.md5(F.array_join(blocks.without_repeats(F.col("more")), "\n\n")).alias("digest")),
+    f"""WITH {BLOCKS}, v AS (SELECT doc_id, word, min(pos) AS pos FROM (SELECT doc_id, pos, unnest(w) AS word FROM w) GROUP BY ALL), fresh AS (SELECT DISTINCT doc_id, pos FROM v),
+k AS (SELECT w.*, f.pos IS NOT NULL AS news, min(w.pos) OVER (PARTITION BY w.doc_id, key) AS first FROM w LEFT JOIN fresh f ON f.doc_id = w.doc_id AND f.pos = w.pos)
+SELECT doc_id, count(*)::INT AS n, md5(string_agg(block, {_line} ORDER BY pos)) AS digest FROM k WHERE NOT ((key <> '' AND pos <> first) OR (NOT own AND len(w) >= 2 AND NOT news)) GROUP BY doc_id""",
+)
 
 
 def _paged(spark: SparkSession, folder: str) -> DataFrame:
