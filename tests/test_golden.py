@@ -24,7 +24,7 @@ def test_reciprocal_rank_fusion(spark):
     assert found == pytest.approx({"b": 1 / 61 + 1 / 60, "a": 1 / 60, "c": 1 / 61})
 
 
-NAV = "Home About uettaxila.edu.pk Admissions Faculty Departments Research Contact Downloads Gallery uettaxila.edu.pk"
+NAV = "Home About example.edu.pk Admissions Faculty Departments Research Contact Downloads Gallery example.edu.pk"
 
 
 @pytest.mark.parametrize(
