@@ -5,13 +5,15 @@ normaliser changes none across it, so a text's ids are those of its words end
 to end; likewise marks after a letter are split off it.  (Only after a-z and
 A-Z: other letters may become a letter and a mark when lower-cased.)  The
 library is asked once for each distinct word without these, many at a time;
-words are told apart by their bytes.  Words that might hold a special literal
-go to it as they are.
+words are told apart by their bytes.  What is a-z only is one pre-token that
+normalising leaves as it is, so it goes to the library's model directly.  Words
+that might hold a special literal go to the library as they are.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self._forget()
 
     def _forget(self) -> None:
@@ -56,7 +59,12 @@ class WordBpe:
             parts.append((core, marks))
         known = self.parts
         new = list({x for both in parts for x in both if x and x not in known})
-        plain = [x for x in new if _SPECIAL not in x]
+        tokenize, plain = self.model.tokenize, []
+        for x in new:
+            if x.isascii() and x.isalpha():
+                known[x] = array("I", [t.id for t in tokenize(x)]).tobytes()
+            elif _SPECIAL not in x:
+                plain.append(x)
         for k in range(0, len(plain), _JOINED):
             self._ask(plain[k : k + _JOINED])
         for x in new:
