@@ -192,6 +192,20 @@ def test_deliveries_that_come_twice_leave_the_same_tables(spark, tmp_path):
     assert held() == once
 
 
+def test_the_plan_of_repeats_does_not_grow_with_the_time_they_span(spark):
+    day, start = 86_400_000, 1_700_000_000_000
+    rows = spark.range(1200).select(F.concat(F.lit("t"), F.col("id") % 3).alias("task"), (start + F.col("id") * day).alias("at"), F.col("id").alias("delivery"))
+    known = spark.createDataFrame([("t0", start - 28 * day)], "task string, at long")
+    found = intake.repeats(rows, known)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    kept, want = {"t0": start - 28 * day}, []
+    for k in range(1200):
+        if (at := start + k * day) >= kept.get(f"t{k % 3}", 0) + 30 * day:
+            kept[f"t{k % 3}"] = at
+            want.append((f"t{k % 3}", at, k))
+    assert rows_of(found) == sorted(want, key=str)
+
+
 def test_stream_queries_write_below_the_shared_folder(spark):
     assert uuid.UUID(streams.folder_of(spark, "x").rpartition("/")[2])
     assert table(spark, SMALL, "documents").count() == streams._swept(spark, SMALL).summary(spark).first().examined
