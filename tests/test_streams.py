@@ -5,10 +5,11 @@ import hmac
 import json
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.plans import streams
+from tessella.plans import registry, streams
 from tessella.sources.tables import table
 from tessella.streaming import budget, intake, sweeps
 
@@ -206,6 +207,17 @@ def test_the_plan_of_repeats_does_not_grow_with_the_time_they_span(spark):
     assert rows_of(found) == sorted(want, key=str)
 
 
+def test_webhook_pages_of_many_years_are_those_of_the_sql(spark, tmp_path):
+    # Two and a half days between deliveries, so their rounds of thirty days would be many.
+    pages = table(spark, "/root/testdata/sf0.01", "pages").withColumn("page_id", F.col("page_id") * 61)
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert pages.agg(F.max("page_id")).first()[0] > 15 * 720
+    got = rows_of(registry.QUERIES["webhook_pages"](spark, str(tmp_path)))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(duck.execute(registry.ORACLE["webhook_pages"]).fetchall(), key=str)
+
+
 def test_stream_queries_write_below_the_shared_folder(spark):
     assert uuid.UUID(streams.folder_of(spark, "x").rpartition("/")[2])
     assert table(spark, SMALL, "documents").count() == streams._swept(spark, SMALL).summary(spark).first().examined
