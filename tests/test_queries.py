@@ -62,3 +62,15 @@ def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q)"
     root = Path(__file__).resolve().parents[1]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_fact_conflicts_compares_classes_and_spells_out_their_rows(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT i AS p_partkey, 'Name ' || i % 3 AS p_name, (i % 5)::INT AS p_size, CASE WHEN i % 11 > 0 THEN 900.0 + i % 2 END AS p_retailprice FROM range(600) t(i)) TO '{tmp_path}/part.parquet'")
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    found = registry.QUERIES["fact_conflicts"](spark, str(tmp_path))
+    want = duck.execute(registry.ORACLE["fact_conflicts"]).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 10_000
+    # What is joined are classes and not rows: ids come out of lists behind the join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(others") < plan.index("Join") and "collect_list(id" in plan[plan.index("Join") :]
