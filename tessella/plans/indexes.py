@@ -62,6 +62,6 @@ FAMILY.add("vector_cosines", vector_cosines, f"SELECT q.vec_id, round({_COSINE},
 _norm = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 FAMILY.add(
     "vectors_normalized",
-    lambda s, f: table(s, f, "embeddings").select("vec_id", F.transform(dense.normalized(F.col("embedding")), lambda v: F.round(v, 6)).alias("unit")),
+    lambda s, f: table(s, f, "embeddings").select("vec_id", F.transform(dense.normalized(F.col("embedding")), lambda v: dense.rounded(v, 6)).alias("unit")),
     f"SELECT vec_id, CASE WHEN {_norm} > 0 THEN list_transform(embedding, lambda x: round(x::DOUBLE / {_norm}, 6)) ELSE list_transform(embedding, lambda x: x::DOUBLE) END AS unit FROM embeddings",
 )

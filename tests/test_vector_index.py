@@ -1,11 +1,12 @@
 import uuid
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import dense, vector_index
-from tessella.plans import indexes
+from tessella.plans import indexes, registry
 
 
 def clustered(spark, n=3000, centres=40, size=16, seed=1):
@@ -65,3 +66,15 @@ def test_results_with_their_rows(spark, tmp_path):
     assert {"query", "vec_id", "label", "score", "rank"} <= set(found.columns) and found.where("vec_id % 2 = 1").isEmpty()
     with pytest.raises(ValueError):
         vector_index.build(vectors.where("vec_id < 0"), f"{tmp_path}/none")
+
+
+def test_unit_vectors_have_the_zeros_halves_and_nulls_of_the_sql(spark, tmp_path):
+    duck = duckdb.connect()
+    rows = "(1, [1.0, NULL, 2.0]::FLOAT[]), (2, [-1e-9, 1]::FLOAT[]), (3, [-0.0::FLOAT, 1]::FLOAT[]), (4, []::FLOAT[]), (5, NULL), (6, [NULL]::FLOAT[]), (7, [0, 0]::FLOAT[]), (8, [0.6, -0.8]::FLOAT[])"
+    duck.execute(f"COPY (SELECT * FROM (VALUES {rows}) t(vec_id, embedding)) TO '{tmp_path}/embeddings.parquet'")
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = {r.vec_id: str(r.unit) for r in registry.QUERIES["vectors_normalized"](spark, str(tmp_path)).collect()}
+    assert got == {k: str(v) for k, v in duck.execute(registry.ORACLE["vectors_normalized"]).fetchall()} and "-0.0" in got[2]
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.2, 1e300]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(dense.rounded(F.col("v"), 0)).collect()]
+    assert list(map(str, found)) == ["1.0", "-1.0", "2.0", "3.0", "-3.0", "0.0", "-0.0", "1e+300"]
