@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import dense
 
 CELLS, SAMPLE, ROUNDS = 64, 16_384, 12
+PROBED_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -48,17 +49,18 @@ def _near_cells(rows: DataFrame, centres: np.ndarray, probes: int, others: list[
     """``others``, vector, and for each of the ``probes`` nearest cells a row with cell and place (from 1)."""
     held = rows.sparkSession.sparkContext.broadcast(centres)
     probes = min(probes, len(centres))
+    step = max(1, PROBED_ROWS // probes)  # a row becomes as many as it has probes
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = dense.matrix(batch.column(0)) @ held.value.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-            took = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-            found = [pa.array(order.ravel(), pa.int32()), pa.array(np.tile(np.arange(1, probes + 1), batch.num_rows), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*[c.take(took) for c in batch.columns], *found], names=["vector", *others, "cell", "place"])
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                scores = dense.matrix(some.column(0)) @ held.value.T
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+                took = pa.array(np.repeat(np.arange(some.num_rows), probes))
+                found = [pa.array(order.ravel(), pa.int32()), pa.array(np.tile(np.arange(1, probes + 1), some.num_rows), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*[c.take(took) for c in some.columns], *found], names=["vector", *others, "cell", "place"])
 
     return rows.select("vector", *others).mapInArrow(near, f"vector array<double>, {kinds}, cell int, place int")
 

@@ -2,6 +2,7 @@ import uuid
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,22 @@ def test_unit_vectors_have_the_zeros_halves_and_nulls_of_the_sql(spark, tmp_path
     values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.2, 1e300]
     found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(dense.rounded(F.col("v"), 0)).collect()]
     assert list(map(str, found)) == ["1.0", "-1.0", "2.0", "3.0", "-3.0", "0.0", "-0.0", "1e+300"]
+
+
+def test_rows_go_to_their_probes_in_pieces_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "PROBED_ROWS", 64)
+    taken = []
+
+    class Rows:  # keeps what is run over batches
+        sparkSession, schema = spark, clustered(spark, n=10).schema
+        select = lambda self, *names: self
+        mapInArrow = lambda self, work, schema: taken.append(work)
+
+    draw = np.random.default_rng(2)
+    vector_index._near_cells(Rows(), vector_index.centroids(draw.standard_normal((50, 16)), 30), 30, ["vec_id"])
+    batch = pa.RecordBatch.from_pydict({"vector": draw.standard_normal((300, 16)).tolist(), "vec_id": range(300)})
+    pieces = list(taken[0]([batch]))
+    assert max(b.num_rows for b in pieces) <= 64 and sum(b.num_rows for b in pieces) == 300 * 30
+    found = pa.Table.from_batches(pieces).group_by("vec_id").aggregate([("cell", "count_distinct"), ("place", "max")])
+    assert set(found.column("cell_count_distinct").to_pylist()) == set(found.column("place_max").to_pylist()) == {30}
+    assert dense._TILE * 8 <= 4 << 20  # what a step of a search's scores takes
