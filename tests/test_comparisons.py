@@ -1,14 +1,16 @@
 """Digests, variants and blocks against plain versions."""
 
+import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import blocks
-from tessella.operators import digests, variants
+from tessella.operators import digests, lexical, variants
 
 
 def test_a_digest_is_of_the_rows_and_not_of_their_order(spark):
@@ -108,3 +110,45 @@ def test_blocks_as_by_an_ordered_fold(spark):
         assert r.r == plain_without_repeats(more), more
     long = "\n\n".join(f"word{k} and some more of it {k % 50}" for k in range(20_000))
     assert len(spark.createDataFrame([(long,)], "t string").select(blocks.without_repeats(F.col("t")).alias("r")).first().r) == 20_000
+
+
+def test_bm25_by_blocks_is_that_of_plain_counts(spark, monkeypatch):
+    for name, size in (("DOC_ROWS", 16), ("QUERY_ROWS", 2), ("_TILE", 40)):
+        monkeypatch.setattr(lexical, name, size)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["the", "The", "é9", *"abcdefgh"], [40, 5, 3, *range(1, 9)], k=draw.randrange(60))) for _ in range(200)] + [None, "", "..."]
+    asked = ["the a", "é9 é9 h", "zzz", None, "b c d the", "g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = lexical.bm25(spark.createDataFrame(list(enumerate(asked)), "item_id long, text string"), docs, 7)
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    counts = [Counter(cut(t)) for t in texts]
+    mean = sum(c.total() for c in counts) / len(counts)
+    want = []
+    for i, q in enumerate(asked):
+        scored = []
+        for k, c in enumerate(counts):
+            score = 0.0
+            for w, qf in Counter(cut(q)).items():
+                df = sum(w in c2 for c2 in counts)
+                score += math.log1p((len(texts) - df + 0.5) / (df + 0.5)) * qf * 2.5 * c[w] / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean))
+            if score > 0:
+                scored.append((-round(score, 9), k))
+        want += [(i, k, round(-s, 6), r) for r, (s, k) in enumerate(sorted(scored)[:7], 1)]
+    got = [(r.item_id, r.doc_id, round(r.score, 6), r.rank) for r in found.collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    # No word is a key of what is scored.
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_vectors_are_counted_where_a_text_is_read(spark):
+    texts = ["a b b", "b a b", "", None, "...", "é word Word 7"]
+    found = variants.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.embedding for r in found.collect()}
+    want = {}
+    for k, text in enumerate(texts):
+        for word, n in sorted(Counter(re.findall(r"\w+", (text or "").lower())).items()):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            want.setdefault(k, [0.0] * variants.SIZE)[int(digest[:4], 16) % variants.SIZE] += (1 if digest[4] <= "7" else -1) * math.log1p(n)
+    assert got.keys() == want.keys() == {0, 1, 5} and got[0] == got[1]
+    assert all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k], strict=True))
