@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import blocks
 from tessella.operators import digests, lexical, variants
+from tessella.plans import comparisons
 
 
 def test_a_digest_is_of_the_rows_and_not_of_their_order(spark):
@@ -112,6 +114,31 @@ def test_blocks_as_by_an_ordered_fold(spark):
     assert len(spark.createDataFrame([(long,)], "t string").select(blocks.without_repeats(F.col("t")).alias("r")).first().r) == 20_000
 
 
+def test_blocks_take_time_that_follows_the_length_of_a_text(spark):
+    # 15,000 distinct blocks; compared one by one with what is known, either way takes minutes.
+    full = "\n\n".join(f"Left{k} right{k} up{k} down{k}" for k in range(15_000))
+    more = "\n\n".join(f"left{k} right{k} up{k} other{k}" for k in range(15_000))
+    pair = spark.createDataFrame([(full, more)], "full string, more string")
+    began = time.monotonic()
+    found = pair.select(blocks.supplemental(F.col("full"), F.col("more"), 20_000).alias("s"), F.size(blocks.without_repeats(F.concat("more", F.lit("\n\n"), "more"))).alias("n")).first()
+    assert found.s == more.split("\n\n") and found.n == 15_000
+    assert time.monotonic() - began < 10
+
+
+def test_blocks_of_a_known_key_are_left_out_by_the_first_of_any_kind(spark):
+    # A heading behind dropped prose with its key, marks alone again, a no-break space, which is no white space, and a letter with a sign of its own.
+    text = "# one two\n\none three two\n\ntwo one\n\n# two one\n\n***\n\n***\n\nx\u00a0y\n\nx y z\n\nÜber-maß’s e\u0301a"
+    found = spark.createDataFrame([(text,)], "t string").select(blocks.without_repeats(F.col("t")).alias("r")).first().r
+    assert found == ["# one two", "one three two", "***", "***", "x\u00a0y", "x y z", "Über-maß’s e\u0301a"]
+    one = spark.createDataFrame([(text,)], "t string").coalesce(1)
+    assert one.select(blocks.supplemental(F.lit("ONE  two\n\n[two](x) three"), F.col("t")).alias("s")).first().s == []
+
+
+def test_block_queries_of_one_file_use_all_cores(spark):
+    docs = comparisons._supplements(spark, "/root/testdata/sf0.01")
+    assert "RoundRobinPartitioning" in docs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bm25_by_blocks_is_that_of_plain_counts(spark, monkeypatch):
     for name, size in (("DOC_ROWS", 16), ("QUERY_ROWS", 2), ("_TILE", 40)):
         monkeypatch.setattr(lexical, name, size)
