@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import blocks
-from tessella.operators import digests, lexical, variants
+from tessella.operators import digests, evaluation, lexical, variants
 from tessella.plans import comparisons
 
 
@@ -179,3 +179,17 @@ def test_word_vectors_are_counted_where_a_text_is_read(spark):
             want.setdefault(k, [0.0] * variants.SIZE)[int(digest[:4], 16) % variants.SIZE] += (1 if digest[4] <= "7" else -1) * math.log1p(n)
     assert got.keys() == want.keys() == {0, 1, 5} and got[0] == got[1]
     assert all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_overlap_recall_groups_as_many_rows_in_a_task_at_any_size(spark, monkeypatch):
+    exact = [(q, k) for q in range(40) for k in range(q % 7 + 1)] + [(None, 1), (50, None)]
+    given = [(q, k) for q in range(0, 45) for k in range(0, 9, 2)] + [(None, 1), (50, None), (60, 1)]
+    pairs = lambda rows: spark.createDataFrame(rows, "q long, k long")
+    monkeypatch.setattr(evaluation, "TASK_ROWS", 10)
+    found = evaluation.overlap_recall(pairs(exact), pairs(given * 2), "q", "k")
+    want = {q: (q % 7 // 2 + 1) / (q % 7 + 1) for q in range(40)} | {None: 0.0, 50: 0.0}
+    assert {r.q: round(r.recall, 9) for r in found.collect()} == {q: round(x, 9) for q, x in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" in plan
+    tasks = int(re.search(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)[1])
+    assert tasks >= (len(exact) + 2 * len(given)) // 10
