@@ -1,6 +1,8 @@
 """Values that the operators must give whatever engine runs them."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -311,3 +313,22 @@ def test_sentences_as_by_pattern_and_in_linear_time(spark):
     began = time.perf_counter()
     found = list(chunking.of_document("doc://1", "word and another " * 600_000))
     assert len("".join(f[-1] for f in found)) > 10_000_000 and time.perf_counter() - began < 10
+
+
+def test_chunks_are_handed_on_together_and_are_those_of_each_document(spark):
+    draw = random.Random(3)
+    piece = lambda: draw.choice(["Dr.", "St. x", "word another", "[a](#b)", "* [Home](x)\n", "| |\n", "\n\n\n", " \n", "\t\n", "\r\n", "it ends. ", "\0", "# head\n\n", "Facebook(y)", "more of these words, "])
+    texts = ["".join(piece() for _ in range(draw.randint(0, 120))) for _ in range(300)] + [None, "many words end here now. " * 70_000]
+
+    def plain(text):
+        for pattern, instead in chunking.RULES:
+            text = re.sub(pattern, instead, text)
+        return text.strip()
+
+    assert [chunking.normalize(t or "") for t in texts] == [plain(t or "") for t in texts]
+    found = chunking.chunks(spark.createDataFrame([(f"doc://{k}", t) for k, t in enumerate(texts)], "url string, text string"))
+    # One frame for each document cost more than its chunks.
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    want = [(f"doc://{k}", *c) for k, t in enumerate(texts) for c in chunking.of_document(f"doc://{k}", t)]
+    assert sum(w[0] == "doc://301" for w in want) > chunking._ROWS
+    assert sorted(map(tuple, found.collect())) == sorted(want)
