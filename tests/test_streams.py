@@ -193,6 +193,28 @@ def test_deliveries_that_come_twice_leave_the_same_tables(spark, tmp_path):
     assert held() == once
 
 
+def test_a_batch_is_one_write_of_a_few_files_and_holds_each_check_once(spark, tmp_path):
+    at, kept = 1_700_000_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [delivery(k, at + k, {"task_id": f"t{k % 50}", "url": "https://a.b", "text": "x" * (9 * k)}) for k in range(100)] + [delivery(200, at, "{")]
+    tables = intake.Intake(f"{tmp_path}/tables").begin(spark)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        ran = spark._jsparkSession.sharedState().statusStore().executionsCount
+        before = ran()
+        tables.batch(["one"], 700)(frame, 0)
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        assert ran() - before == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    large = sum(len(r[-1]) > 700 for r in rows)
+    assert {name: tables.read(spark, name).count() for name in intake.TABLES} == {"accepted": 50, "oversized": large, "malformed": 1, "repeated": 50 - large} and large > 9
+    assert tables.read(spark).count() == len(rows)
+    assert len(list((tmp_path / "tables" / "batch=0").rglob("*.parquet"))) <= 8
+    plan = intake.verdicts(frame, ["one"], 700)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("no signature") == 1
+
+
 def test_the_plan_of_repeats_does_not_grow_with_the_time_they_span(spark):
     day, start = 86_400_000, 1_700_000_000_000
     rows = spark.range(1200).select(F.concat(F.lit("t"), F.col("id") % 3).alias("task"), (start + F.col("id") * day).alias("at"), F.col("id").alias("delivery"))
