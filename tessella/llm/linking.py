@@ -11,6 +11,9 @@ their bucket; a bucket that is nearly one component costs little.  Both sides
 of a large bucket are dealt out by blocks of about ``BLOCK`` nodes, and a
 block of one side meets every block of the other under a key of their own, so
 no key has more than two blocks, whatever the settings of adaptive plans.
+
+Exploded rows are joined by ``whole``: Spark takes them for as large as what
+they are made of and would send them to the driver and every task.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import stored, whole
 
 BLOCK = 2048
 
@@ -28,7 +31,7 @@ BLOCK = 2048
 def met(banded: DataFrame) -> DataFrame:
     """Of rows (node, n, bucket) those whose bucket holds several nodes, with the least of them as lead."""
     shared = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead <> _last")
-    return banded.join(shared.select("bucket", "lead"), "bucket")
+    return banded.join(whole(shared.select("bucket", "lead")), "bucket")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -99,12 +102,12 @@ def linked(
             blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
             led = placed.groupBy("bucket").agg(F.first("_lead.component").alias("_led"), blocks(F.count("*")).alias("_all"), blocks(outside).alias("_some"))
             right = held.join(led, "bucket").withColumn("_major", F.col("component") == F.col("_led")).drop("_led")
-            left = _dealt(right.where("NOT _major"), "_some", "_all").withColumnsRenamed({"_in": "_x", "_to": "_y"}).join(detail, "node")
-            right = _dealt(right, "_all", "_some").withColumnsRenamed({"_in": "_y", "_to": "_x"}).join(detail, "node")
+            left = _dealt(right.where("NOT _major"), "_some", "_all").withColumnsRenamed({"_in": "_x", "_to": "_y"}).join(whole(detail), "node")
+            right = _dealt(right, "_all", "_some").withColumnsRenamed({"_in": "_y", "_to": "_x"}).join(whole(detail), "node")
             key = ["bucket", "_x", "_y"]
             right = right.select(*key, *[F.col(c).alias(f"_{c}") for c in right.columns if c not in key])
             apart = (F.col("__major") | (F.col("node") < F.col("_node"))) & (F.col("component") != F.col("_component")) & alike(F.col("n"), F.col("_n"))
-            pairs = left.join(right, key).where(apart & close(F.col, lambda c: F.col(f"_{c}")))
+            pairs = left.join(whole(right), key).where(apart & close(F.col, lambda c: F.col(f"_{c}")))
             pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirm(pairs), "links")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import BLOCK, least_keys, linked, met
-from .storage import stored
+from .storage import stored, whole
 
 BITS, BLOCKS, RADIUS = 128, 8, 6
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -108,13 +108,13 @@ def near_classes(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     shared = stored(met(nodes.select("node", F.lit(0).alias("n"), F.explode(block_tables(F.col("f0"), F.col("f1"), radius)).alias("bucket"))), "buckets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left, right = (nodes.select(F.col("node").alias(k), F.col("f0").alias(f"{k}0"), F.col("f1").alias(f"{k}1")) for k in ("a", "b"))
+        left, right = (whole(nodes).select(F.col("node").alias(k), F.col("f0").alias(f"{k}0"), F.col("f1").alias(f"{k}1")) for k in ("a", "b"))
         near = bits_apart(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) <= radius
         return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
     within = lambda a, b: bits_apart(a("f0"), a("f1"), b("f0"), b("f1")) <= radius
     labels = linked(shared, confirm, lambda n, m: F.lit(True), nodes.drop("key"), within, block=block)
-    return nodes.join(least_keys(nodes.select("node", "key"), labels), "node").select("f0", "f1", F.col("least").alias("near_class"))
+    return nodes.join(whole(least_keys(nodes.select("node", "key"), labels)), "node").select("f0", "f1", F.col("least").alias("near_class"))
 
 
 def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -139,18 +139,18 @@ def edited_and_near(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     ids = ids.groupBy(*ids.columns).agg(F.count("*").cast("int").alias("times"))
     order = stored(neighbours(ids), "neighbours")
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    heads = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("_text")).join(order, ["next_id", "next_h"])
+    heads = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("_text")).join(whole(order), ["next_id", "next_h"])
     heads = heads.select("doc", "id", "h", "n_chars", "times", "next_id", "next_h", F.substring("_text", F.lit(1), third).alias("head"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "head")
-    both = texts.join(heads, ["id", "h"]).withColumn("edited", edited)
+    both = texts.join(whole(heads), ["id", "h"]).withColumn("edited", edited)
     keys = ["doc", "id", "h", "n_chars", "times", "next_id", "next_h", "sha"]
     sides = both.withColumn("sha", F.unhex(F.sha2("edited", 256))).select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("_s"))
     prints = stored(fingerprints(sides.select(*keys, "_s.side", "_s.text"), [*keys, "side"], "text"), "fingerprints")
     plain = prints.where("side = 0")
     changed = prints.where("side = 1").select("id", "h", F.col("f0").alias("e0"), F.col("f1").alias("e1"))
     following = plain.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
-    out = plain.join(changed, ["id", "h"]).join(following, ["next_id", "next_h"])
-    out = out.join(near_classes(plain.select("doc", "f0", "f1"), radius), ["f0", "f1"], "left")
+    out = plain.join(whole(changed), ["id", "h"]).join(whole(following), ["next_id", "next_h"])
+    out = out.join(whole(near_classes(plain.select("doc", "f0", "f1"), radius)), ["f0", "f1"], "left")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
     f, e, n = (tuple(F.col(f"{c}{i}") for i in (0, 1)) for c in "fen")
     return out.select(

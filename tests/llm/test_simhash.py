@@ -5,7 +5,7 @@ import re
 import pytest
 import xxhash
 
-from tessella.llm import simhash
+from tessella.llm import linking, simhash
 
 from . import cases
 
@@ -128,3 +128,24 @@ def test_rows_that_share_a_key_keep_their_own_class(spark):
     rows = [(5, 1, 1), (5, 1 << 40, (1 << 60) - 1), (3, 1 << 40, (1 << 60) - 2)]
     found = {(r.f0, r.f1): r.near_class for r in simhash.near_classes(spark.createDataFrame(rows, "doc long, f0 long, f1 long")).collect()}
     assert found == {(1, 1): 5, (1 << 40, (1 << 60) - 1): 3, (1 << 40, (1 << 60) - 2): 3}
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, monkeypatch):
+    """Not on Spark's default threshold either, by which exploded and compressed rows look small until they fill the driver."""
+    plans = {}
+
+    def kept(df, label, write=simhash.stored):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    for module in (simhash, linking):
+        monkeypatch.setattr(module, "stored", kept)
+    rows = [(i, f"some text {i} about {i % 5} things") for i in range(60)]
+    out = simhash.edited_and_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    for label in ("fingerprints", "buckets", "links"):
+        assert all("BroadcastExchange" not in plan and "SortMergeJoin" in plan for plan in plans[label]), label
+    # Blocks of nodes and what is known of a node, of which there may be as many as documents.
+    last = plans["pairs"][-1]
+    assert last.count("SortMergeJoin") == 3 and not re.search(r"BroadcastHashJoin \[[^\]]*_x#", last)
+    # Results, edited fingerprints, those of the next rows and classes; then nodes and their classes.
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 4
