@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,46 @@ def test_overlap_recall_groups_as_many_rows_in_a_task_at_any_size(spark, monkeyp
     assert "Join" not in plan and "RepartitionByExpression" in plan
     tasks = int(re.search(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)[1])
     assert tasks >= (len(exact) + 2 * len(given)) // 10
+
+
+def odd_texts(folder, queries):
+    """Small tables with odd rows in ``folder``, and what DuckDB makes of them by each of the queries."""
+    duck = duckdb.connect()
+    # w3 and w12 share a place and take each other away; so do they in the last item, which keeps another word.
+    duck.execute(f"""COPY (SELECT i - 30 AS doc_id, 'one two three four five six seven w' || i % 9 || ' x' || i % 7 AS text FROM range(60) t(i) UNION ALL SELECT -50, 'w3 w12' UNION ALL SELECT 99, 'W12, w3!' UNION ALL SELECT 98, 'w31'
+    UNION ALL SELECT NULL, 'one two' UNION ALL SELECT NULL, 'two w3' UNION ALL SELECT 97, NULL UNION ALL SELECT 96, '...') TO '{folder}/documents.parquet'""")
+    duck.execute(f"""COPY (SELECT i - 2 AS item_id, 'three four five six seven w' || i || ' x' || i || ' one two' AS text FROM range(6) t(i) UNION ALL SELECT 1, 'one two three four five six seven w1 x1' UNION ALL SELECT 20, 'w3 w12'
+    UNION ALL SELECT 21, 'w12 w3 x1' UNION ALL SELECT 22, 'w31' UNION ALL SELECT NULL, 'one two' UNION ALL SELECT 23, NULL) TO '{folder}/benchmark.parquet'""")
+    for name in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    found = {}
+    for name in queries:
+        answer = duck.execute(comparisons.FAMILY.oracle[name])
+        found[name] = [d[0] for d in answer.description], answer.fetchall()
+    return found
+
+
+def test_word_vectors_of_odd_rows_as_by_sql(spark, tmp_path):
+    names, want = odd_texts(tmp_path, ["text_vectors_topk"])["text_vectors_topk"]
+    got = comparisons.FAMILY.queries["text_vectors_topk"](spark, str(tmp_path)).select(names).collect()
+    assert Counter(map(str, map(tuple, got))) == Counter(map(str, want))
+    by = {(r[names.index("item_id")], r[names.index("rank")]): (r[names.index("doc_id")], r[names.index("score")]) for r in want}
+    # A text without length comes first where it shares a place, and what shares none is left out.
+    assert [d for (item, _), (d, score) in sorted(by.items()) if item == 21 and math.isnan(score)] == [-50, 99]
+    assert 0 < sum(item == 22 for item, _ in by) < comparisons.MOST
+
+
+def test_texts_of_one_key_are_one_text(spark):
+    rows = [(1, "a b"), (1, "b c"), (2, "a b b c"), (None, "a"), (3, None)]
+    found = variants.nearest_texts(spark.createDataFrame([(-2, "a b"), (-2, "b c")], "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert [(r.item_id, r.doc_id, r.score, r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(-2, 1, 1.0, 1), (-2, 2, 1.0, 2)]
+
+
+def test_scores_of_text_vectors_are_rounded_as_by_sql(spark, monkeypatch):
+    # Nine digits that end in a half of the sixth; scaled, some of them are a little less.
+    scores = [round((k + 0.5) / 1e6, 9) for k in range(0, 1_000_000, 101)]
+    assert sum(x * 1e6 % 1 < 0.5 for x in scores) > 50
+    rows = [(1, k, x, k) for k, x in enumerate(scores)]
+    monkeypatch.setattr(comparisons, "_alike", lambda s, f: s.createDataFrame(rows, "item_id long, doc_id long, score double, rank int"))
+    got = {r.doc_id: r.score for r in comparisons.FAMILY.queries["text_vectors_topk"](spark, "").collect()}
+    assert got == {k: duckdb.execute("SELECT round($1::DOUBLE, 6)", [x]).fetchone()[0] for _, k, x, _ in rows}
