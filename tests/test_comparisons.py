@@ -223,6 +223,12 @@ def test_word_vectors_of_odd_rows_as_by_sql(spark, tmp_path):
     assert 0 < sum(item == 22 for item, _ in by) < comparisons.MOST
 
 
+def test_budgets_of_odd_rows_as_by_sql(spark, tmp_path):
+    names, want = odd_texts(tmp_path, ["variant_budgets"])["variant_budgets"]
+    got = comparisons.FAMILY.queries["variant_budgets"](spark, str(tmp_path)).select(names).collect()
+    assert Counter(map(tuple, got)) == Counter(want) and sum(r[names.index("hits")] for r in want) > 0
+
+
 def test_texts_of_one_key_are_one_text(spark):
     rows = [(1, "a b"), (1, "b c"), (2, "a b b c"), (None, "a"), (3, None)]
     found = variants.nearest_texts(spark.createDataFrame([(-2, "a b"), (-2, "b c")], "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
