@@ -74,3 +74,18 @@ def test_fact_conflicts_compares_classes_and_spells_out_their_rows(spark, tmp_pa
     # What is joined are classes and not rows: ids come out of lists behind the join.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(others") < plan.index("Join") and "collect_list(id" in plan[plan.index("Join") :]
+
+
+def test_fact_conflicts_makes_each_pair_once_from_bounded_pieces(spark, tmp_path):
+    duck = duckdb.connect()
+    # Classes of more ids than a piece holds, ids in several classes and twice in one, and rows without an id or a session.
+    rows = "SELECT i AS p_partkey, 'Name' AS p_name, (i % 2)::INT AS p_size, 900.0 + i % 2 AS p_retailprice FROM range(2600) t(i) WHERE i % 4 < 2"
+    odd = "SELECT i % 40, 'NAME', 0, 901.0 FROM range(60) t(i) UNION ALL SELECT NULL, 'name', 0, 900.0 UNION ALL SELECT 5000000 + i, 'name', 0, 907.0 FROM range(3) t(i)"
+    duck.execute(f"COPY ({rows} UNION ALL {odd}) TO '{tmp_path}/part.parquet'")
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    found = registry.QUERIES["fact_conflicts"](spark, str(tmp_path))
+    assert Counter(map(tuple, found.collect())) == Counter(duck.execute(registry.ORACLE["fact_conflicts"]).fetchall())
+    # Pairs of pieces are dealt out between the join and the lists, and no list is longer than a piece.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(ones") < plan.index("RepartitionByExpression [ones") < plan.index("Join")
+    assert plan.index("Join") < plan.index("slice(ids") < plan.index("collect_list(id")
